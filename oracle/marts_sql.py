@@ -68,23 +68,23 @@ m2 AS (SELECT p.product_id, p.product_name, p.category, p.subcategory, p.brand,
 M2_SELECT = f"""SELECT *, {div('total_revenue', 'total_quantity_sold', 2, ns=2, ds=0)} AS revenue_per_unit FROM m2"""
 
 M3_ORDER = f"""
-per_order AS (SELECT order_id, sum(quantity) AS n_items FROM order_items_a GROUP BY order_id),
-s AS (SELECT o.*, p.n_items FROM orders_a o JOIN per_order p USING (order_id) WHERE o.order_status <> 'cancelled'),
+per_order3 AS (SELECT order_id, sum(quantity) AS n_items FROM order_items_a GROUP BY order_id),
+s3 AS (SELECT o.*, p.n_items FROM orders_a o JOIN per_order3 p USING (order_id) WHERE o.order_status <> 'cancelled'),
 m3 AS (SELECT order_year, order_month, currency, count(*) AS total_orders,
               {money('sum(total_amount)')} AS total_revenue, {money('sum(discount_amount)')} AS total_discounts,
               {money('sum(tax_amount)')} AS total_taxes, {money('sum(shipping_cost)')} AS total_shipping,
               {avg('total_amount')} AS avg_order_value, CAST(sum(n_items) AS BIGINT) AS total_items_sold,
               count(DISTINCT customer_id) AS unique_customers
-       FROM s GROUP BY order_year, order_month, currency)"""
+       FROM s3 GROUP BY order_year, order_month, currency)"""
 
 M3_ITEM = f"""
-s AS (SELECT o.*, i.quantity FROM orders_a o JOIN order_items_a i USING (order_id) WHERE o.order_status <> 'cancelled'),
+s3 AS (SELECT o.*, i.quantity FROM orders_a o JOIN order_items_a i USING (order_id) WHERE o.order_status <> 'cancelled'),
 m3 AS (SELECT order_year, order_month, currency, count(order_id) AS total_orders,
               {money('sum(total_amount)')} AS total_revenue, {money('sum(discount_amount)')} AS total_discounts,
               {money('sum(tax_amount)')} AS total_taxes, {money('sum(shipping_cost)')} AS total_shipping,
               {avg('total_amount')} AS avg_order_value, CAST(sum(quantity) AS BIGINT) AS total_items_sold,
               count(customer_id) AS unique_customers
-       FROM s GROUP BY order_year, order_month, currency)"""
+       FROM s3 GROUP BY order_year, order_month, currency)"""
 
 M3_SELECT = f"SELECT *, {money('total_revenue - total_discounts')} AS net_revenue FROM m3"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle import marts_sql as MS
+from oracle import reports_sql as RS
 from oracle.sqlkit import with_base
 
 
@@ -51,7 +52,31 @@ MART_SQL = {
 }
 
 
+_M1, _M2, _M3 = m1_cte(), m2_cte(), m3_cte()
+
+REPORT_SQL = {
+    "top_customers": _m(_M1, RS.TOP_CUSTOMERS),
+    "segment_country": _m(_M1, RS.SEGMENT_COUNTRY),
+    "retention_type": _m(_M1, RS.RETENTION_TYPE),
+    "top_products": _m(_M2, RS.TOP_PRODUCTS),
+    "category_performance": _m(_M2, RS.CATEGORY),
+    "brand_performance": _m(_M2, RS.BRAND),
+    "top_profitable": _m(_M2, RS.TOP_PROFITABLE),
+    "monthly_trend": _m(_M3, RS.MONTHLY_TREND),
+    "yoy_growth": _m(_M3 + "," + RS.YOY_CTE, RS.YOY),
+    "currency_performance": _m(_M3, RS.CURRENCY),
+    "lifetime_value": _m(_M1 + "," + RS.LTV_CTE, RS.LTV),
+    "completeness_check": _m(_M1 + "," + _M2, RS.COMPLETENESS),
+    "freshness_check": _m(_M1 + "," + _M3, RS.FRESHNESS),
+    "freshness_check_literal": _m(_M1 + "," + _M3, RS.FRESHNESS_LITERAL),
+    "sample_rows": _m(_M2, RS.SAMPLE_ROWS),
+    "top_one": _m(MS.M5, "SELECT product_id, product_name, total_revenue FROM m5 "
+                         "ORDER BY total_revenue DESC, product_id LIMIT 1"),
+}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(MART_SQL)
+    out.update(REPORT_SQL)
     return out

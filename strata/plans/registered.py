@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.operators import clean as C
 from strata.operators import marts as M
+from strata.operators import reports as R
 from strata.sources.adapters import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +65,29 @@ MART_QUERIES: dict[str, Query] = {
 }
 
 
+REPORT_QUERIES: dict[str, Query] = {
+    "top_customers": lambda s, d: R.top_customers(m1(s, d)),
+    "segment_country": lambda s, d: R.segment_country(m1(s, d)),
+    "retention_type": lambda s, d: R.retention_type(m1(s, d)),
+    "top_products": lambda s, d: R.top_products(m2(s, d)),
+    "category_performance": lambda s, d: R.category_performance(m2(s, d)),
+    "brand_performance": lambda s, d: R.brand_performance(m2(s, d)),
+    "top_profitable": lambda s, d: R.top_profitable(m2(s, d)),
+    "monthly_trend": lambda s, d: R.monthly_trend(m3(s, d)),
+    "yoy_growth": lambda s, d: R.yoy_growth(m3(s, d)),
+    "currency_performance": lambda s, d: R.currency_performance(m3(s, d)),
+    "lifetime_value": lambda s, d: R.lifetime_value(m1(s, d)),
+    "completeness_check": lambda s, d: R.completeness_check(m1(s, d), m2(s, d)),
+    "freshness_check": lambda s, d: R.freshness_check(m1(s, d), m3(s, d)),
+    "freshness_check_literal": lambda s, d: R.freshness_check(m1(s, d), m3(s, d), literal=True),
+    "sample_rows": lambda s, d: R.sample_rows(m2(s, d), [F.desc("total_revenue"), F.asc("product_id")], 5),
+    "top_one": lambda s, d: R.top_one(M.product_profile(tables_b(s, d)), "total_revenue", "product_id",
+                                      ["product_id", "product_name", "total_revenue"]),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(MART_QUERIES)
+    out.update(REPORT_QUERIES)
     return out
