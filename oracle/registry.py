@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracle import marts_sql as MS
 from oracle import reports_sql as RS
+from oracle import ops_sql as OS
 from oracle.sqlkit import with_base
 
 
@@ -75,8 +76,43 @@ REPORT_SQL = {
 }
 
 
+def _o(body: str, ctes: str = "") -> str:
+    return with_base(body, OS.OPS_BASE + ("," + ctes if ctes else ""))
+
+
+OPS_SQL = {
+    "cost_by_service": _o(OS.COST_BY_SERVICE),
+    "cost_daily_trend": _o(OS.COST_DAILY_TREND),
+    "cost_summary": _o(OS.COST_SUMMARY),
+    "top_services": _o(OS.TOP_SERVICES),
+    "cost_month_to_date": _o(OS.COST_MTD),
+    "daily_cost_alert": _o(OS.DAILY_ALERT_SELECT, OS.DAILY_ALERT),
+    "budget_running": _o(OS.BUDGET_RUNNING_SELECT, OS.BUDGET_RUNNING),
+    "budget_status": _o(OS.BUDGET_STATUS_SELECT, OS.BUDGET_STATUS),
+    "cost_anomaly": _o(OS.ANOMALY_SELECT, OS.ANOMALY),
+    "cluster_run_cost": _o(OS.CLUSTER_COST_SELECT, OS.CLUSTER_COST),
+    "audit_recent": _o(OS.AUDIT_RECENT),
+    "security_counts": _o(OS.security_counts(24)),
+    "watchlist_join": _o(OS.security_counts(24 * 31)),
+    "span_metrics": _o(OS.SPAN_METRICS),
+    "trace_summary": _o(OS.TRACE_SUMMARY),
+    "span_parenting": _o(OS.SPAN_PARENTING),
+    "stack_health": _o(OS.STACK_HEALTH),
+    "metric_alarm": _o(OS.METRIC_ALARM),
+    "alarm_consecutive": _o(OS.ALARM_CONSECUTIVE_SELECT, OS.ALARM_CONSECUTIVE),
+    "storage_by_class": _o(OS.STORAGE_BY_CLASS),
+    "version_counts": _o(OS.VERSION_COUNTS),
+    "lifecycle_tier": _o(OS.LIFECYCLE_TIER),
+    "lifecycle_summary": _o(OS.LIFECYCLE_SUMMARY),
+    "log_retention": _o(OS.LOG_RETENTION),
+    "task_report": _o(OS.TASK_REPORT),
+    "module_health": _o(OS.MODULE_HEALTH),
+}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(MART_SQL)
     out.update(REPORT_SQL)
+    out.update(OPS_SQL)
     return out

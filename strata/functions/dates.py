@@ -44,3 +44,12 @@ def add_date_parts(df: DataFrame, col: str, prefix: str = "order_") -> DataFrame
 def month_index(c: Column) -> Column:
     """Months since year 0: difference of two gives whole months between dates."""
     return F.year(c) * 12 + F.month(c) - 1
+
+
+def ts_lit(x) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime (or ISO text), free of the
+    Python process's local time zone."""
+    if isinstance(x, Column):
+        return x
+    text = x.isoformat(sep=" ") if hasattr(x, "isoformat") else str(x)
+    return F.lit(text).cast("timestamp_ntz")

@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from strata.operators import clean as C
 from strata.operators import marts as M
 from strata.operators import reports as R
-from strata.sources.adapters import Tables
+from strata.operators import audit as A
+from strata.operators import costs as CO
+from strata.operators import storage as ST
+from strata.operators import tasks as TK
+from strata.operators import telemetry as TL
+from strata.sources import adapters as AD
+from strata.sources.adapters import AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,8 +92,41 @@ REPORT_QUERIES: dict[str, Query] = {
 }
 
 
+_SERVICES = ["click", "error", "purchase", "signup", "view"]
+
+OPS_QUERIES: dict[str, Query] = {
+    "cost_by_service": lambda s, d: CO.cost_by_service(AD.cost_lines(s, d), "2024-01-01", AS_OF),
+    "cost_daily_trend": lambda s, d: CO.cost_daily_trend(AD.cost_lines(s, d), AS_OF, 7),
+    "cost_summary": lambda s, d: CO.cost_summary(AD.cost_lines(s, d), AS_OF, 7),
+    "top_services": lambda s, d: CO.top_services(AD.cost_lines(s, d), AS_OF, 7, 10, "0.01"),
+    "cost_month_to_date": lambda s, d: CO.cost_month_to_date(AD.cost_lines(s, d), AS_OF, "p0"),
+    "daily_cost_alert": lambda s, d: CO.daily_cost_alert(AD.cost_lines(s, d), "10"),
+    "budget_running": lambda s, d: CO.budget_running(AD.cost_lines(s, d), "100"),
+    "budget_status": lambda s, d: CO.budget_status(AD.cost_lines(s, d), AS_OF, "100", _SERVICES),
+    "cost_anomaly": lambda s, d: CO.cost_anomaly(AD.cost_lines(s, d), 7, 3),
+    "cluster_run_cost": lambda s, d: CO.cluster_run_cost(AD.cluster_runs(s, d), AS_OF, "1.5"),
+    "audit_recent": lambda s, d: A.audit_recent(AD.audit_events(s, d), AS_OF, 1),
+    "security_counts": lambda s, d: A.security_counts(s, AD.audit_events(s, d), AS_OF, hours=24),
+    "watchlist_join": lambda s, d: A.security_counts(s, AD.audit_events(s, d), AS_OF, hours=24 * 31),
+    "span_metrics": lambda s, d: TL.span_metrics(AD.spans(s, d)),
+    "trace_summary": lambda s, d: TL.trace_summary(AD.spans(s, d)),
+    "span_parenting": lambda s, d: TL.span_parenting(AD.spans(s, d)),
+    "stack_health": lambda s, d: TL.stack_health(TL.stacks_from_events(AD.events(s, d))),
+    "metric_alarm": lambda s, d: TL.metric_alarm(AD.metrics(s, d), "450", "1 day"),
+    "alarm_consecutive": lambda s, d: TL.alarm_consecutive(AD.metrics(s, d), "250", 4),
+    "storage_by_class": lambda s, d: ST.storage_by_class(AD.storage_objects(s, d)),
+    "version_counts": lambda s, d: ST.version_counts(AD.storage_objects(s, d)),
+    "lifecycle_tier": lambda s, d: ST.lifecycle_tier(AD.storage_objects(s, d)),
+    "lifecycle_summary": lambda s, d: ST.lifecycle_summary(AD.storage_objects(s, d)),
+    "log_retention": lambda s, d: ST.log_retention(AD.storage_objects(s, d)),
+    "task_report": lambda s, d: TK.task_report(AD.task_runs(s, d)),
+    "module_health": lambda s, d: TK.module_health(AD.task_runs(s, d)),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(MART_QUERIES)
     out.update(REPORT_QUERIES)
+    out.update(OPS_QUERIES)
     return out
