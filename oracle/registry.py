@@ -5,6 +5,7 @@ from __future__ import annotations
 from oracle import marts_sql as MS
 from oracle import reports_sql as RS
 from oracle import ops_sql as OS
+from oracle import clean_sql as CS
 from oracle.sqlkit import with_base
 
 
@@ -110,8 +111,37 @@ OPS_SQL = {
 }
 
 
+CLEAN_SQL = {
+    "standardize_text": with_base(CS.STANDARDIZE),
+    "cast_schema": with_base(CS.CAST_SCHEMA),
+    "filter_valid": with_base(CS.FILTER_VALID),
+    "dedupe_rows": with_base(CS.DEDUPE),
+    "date_parts": with_base(CS.DATE_PARTS),
+    "normalize_dates": with_base(CS.NORMALIZE_DATES),
+    "line_total": with_base(CS.LINE_TOTAL),
+    "fill_defaults": with_base(CS.FILL_DEFAULTS),
+    "canonical_status": with_base(CS.CANONICAL_STATUS),
+    "quarantine": with_base(CS.QUARANTINE),
+    "quarantine_orders": with_base(CS.QUARANTINE_ORDERS),
+    "email_rule": with_base(CS.EMAIL_RULE),
+    "missing_values": with_base(CS.MISSING),
+    "dq_profile": with_base(CS.DQ_PROFILE),
+    "dq_referential": with_base(CS.DQ_REFERENTIAL),
+    "mask_columns": with_base(CS.MASK_COLUMNS),
+    "row_filter": with_base(CS.ROW_FILTER),
+    "table_access": _m(_M1, CS.TABLE_ACCESS),
+    "join_orders_items": with_base(CS.JOIN_ORDERS_ITEMS),
+    "join_using": with_base(CS.JOIN_USING),
+    "star_join": with_base(CS.STAR_JOIN),
+    "dim_left_fact": with_base(CS.DIM_LEFT_FACT),
+    "customers_orders": with_base(CS.CUSTOMERS_ORDERS),
+    "basket_pairs": _m(_cs_ctes, CS.BASKET_PAIRS),
+}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(CLEAN_SQL)
     out.update(MART_SQL)
     out.update(REPORT_SQL)
     out.update(OPS_SQL)

@@ -27,7 +27,7 @@ def parse_dates(df: DataFrame, col: str, formats=DATE_FORMATS,
         return df.withColumn(out or col, F.col(col).cast("timestamp"))
     c = F.trim(F.col(col))
     parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
-    return df.withColumn(out or col, parsed)
+    return df.withColumn(out or col, parsed.cast("timestamp_ntz"))
 
 
 def add_date_parts(df: DataFrame, col: str, prefix: str = "order_") -> DataFrame:

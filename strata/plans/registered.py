@@ -15,6 +15,11 @@ from strata.operators import clean as C
 from strata.operators import marts as M
 from strata.operators import reports as R
 from strata.operators import audit as A
+from strata.operators import governance as G
+from strata.operators import joins as J
+from strata.operators import quality as Q
+from strata.functions.dates import parse_dates
+from pyspark.sql import types as T
 from strata.operators import costs as CO
 from strata.operators import storage as ST
 from strata.operators import tasks as TK
@@ -124,8 +129,86 @@ OPS_QUERIES: dict[str, Query] = {
 }
 
 
+def _dates_text(spark, sf):
+    o = Tables(spark, sf).orders
+    k = F.col("order_id") % 3
+    text = (F.when(k == 0, F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
+            .when(k == 1, F.date_format("order_date", "MM/dd/yyyy HH:mm"))
+            .otherwise(F.date_format("order_date", "MMM d yyyy HH:mm")))
+    return parse_dates(o.select("order_id", text.alias("order_date_text")), "order_date_text",
+                       out="order_ts")
+
+
+_ITEM_SCHEMA = T.StructType([
+    T.StructField("order_id", T.LongType()), T.StructField("product_id", T.LongType()),
+    T.StructField("quantity", T.IntegerType()), T.StructField("total_price", T.DecimalType(10, 2)),
+    T.StructField("discount", T.DecimalType(5, 4))])
+
+
+def _fill_defaults(spark, sf):
+    t = tables_a(spark, sf)
+    per_c = t["orders"].where(F.col("order_status") == "completed").groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("completed_orders"), F.sum("total_amount").alias("completed_amount"))
+    out = J.dim_left_fact(t["customers"].select("customer_id", "customer_segment"), per_c, "customer_id",
+                          ["completed_orders", "completed_amount"])
+    return out
+
+
+def _items_per_product(spark, sf):
+    t = tables_a(spark, sf)
+    agg = t["order_items"].groupBy("product_id").agg(F.count(F.lit(1)).alias("lines"),
+                                                     F.sum("quantity").alias("units"))
+    return J.dim_left_fact(t["products"].select("product_id", "product_name"), agg, "product_id",
+                           ["lines", "units"])
+
+
+CLEAN_QUERIES: dict[str, Query] = {
+    "standardize_text": lambda s, d: C.standardize(
+        Tables(s, d).customers, {"email": "lower", "customer_segment": "upper", "city": "trim"}
+    ).select("customer_id", "email", "customer_segment", "city"),
+    "cast_schema": lambda s, d: C.cast_to(Tables(s, d).order_items, _ITEM_SCHEMA),
+    "filter_valid": lambda s, d: tables_b(s, d)["orders"].select(
+        "order_id", "customer_id", "order_status", "total_amount"),
+    "dedupe_rows": lambda s, d: C.dedupe(Tables(s, d).order_items),
+    "date_parts": lambda s, d: tables_a(s, d)["orders"].select(
+        "order_id", "order_date", "order_year", "order_month", "order_day", "order_period"),
+    "normalize_dates": _dates_text,
+    "line_total": lambda s, d: tables_b(s, d)["order_items"].select(
+        "order_id", "product_id", "quantity", "unit_price", "discount", "line_total"),
+    "fill_defaults": _fill_defaults,
+    "canonical_status": lambda s, d: tables_a(s, d)["orders"].groupBy("order_status").agg(
+        F.count(F.lit(1)).alias("orders")),
+    "quarantine": lambda s, d: C.quarantine_summary(Tables(s, d).customers, C.default_rules("customers")),
+    "quarantine_orders": lambda s, d: C.quarantine_summary(Tables(s, d).orders, C.default_rules("orders")),
+    "email_rule": lambda s, d: Tables(s, d).customers.select(
+        "customer_id", "email", C.email_rule("email")[1].alias("email_ok")),
+    "missing_values": lambda s, d: C.missing_report(Tables(s, d).customers),
+    "dq_profile": lambda s, d: Q.profile(tables_a(s, d)["orders"]),
+    "dq_referential": lambda s, d: Q.orphans(tables_a(s, d)),
+    "mask_columns": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst"),
+    "row_filter": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst_europe"),
+    "table_access": lambda s, d: G.read_as("viewer", "analytics", m1(s, d)),
+    "join_orders_items": lambda s, d: J.join_orders_items(
+        tables_a(s, d)["orders"].select("order_id", "customer_id", "order_status"),
+        tables_a(s, d)["order_items"].select("order_id", "product_id", "quantity")),
+    "join_using": lambda s, d: J.join_using(
+        tables_a(s, d)["orders"].select("order_id", "order_date"),
+        tables_a(s, d)["order_items"].select("order_id", "product_id", "total_price"), "order_id"),
+    "star_join": lambda s, d: J.star_join(
+        tables_a(s, d)["orders"].select("order_id", "currency"),
+        tables_a(s, d)["order_items"].select("order_id", "product_id", "quantity"),
+        tables_a(s, d)["products"]),
+    "dim_left_fact": _items_per_product,
+    "customers_orders": lambda s, d: J.customers_orders(
+        tables_b(s, d)["customers"].select("customer_id", "country"),
+        tables_b(s, d)["orders"].select("order_id", "customer_id", "total_amount")),
+    "basket_pairs": lambda s, d: J.basket_pairs(tables_a(s, d)["order_items"], 2),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(CLEAN_QUERIES)
     out.update(MART_QUERIES)
     out.update(REPORT_QUERIES)
     out.update(OPS_QUERIES)
