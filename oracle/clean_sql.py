@@ -122,3 +122,25 @@ SELECT customer_id, c.country, o.order_id, o.total_amount FROM customers_b c JOI
 
 BASKET_PAIRS = """
 SELECT product_a, product_b, pair_count FROM pairs"""
+
+READ_ANY = "SELECT * FROM orders"
+
+WRITE_MART = "SELECT * FROM m3x"
+
+PARTITION_REPAIR = """
+SELECT DISTINCT 'order_year=' || CAST(order_year AS VARCHAR) || '/order_month=' || CAST(order_month AS VARCHAR) AS partition
+FROM m3x"""
+
+READ_DECLARED = """
+SELECT order_id, product_id, quantity, total_price, discount, item_status, ship_date FROM order_items_raw"""
+
+VALIDATE_INPUT = "SELECT count(*) > 0 AS has_rows FROM (SELECT 1 FROM orders LIMIT 1) t"
+
+STREAM_INGEST = f"""
+SELECT * REPLACE (CASE lower(trim(order_status)) WHEN 'completed' THEN 'completed' ELSE lower(trim(order_status)) END
+                  AS order_status)
+FROM orders_raw WHERE order_id IS NOT NULL AND customer_id IS NOT NULL AND coalesce(total_amount > 0, false)"""
+
+STREAM_EVENT_LOG = """
+SELECT event_id, ts, event_type, user_id, value, 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service,
+       strftime(ts, '%Y-%m-%d-%H') AS hour FROM events"""

@@ -136,6 +136,13 @@ CLEAN_SQL = {
     "dim_left_fact": with_base(CS.DIM_LEFT_FACT),
     "customers_orders": with_base(CS.CUSTOMERS_ORDERS),
     "basket_pairs": _m(_cs_ctes, CS.BASKET_PAIRS),
+    "read_any": CS.READ_ANY,
+    "write_mart": _m(_M3, CS.WRITE_MART),
+    "partition_repair": _m(_M3, CS.PARTITION_REPAIR),
+    "read_declared": with_base(CS.READ_DECLARED),
+    "validate_input": CS.VALIDATE_INPUT,
+    "stream_ingest": with_base(CS.STREAM_INGEST),
+    "stream_event_log": CS.STREAM_EVENT_LOG,
 }
 
 

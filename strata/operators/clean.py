@@ -14,6 +14,8 @@ All are narrow transformations (no shuffle) except ``dedupe``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,24 +103,54 @@ def clean_products(df: DataFrame, profile: str = "a") -> DataFrame:
     return df.where(not_null("product_id"))
 
 
-def clean_all(t, profile: str = "a") -> dict[str, DataFrame]:
+class CleanTables(Mapping):
+    """The four cleaned commerce tables, each built on first access only, so
+    a query that touches two tables does not pay to analyse four plans."""
+
+    _NAMES = ("customers", "orders", "order_items", "products")
+
+    def __init__(self, t, profile: str = "a"):
+        self._t, self._profile, self._memo = t, profile, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._memo:
+            t, p = self._t, self._profile
+            if name == "customers":
+                df = clean_customers(t.customers, p)
+            elif name == "orders":
+                df = clean_orders(t.orders, p)
+            elif name == "order_items":
+                df = clean_order_items(t.priced_items if p == "b" else t.order_items, p)
+            elif name == "products":
+                df = clean_products(t.products, p)
+            else:
+                raise KeyError(name)
+            self._memo[name] = df
+        return self._memo[name]
+
+    def __iter__(self):
+        return iter(self._NAMES)
+
+    def __len__(self):
+        return len(self._NAMES)
+
+
+def clean_all(t, profile: str = "a") -> CleanTables:
     """Clean the four commerce tables of a :class:`~strata.sources.adapters.Tables`."""
-    items = t.priced_items if profile == "b" else t.order_items
-    return {
-        "customers": clean_customers(t.customers, profile),
-        "orders": clean_orders(t.orders, profile),
-        "order_items": clean_order_items(items, profile),
-        "products": clean_products(t.products, profile),
-    }
+    return CleanTables(t, profile)
 
 
 # ---------------------------------------------------------------- C8
 
 
 def fill_measures(df: DataFrame, cols: list[str], value=0) -> DataFrame:
-    """NULL measures -> 0 after an outer join (type of each column kept)."""
-    types = dict(df.dtypes)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(value).cast(types[c])) for c in cols})
+    """NULL measures -> 0 after an outer join.
+
+    An integer literal widens to the column's own type under coalesce (BIGINT
+    stays BIGINT, DECIMAL(p,s) stays DECIMAL(p,s)), so no schema lookup is
+    needed here.
+    """
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c in cols})
 
 
 # ---------------------------------------------------------------- C6 / C9 re-exported

@@ -255,41 +255,39 @@ def geographic_sales(T: dict) -> DataFrame:
 def summary_report(customers_m: DataFrame, products_m: DataFrame, monthly_m: DataFrame) -> DataFrame:
     """M8: one row of global figures over the M4 / M5 / M6 marts.
 
-    Each section is one aggregate; the product and sales figures ride along
-    as scalar subqueries, so no join of any kind is planned.
+    One aggregate pass per mart: customers are first reduced per segment
+    (which also yields the top segment, ties to the lowest name), products
+    and sales ride along as struct-valued scalar subqueries, so no join of
+    any kind is planned and no mart is scanned twice.
     """
-    # Top-1 with a deterministic tie-break (name ascending).
-    seg_top = (customers_m.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), F.asc_nulls_last("customer_segment")).limit(1)
-               .select("customer_segment"))
-    prod = products_m.agg(
+    seg = customers_m.groupBy("customer_segment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("total_orders") > 0, 1)).alias("active"),
+        F.sum("total_revenue").alias("rev"), F.count("total_revenue").alias("n_rev"))
+    prod = products_m.agg(F.struct(
         F.count(F.lit(1)).alias("total_products"),
         F.count(F.when(F.col("total_quantity_sold") > 0, 1)).alias("products_sold"),
-        avg_exact("total_revenue", 6).alias("avg_product_revenue"))
-    top_prod = (products_m.orderBy(F.desc("total_revenue"), F.asc("product_id")).limit(1)
-                .select("product_name"))
-    sales = monthly_m.agg(
+        F.max_by("product_name", F.struct(F.col("total_revenue"), -F.col("product_id"))).alias("top"),
+        avg_exact("total_revenue", 6).alias("avg_rev"))).scalar()
+    sales = monthly_m.agg(F.struct(
         F.sum("total_revenue").cast("decimal(38,6)").alias("total_revenue"),
         F.sum("total_transactions").alias("total_transactions"),
-        avg_exact("total_revenue", 6).alias("avg_monthly_revenue"))
-    cust = customers_m.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.count(F.when(F.col("total_orders") > 0, 1)).alias("active_customers"),
-        avg_exact("total_revenue", 6).alias("avg_customer_value"))
-    return cust.select(
-        "total_customers", "active_customers",
-        F.coalesce("avg_customer_value", F.lit(0).cast("decimal(18,6)")).alias("avg_customer_value"),
-        seg_top.scalar().alias("top_customer_segment"),
-        prod.select("total_products").scalar().alias("total_products"),
-        prod.select("products_sold").scalar().alias("products_sold"),
-        top_prod.scalar().alias("top_selling_product"),
-        F.coalesce(prod.select("avg_product_revenue").scalar(),
-                   F.lit(0).cast("decimal(18,6)")).alias("avg_product_revenue"),
-        F.coalesce(sales.select("total_revenue").scalar(),
-                   F.lit(0).cast("decimal(38,6)")).alias("total_revenue"),
-        F.coalesce(sales.select("total_transactions").scalar(), F.lit(0).cast("bigint")).alias("total_transactions"),
-        F.coalesce(sales.select("avg_monthly_revenue").scalar(),
-                   F.lit(0).cast("decimal(18,6)")).alias("avg_monthly_revenue"),
+        avg_exact("total_revenue", 6).alias("avg_rev"))).scalar()
+    zero6 = F.lit(0).cast("decimal(18,6)")
+    return seg.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total_customers"),
+        F.coalesce(F.sum("active"), F.lit(0).cast("bigint")).alias("active_customers"),
+        F.coalesce(div_round(F.sum("rev"), F.sum("n_rev"), 6), zero6).alias("avg_customer_value"),
+        F.min_by("customer_segment", F.struct(-F.col("n"), F.col("customer_segment"))).alias("top_customer_segment"),
+    ).select(
+        "total_customers", "active_customers", "avg_customer_value", "top_customer_segment",
+        prod["total_products"].alias("total_products"),
+        prod["products_sold"].alias("products_sold"),
+        prod["top"].alias("top_selling_product"),
+        F.coalesce(prod["avg_rev"], zero6).alias("avg_product_revenue"),
+        F.coalesce(sales["total_revenue"], F.lit(0).cast("decimal(38,6)")).alias("total_revenue"),
+        F.coalesce(sales["total_transactions"], F.lit(0).cast("bigint")).alias("total_transactions"),
+        F.coalesce(sales["avg_rev"], zero6).alias("avg_monthly_revenue"),
     )
 
 

@@ -208,7 +208,9 @@ CLEAN_QUERIES: dict[str, Query] = {
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    from strata.plans.registered_io import IO_QUERIES
     out.update(CLEAN_QUERIES)
+    out.update(IO_QUERIES)
     out.update(MART_QUERIES)
     out.update(REPORT_QUERIES)
     out.update(OPS_QUERIES)
