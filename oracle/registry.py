@@ -106,6 +106,8 @@ OPS_SQL = {
     "lifecycle_tier": _o(OS.LIFECYCLE_TIER),
     "lifecycle_summary": _o(OS.LIFECYCLE_SUMMARY),
     "log_retention": _o(OS.LOG_RETENTION),
+    "log_sort": _o("SELECT eventTime, eventName, sourceIPAddress, event_id FROM audit_events "
+                   "ORDER BY eventTime DESC, event_id LIMIT 100"),
     "task_report": _o(OS.TASK_REPORT),
     "module_health": _o(OS.MODULE_HEALTH),
 }

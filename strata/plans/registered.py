@@ -124,6 +124,8 @@ OPS_QUERIES: dict[str, Query] = {
     "lifecycle_tier": lambda s, d: ST.lifecycle_tier(AD.storage_objects(s, d)),
     "lifecycle_summary": lambda s, d: ST.lifecycle_summary(AD.storage_objects(s, d)),
     "log_retention": lambda s, d: ST.log_retention(AD.storage_objects(s, d)),
+    "log_sort": lambda s, d: R.newest(AD.audit_events(s, d).select(
+        "eventTime", "eventName", "sourceIPAddress", "event_id"), "eventTime", 100, "event_id"),
     "task_report": lambda s, d: TK.task_report(AD.task_runs(s, d)),
     "module_health": lambda s, d: TK.module_health(AD.task_runs(s, d)),
 }
