@@ -122,7 +122,9 @@ def alarm_consecutive(metrics: DataFrame, threshold: str, periods: int = 4) -> D
     sample: its size follows the time range, not the number of samples.
     """
     thr = F.lit(Decimal(threshold)).cast("decimal(12,2)")
-    hourly = metrics.groupBy("name", F.date_trunc("hour", "timestamp").alias("hour")).agg(
+    # Truncate on the wall clock: the result stays TIMESTAMP_NTZ whatever the session zone.
+    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
+    hourly = metrics.groupBy("name", hour.alias("hour")).agg(
         F.max("value").alias("max_value"))
     bounds = hourly.groupBy("name").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
     grid = bounds.select("name", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
