@@ -57,14 +57,16 @@ def read_declared(spark: SparkSession, path: str, schema: T.StructType, header:
                   corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """S3: text with declared columns; rows that do not fit go to quarantine.
 
-    Returns (good rows, rejected rows with the raw line).  PERMISSIVE mode
-    keeps the malformed line in ``corrupt_col`` instead of failing the job.
+    Returns (good rows, rejected rows: parsed fields plus the raw line).
+    PERMISSIVE mode keeps the malformed line in ``corrupt_col`` instead of
+    failing the job.  (Spark refuses a query that reads only the corrupt
+    column of a raw file, so the rejected rows keep every column.)
     """
     s = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
     df = (spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", corrupt_col).schema(s).csv(path))
     good = df.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
-    bad = df.where(F.col(corrupt_col).isNotNull()).select(corrupt_col)
+    bad = df.where(F.col(corrupt_col).isNotNull())
     return good, bad
 
 
