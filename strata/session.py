@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job relies on.  AQE re-plans joins and coalesces shuffle
-# partitions at runtime, and splits skewed sort-merge-join partitions.
+# Settings every job relies on; everything else (AQE, skew-join splitting,
+# codecs) stays at the engine's defaults.
 BASE_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.parquet.compression.codec": "snappy",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -48,10 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh scratch folder is made and registered.
+    on a local master (tests) a fresh scratch folder is made and registered.
+    On any other master an unset folder is an error: a machine-local folder
+    is not visible to the executors.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("STRATA_SCRATCH", "/tmp"))
     if sc.getCheckpointDir() is None:
