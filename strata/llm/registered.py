@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, line_frequency, mixing
+from strata.llm import decontaminate, line_frequency, mixing, quality_model, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
+    "op4_repair_tokens": token_files.op4_repair_tokens,
     "op6_mixing": mixing.op6_mixing,
+    "op7_quality": quality_model.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
