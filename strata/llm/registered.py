@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, line_frequency, mixing, quality_model, token_files, toxicity
+from strata.llm import decontaminate, line_frequency, mixing, quality_model, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
     "op4_repair_tokens": token_files.op4_repair_tokens,
+    "op5_secrets": secrets.op5_secrets,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality_model.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_line_frequency": line_frequency.SQL,
+    "op5_secrets": secrets.SQL,
     "op6_mixing": mixing.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
