@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, line_frequency, mixing, quality_model, secrets, substring_dedup, token_files, toxicity
+from strata.llm import decontaminate, jaccard_join, line_frequency, mixing, quality_model, secrets, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": quality_model.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {
