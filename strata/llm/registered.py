@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, jaccard_join, line_frequency, mixing, quality_model, secrets, substring_dedup, token_files, toxicity
+from strata.llm import decontaminate, jaccard_join, line_dedup, line_frequency, mixing, quality_model, secrets, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_repair_tokens": token_files.op4_repair_tokens,
     "op5_secrets": secrets.op5_secrets,
     "op6_mixing": mixing.op6_mixing,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_line_frequency": line_frequency.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op5_secrets": secrets.SQL,
     "op6_mixing": mixing.SQL,
     "op9_decontaminate": decontaminate.SQL,
