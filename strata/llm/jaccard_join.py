@@ -6,10 +6,12 @@ found; equal sets are one class and are not expanded into pairs.
 
 Tiles.  Sizes are cut into bands a factor ``BAND`` wide.  Linked sets in a
 band differ in at most k shingles, k following from the band's top; so when
-shingles are hashed into k + 1 + SPARE parts, at least 1 + SPARE parts are
-equal.  A tile is (band, part, hash of the part's shingles): linked sets share
-one.  A set goes to its band, and to the next one if it can link there.
-Empty parts make no tile, unless a set has more than SPARE of them.
+shingles are hashed into parts, at most k parts differ, and of a set's parts
+that are not empty at least one is equal if there are more than k of them.  A
+tile is (band, part, hash of the part's shingles): linked sets share one.  A
+set goes to its band, and to the next one if it can link there.  A set with k
+parts or fewer that are not empty also goes to the tiles of its empty parts;
+the number of parts makes that rare.
 
 Bounds.  Each set has a bitmap of 1,024 bits, the parity of the shingles that
 hash to a bit.  Bits that differ between two sets count at most once per
@@ -19,14 +21,16 @@ the texts.
 
 Pairs.  Comparing all pairs of a tile would grow with the square of a group of
 near copies.  First every set of a tile is compared with the tile's smallest
-and largest key; the links found are joined into components.  Then only pairs
+key; the links found are joined into components.  Then only pairs
 of a tile that lie in different components are compared.  So every pair that
 shares a tile was compared or is connected anyway, and the components are
 those of all links.
 
-Hot groups: counts and extremes of a tile are aggregated before they meet;
-joins on a tile are left to the engine's skew handling; a key with many
-partners is compared in slices of ``slice_rows``.
+Finding the tiles that are shared.  Documents are dealt into groups; groups
+and index blocks exchange packed rows (see ``packed_index``), in which a tile
+is one entry per group, however many sets of the group are in it.  A key with
+many partners is compared in slices of ``slice_rows``; joins on a tile or key
+are left to the engine's skew handling.
 
 Sets are known by a 64-bit key (a sum of mixed shingle hashes) and shingles by
 64-bit hashes: two given ones meet by chance with probability 2^-64.
@@ -49,10 +53,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import read, written
+from strata.llm.packed_index import ANSWER_SCHEMA, INDEX_SCHEMA, answer, index_rows, lookup
 
 #: Production parameters.
-N, PERCENT, SLICE_ROWS = 3, 90, 400
-BAND, SPARE, BITS = 1.3, 1, 1024
+N, PERCENT, SLICE_ROWS = 5, 80, 400
+BAND, BITS, GROUP_BYTES, BLOCK_TILES = 1.3, 1024, 8 << 20, 1_500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -95,6 +100,28 @@ def most_different(band: int, percent: int) -> int:
     return 2 * band_top(band) * (100 - percent) // (100 + percent)
 
 
+_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
+
+
+def band_parts(band: int, percent: int) -> tuple[int, int]:
+    """(most_different, number of parts) of a band.
+
+    The fewest parts with which the smallest set of the band has more than
+    ``most_different`` that are not empty, but for five standard deviations.
+    """
+    if (band, percent) in _PARTS:
+        return _PARTS[band, percent]
+    k = most_different(band, percent)
+    n = max(1, -(-(band_top(band - 1) + 1) * percent // 100)) if band else 1
+    m = k + 1
+    while True:
+        empty = m * (1 - 1 / m) ** n
+        spread = m * (m - 1) * max(0.0, 1 - 2 / m) ** n + empty - empty * empty
+        if m - empty - 5 * max(0.0, spread) ** 0.5 >= k + 1 or m >= 4 * n + k:
+            return _PARTS.setdefault((band, percent), (k, m))
+        m += max(1, m // 100)
+
+
 def tiles(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the tiles that a set goes to."""
     if not len(s):
@@ -102,17 +129,16 @@ def tiles(s: np.ndarray, percent: int) -> np.ndarray:
     own, out = band_of(len(s)), []
     # The next band's smallest size, times percent, is the smallest that links there.
     for band in (own, own + 1) if len(s) * 100 >= (band_top(own) + 1) * percent else (own,):
-        k = most_different(band, percent)
+        k, m = band_parts(band, percent)
         if not k:
             continue  # only equal sets link: a class
-        m = k + 1 + SPARE
         h = mixed(s, 1)
         part = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, h = part[order], mixed(h[order], 2)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums, used = np.add.reduceat(h, starts), part[starts]
-        if m - len(used) > SPARE:
+        if len(used) <= k:
             full = np.zeros(m, np.uint64)
             full[used] = sums
             sums, used = full, np.arange(m)
@@ -126,30 +152,55 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_TABLE = "doc_id bigint, text_hash bigint, key bigint, n bigint, bits array<bigint>, tiles array<bigint>"
-_TABLE_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64()),
-                          ("bits", pa.list_(pa.int64())), ("tiles", pa.list_(pa.int64()))])
+_TABLE = "doc_id bigint, text_hash bigint, key bigint, n bigint, bits array<bigint>"
+_TABLE_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays])))
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+def key_of(s: np.ndarray) -> int:
+    return int(mixed(s, 0).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
-def _describe(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _describe(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
-                sets = [shingles(t.as_py(), n) for t in b.column(2)]
-                key = np.array([mixed(s, 0).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(key), pa.array([len(s) for s in sets], pa.int64()),
-                     _lists([bitmap(s) for s in sets]), _lists([tiles(s, percent) for s in sets])], schema=_TABLE_ARROW)
+        for b in batches:
+            rows = [(key_of(s), len(s), bitmap(s)) for s in (shingles(t.as_py(), n) for t in b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_TABLE_ARROW)[2:]))], schema=_TABLE_ARROW)
     return run
 
 
+def _group_tiles(texts: list[str | None], n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, key) of the distinct sets of a group."""
+    sets = {key_of(s): tiles(s, percent) for s in (shingles(t, n) for t in dict.fromkeys(texts))}
+    held = [t for t in sets.values() if len(t)]
+    return (np.concatenate(held) if held else np.empty(0, np.uint64)), np.repeat(
+        np.array(list(sets), np.int64), np.array([len(t) for t in sets.values()], np.int64))
+
+
+def _index(n: int, percent: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
+    def run(group: pa.Table) -> pa.Table:
+        return index_rows(group["part"][0].as_py(), *_group_tiles(group["text"].to_pylist(), n, percent), blocks)
+    return run
+
+
+def _shared(n: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        tile, key = _group_tiles(group["text"].to_pylist(), n, percent) if answers.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        hit, low = lookup(answers, tile)
+        return pa.table({"tile": pa.array(tile[hit].view(np.int64)), "key": pa.array(key[hit]), "low": pa.array(low, pa.int64())})
+    return run
+
+
+def shared_tiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(tile, key, low): the tiles that hold several sets, their sets, and the
+    smallest of these; equal sets in different groups repeat a row."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, blocks = int(size // GROUP_BYTES) + 1, int(size // (10 * BLOCK_TILES)) + 1
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int")
+    d = docs.select(part.alias("part"), "text")
+    answers = d.groupBy("part").applyInArrow(_index(n, percent, blocks), INDEX_SCHEMA).groupBy("block").applyInArrow(answer, ANSWER_SCHEMA)
+    return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_shared(n, percent), "tile bigint, key bigint, low bigint").distinct()
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -207,25 +258,20 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, class_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(n, percent), _TABLE), "sets")
+    table = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(n), _TABLE), "sets")
     whole = table.where("n > 0")
     nodes = written(whole.groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "bits")).alias("r")).select(
         "key", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("hash"), "r.n", "r.bits"), "nodes")
-    held = whole.select("key", F.explode("tiles").alias("tile"))
-    ends = held.groupBy("tile").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    shared = written(held.join(ends, "tile").distinct(), "tiles")
-    star = shared.where("key != low").select(F.explode(F.array(
-        F.struct(F.col("low").alias("a"), F.col("key").alias("b")),
-        F.when(F.col("key") != F.col("high"), F.struct(F.col("high").alias("a"), F.col("key").alias("b"))))).alias("p"))
-    star = star.where("p IS NOT NULL").select("p.a", "p.b").distinct()
+    shared = written(shared_tiles(docs, n, percent), "tiles")
+    star = shared.where("key != low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     links = written(exact_links(star, nodes, docs, n, percent, slice_rows), "links")
     roots = components(links)
     # Pairs of a tile that the first links leave apart.
-    placed = shared.join(roots, "key", "left").select("tile", "key", "low", "high", F.coalesce("root", "key").alias("root"))
+    placed = shared.join(roots, "key", "left").select("tile", "key", "low", F.coalesce("root", "key").alias("root"))
     apart = placed.groupBy("tile").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("tile")
     left = written(placed.join(apart, "tile"), "apart")
-    inner = left.where("key != low AND key != high")  # the ends were compared with all
+    inner = left.where("key != low")  # the smallest was compared with all
     one = inner.select("tile", F.col("key").alias("a"), F.col("root").alias("ra"))
     two = inner.select("tile", F.col("key").alias("b"), F.col("root").alias("rb"))
     rest = one.join(two, "tile").where("ra < rb").select("a", "b").distinct()
@@ -252,4 +298,4 @@ def keep_one_each(docs: DataFrame, **how) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")

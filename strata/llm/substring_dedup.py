@@ -12,12 +12,10 @@ document, which would grow with the square of the corpus.  It is cut into
 index blocks by the phrases' fingerprints, so that a phrase has to be looked
 up in one block alone, and every block is asked by every document group:
 
-1. Documents are dealt into groups by a hash of the id.  A group sorts the
-   fingerprints of its phrases and sends each block one packed row: distinct
-   fingerprints, the smallest id that has each, and whether others have it.
-   A phrase that a third of all documents share is one entry per group.
+1. Documents are dealt into groups by a hash of the id; a group sends each
+   block the fingerprints of its phrases and the smallest id that has each.
 2. A block merges the rows of all groups and answers each group with the
-   fingerprints that any smaller id has, and that id.
+   fingerprints that more than one id has, and the smallest of all ids.
 3. A group's documents, from the same shuffle as in 1, meet its answers and
    are factored.
 
@@ -34,18 +32,17 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import read
+from strata.llm.packed_index import ANSWER_SCHEMA, INDEX_SCHEMA, answer, index_rows, lookup
 
 #: Production parameters.
 WINDOW, GROUP_BYTES, BLOCK_PHRASES = 13, 8 << 20, 1_500_000
@@ -75,76 +72,15 @@ def phrases(texts: list[str | None], window: int) -> tuple[list[list[bytes]], np
     return words, first, prints[at], at
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def _unplanes(b: bytes, n: int, dtype: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(dtype).itemsize, n).T).view(dtype).ravel()
-
-
-def pack(prints: np.ndarray, ids: np.ndarray, others: np.ndarray) -> bytes:
-    """Ascending fingerprints with their ids and marks, as few bytes."""
-    known, place = np.unique(ids, return_inverse=True)
-    raw = b"".join((_planes(np.diff(prints, prepend=np.uint64(0))), _planes(np.diff(known, prepend=np.int64(0))),
-                    _planes(place.astype(np.uint32)), np.packbits(others).tobytes()))
-    return struct.pack("<II", len(prints), len(known)) + zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<II", packed)
-    raw = zstandard.ZstdDecompressor().decompress(packed[8:])
-    prints = np.cumsum(_unplanes(raw[:8 * n], n, np.uint64), dtype=np.uint64)
-    known = np.cumsum(_unplanes(raw[8 * n:8 * n + 8 * m], m, np.int64))
-    place = _unplanes(raw[8 * (n + m):8 * (n + m) + 4 * n], n, np.uint32)
-    return prints, known[place], np.unpackbits(np.frombuffer(raw[8 * (n + m) + 4 * n:], np.uint8), count=n).astype(bool)
-
-
-def _block_of(prints: np.ndarray, blocks: int) -> np.ndarray:
-    return ((prints >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-
-
 def _index(window: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
     """A group's rows to one packed row for each block."""
     def run(group: pa.Table) -> pa.Table:
-        group = group.filter(pa.compute.is_valid(group["doc_id"]))
-        ids = group["doc_id"].to_numpy()
+        part, group = group["part"][0].as_py(), group.filter(pc.is_valid(group["doc_id"]))
         _, first, prints, at = phrases(group["text"].to_pylist(), window)
-        of = ids[np.searchsorted(first, at, "right") - 1]
-        order = np.argsort(prints)
-        prints, of = prints[order], of[order]
-        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(prints)), bool), prints[1:] != prints[:-1])))
-        low = np.minimum.reduceat(of, starts) if len(starts) else of
-        others = np.maximum.reduceat(of, starts) != low if len(starts) else np.empty(0, bool)
-        prints = prints[starts]
-        block = _block_of(prints, blocks)
-        edges = np.searchsorted(block, np.arange(blocks + 1))
-        used = np.flatnonzero(np.diff(edges))
-        part = group["part"][0].as_py() if group.num_rows else 0
-        return pa.table({"block": pa.array(used, pa.int32()), "part": pa.array(np.full(len(used), part), pa.int32()), "packed": pa.array(
-            [pack(prints[edges[b]:edges[b + 1]], low[edges[b]:edges[b + 1]], others[edges[b]:edges[b + 1]]) for b in used], pa.binary())})
+        return index_rows(part, prints, group["doc_id"].to_numpy()[np.searchsorted(first, at, "right") - 1], blocks)
     return run
 
 
-def _answer(block: pa.Table) -> pa.Table:
-    """All groups' rows of a block to one answer for each group."""
-    rows = [unpack(b) for b in block["packed"].to_pylist()]
-    prints, ids, others = (np.concatenate(c) for c in zip(*rows))
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    order = np.argsort(prints)
-    sorted_prints = prints[order]
-    starts = np.flatnonzero(np.concatenate(([True], sorted_prints[1:] != sorted_prints[:-1])))
-    low = np.empty_like(ids)
-    low[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(order))))
-    asked = np.flatnonzero(others | (low < ids))  # in the order of the rows, each ascending
-    edges = np.searchsorted(of[asked], np.arange(len(rows) + 1))
-    used = np.flatnonzero(np.diff(edges))
-    none = np.zeros(0, bool)
-    parts = block["part"].to_numpy()
-    return pa.table({"part": pa.array(parts[used], pa.int32()), "packed": pa.array(
-        [pack(prints[a], low[a], none) for a in (asked[edges[k]:edges[k + 1]] for k in used)], pa.binary())})
-
-
 def factors(starts: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """(first word, words, id of the earlier document) of each factor, from
     the first words of a document's repeated phrases, ascending."""
@@ -164,18 +100,11 @@ def _parse(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         ids = group["doc_id"].to_pylist()
         words, first, prints, at = phrases(group["text"].to_pylist(), window)
-        got = [unpack(b) for b in answers["packed"].to_pylist()]
-        known = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.uint64)
-        earlier = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int64)
-        order = np.argsort(known)
-        known, earlier = known[order], earlier[order]
-        row = np.searchsorted(first, at, "right") - 1
-        place = np.minimum(np.searchsorted(known, prints), max(len(known) - 1, 0))
-        hit = known[place] == prints if len(known) else np.zeros(len(prints), bool)
+        hit, earlier = lookup(answers, prints)
         own = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
-        hit = np.flatnonzero(hit)
-        hit = hit[earlier[place[hit]] < own[row[hit]]] if len(hit) else hit
-        at, source, row = at[hit], (earlier[place[hit]] if len(hit) else earlier[:0]), row[hit]
+        row = np.searchsorted(first, at[hit], "right") - 1
+        later = earlier < own[row]
+        at, source, row = at[hit][later], earlier[later], row[later]
         edges = np.searchsorted(row, np.arange(len(ids) + 1))
         out = []
         for k, doc in enumerate(ids):
@@ -200,8 +129,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
     groups, blocks = int(size // group_bytes) + 1, int(size // (6 * block_phrases)) + 1
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int")
     d = d.select(part.alias("part"), "doc_id", "text")
-    index = d.groupBy("part").applyInArrow(_index(window, blocks), "block int, part int, packed binary")
-    answers = index.groupBy("block").applyInArrow(_answer, "part int, packed binary")
+    index = d.groupBy("part").applyInArrow(_index(window, blocks), INDEX_SCHEMA)
+    answers = index.groupBy("block").applyInArrow(answer, ANSWER_SCHEMA)
     return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_parse(window), _OUT)
 
 

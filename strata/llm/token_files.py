@@ -36,8 +36,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -93,14 +95,12 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker and file: it outlives the task."""
+    kept = sys.modules.setdefault("strata_encoders", ModuleType("strata_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def re_pair(symbols: np.ndarray, base: int, end: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT,
