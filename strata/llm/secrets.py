@@ -13,7 +13,8 @@ words in lower case (a first capital and single ``_ . / -`` between words are
 allowed) are ordinary.  Each distinct string counts once, so that a secret
 that was copied a million times teaches no more than one.
 
-Ratios are kept as whole thousandths, so that their sums are exact.  The
+The probability of a character after another is drawn towards its probability
+anywhere, so that few samples do.  Ratios are kept as whole thousandths, so that their sums are exact.  The
 texts are scanned once; the matches are written with the lengths of the
 pieces between them, and the rest works on those few rows.  The counts of
 pairs of characters, at most 66 x 65 rows, are joined, not collected.
@@ -95,11 +96,19 @@ def ratios(runs: DataFrame, samples: DataFrame) -> DataFrame:
     """(text, llr) of the distinct strings ``text``, in thousandths."""
     counts = _pairs(samples.where(F.length("text") > 0)).groupBy("a", "b").agg(
         F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o"))
-    totals = counts.groupBy("a").agg(F.sum("r").alias("tr"), F.sum("o").alias("to"))
+    after = counts.groupBy("a").agg(F.sum("r").alias("ar"), F.sum("o").alias("ao"))
+    alone = counts.groupBy("b").agg(F.sum("r").alias("br"), F.sum("o").alias("bo"))
+    both = counts.agg(F.sum("r"), F.sum("o")).first()
     at = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p = lambda c, t: F.log((at(c) + 1.0) / (at(t) + float(SYMBOLS)))
-    return (_pairs(runs).join(counts, ["a", "b"], "left").join(totals, "a", "left")
-            .groupBy("text").agg(F.sum(F.round((p("r", "tr") - p("o", "to")) * 1000).cast("long")).alias("llr")))
+    v = float(SYMBOLS)
+
+    def p(c: str, k: int) -> Column:
+        """log P(b after a), drawn towards P(b) where there are few samples."""
+        base = (at("b" + c) + 1.0) / ((both[k] or 0) + v)
+        return F.log((at(c) + base * v) / (at("a" + c) + v))
+
+    return (_pairs(runs).join(counts, ["a", "b"], "left").join(after, "a", "left").join(alone, "b", "left")
+            .groupBy("text").agg(F.sum(F.round((p("r", 0) - p("o", 1)) * 1000).cast("long")).alias("llr")))
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, min_llr: int = MIN_LLR, **columns: str) -> DataFrame:
@@ -167,14 +176,17 @@ samples AS (
 pairs AS (SELECT random, CASE WHEN i = 1 THEN '' ELSE text[i - 1] END AS a, text[i] AS b
           FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM samples)),
 counts AS (SELECT a, b, count(*) FILTER (random) AS r, count(*) FILTER (NOT random) AS o FROM pairs GROUP BY 1, 2),
-totals AS (SELECT a, sum(r) AS tr, sum(o) AS tot FROM counts GROUP BY 1),
+after AS (SELECT a, sum(r) AS ar, sum(o) AS ao FROM counts GROUP BY 1),
+alone AS (SELECT b, sum(r) AS br, sum(o) AS bo FROM counts GROUP BY 1),
+total AS (SELECT coalesce(sum(r), 0) AS tr, coalesce(sum(o), 0) AS tot FROM counts),
 judged AS (SELECT * FROM markov_s WHERE regexp_matches(found, '[A-Za-z]') AND regexp_matches(found, '[0-9]')),
 steps AS (SELECT text, CASE WHEN i = 1 THEN '' ELSE text[i - 1] END AS a, text[i] AS b
           FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT DISTINCT found AS text FROM judged))),
 llr AS (
-  SELECT text, sum(round((ln((coalesce(r, 0) + 1.0::DOUBLE) / (coalesce(tr, 0) + {SYMBOLS}.0::DOUBLE))
-                          - ln((coalesce(o, 0) + 1.0::DOUBLE) / (coalesce(tot, 0) + {SYMBOLS}.0::DOUBLE))) * 1000)::BIGINT) AS llr
-  FROM steps LEFT JOIN counts USING (a, b) LEFT JOIN totals USING (a) GROUP BY 1),
+  SELECT text, sum(round((
+    ln((coalesce(r, 0) + (coalesce(br, 0) + 1.0::DOUBLE) / (tr + {SYMBOLS}.0::DOUBLE) * {SYMBOLS}.0::DOUBLE) / (coalesce(ar, 0) + {SYMBOLS}.0::DOUBLE))
+    - ln((coalesce(o, 0) + (coalesce(bo, 0) + 1.0::DOUBLE) / (tot + {SYMBOLS}.0::DOUBLE) * {SYMBOLS}.0::DOUBLE) / (coalesce(ao, 0) + {SYMBOLS}.0::DOUBLE))) * 1000)::BIGINT) AS llr
+  FROM steps LEFT JOIN counts USING (a, b) LEFT JOIN after USING (a) LEFT JOIN alone USING (b), total GROUP BY 1),
 added AS (
   SELECT j.* FROM judged j JOIN llr ON j.found = llr.text AND llr.llr > {MIN_LLR}
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = j.r AND b.start < j.stop AND j.start < b.stop)),
