@@ -13,24 +13,28 @@ set goes to its band, and to the next one if it can link there.  A set with k
 parts or fewer that are not empty also goes to the tiles of its empty parts;
 the number of parts makes that rare.
 
-Bounds.  Each set has a bitmap of 1,024 bits, the parity of the shingles that
-hash to a bit.  Bits that differ between two sets count at most once per
-shingle that only one of them has, so that their number bounds the overlap
-from above.  Pairs that pass are compared exactly, as sorted arrays made from
-the texts.
-
-Pairs.  Comparing all pairs of a tile would grow with the square of a group of
-near copies.  First every set of a tile is compared with the tile's smallest
-key; the links found are joined into components.  Then only pairs
-of a tile that lie in different components are compared.  So every pair that
-shares a tile was compared or is connected anyway, and the components are
+Bounds.  Each set has a bitmap, the parity of the shingles that hash to a bit;
+its width follows from the band.  Bits that differ between two sets count at
+most once per shingle that only one of them has, so that their number bounds
+the overlap from above.  The bitmaps of a tile's sets are compared where the
+tile is; only pairs that pass leave it, and are compared exactly, as sorted
+arrays made from the texts.
+
+Pairs.  A group of near copies has more links than can be written down.  First
+a tile gives a forest: of the pairs that pass only those that connect what is
+not connected yet.  The links found are joined into components.  Then all
+pairs that pass and still lie in different components are compared; as nearly
+all pairs that pass are links, these are few.  So every pair that shares a tile
+was bounded away, was compared, or is connected anyway, and the components are
 those of all links.
 
 Finding the tiles that are shared.  Documents are dealt into groups; groups
 and index blocks exchange packed rows (see ``packed_index``), in which a tile
-is one entry per group, however many sets of the group are in it.  A key with
-many partners is compared in slices of ``slice_rows``; joins on a tile or key
-are left to the engine's skew handling.
+is one entry per group, however many sets of the group are in it.  A tile of
+more than ``CELL`` sets is cut into blocks, and each pair of blocks is a cell
+of its own, in a task of its own.  A key with many partners is compared in
+slices of ``slice_rows``; joins on a tile or key are left to the engine's skew
+handling.
 
 Sets are known by a 64-bit key (a sum of mixed shingle hashes) and shingles by
 64-bit hashes: two given ones meet by chance with probability 2^-64.
@@ -57,7 +61,7 @@ from strata.llm.packed_index import ANSWER_SCHEMA, INDEX_SCHEMA, answer, index_r
 
 #: Production parameters.
 N, PERCENT, SLICE_ROWS = 5, 80, 400
-BAND, BITS, GROUP_BYTES, BLOCK_TILES = 1.3, 1024, 8 << 20, 1_500_000
+BAND, CELL, CELL_ROWS, GROUP_BYTES, BLOCK_TILES = 1.3, 2_000, 20_000, 8 << 20, 1_500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -146,12 +150,23 @@ def tiles(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that hash to each of BITS bits, as 64-bit words."""
-    odd = np.bincount((mixed(s, 3) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+def bitmap(s: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the shingles that hash to each bit, as 64-bit words: the
+    power of two of at least 512 bits and four times what linked sets differ in."""
+    bits = 512
+    while len(s) and bits < 4 * most_different(band_of(len(s)), percent):
+        bits *= 2
+    odd = np.bincount((mixed(s, 3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of fewer words."""
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
 _TABLE = "doc_id bigint, text_hash bigint, key bigint, n bigint, bits array<bigint>"
 _TABLE_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
@@ -160,10 +175,10 @@ def key_of(s: np.ndarray) -> int:
     return int(mixed(s, 0).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
-def _describe(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _describe(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(key_of(s), len(s), bitmap(s)) for s in (shingles(t.as_py(), n) for t in b.column(2))]
+            rows = [(key_of(s), len(s), bitmap(s, percent)) for s in (shingles(t.as_py(), n) for t in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_TABLE_ARROW)[2:]))], schema=_TABLE_ARROW)
     return run
 
@@ -185,20 +200,19 @@ def _index(n: int, percent: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
 def _shared(n: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         tile, key = _group_tiles(group["text"].to_pylist(), n, percent) if answers.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        hit, low = lookup(answers, tile)
-        return pa.table({"tile": pa.array(tile[hit].view(np.int64)), "key": pa.array(key[hit]), "low": pa.array(low, pa.int64())})
+        hit, _ = lookup(answers, tile)
+        return pa.table({"tile": pa.array(tile[hit].view(np.int64)), "key": pa.array(key[hit])})
     return run
 
 
 def shared_tiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(tile, key, low): the tiles that hold several sets, their sets, and the
-    smallest of these; equal sets in different groups repeat a row."""
+    """(tile, key): the tiles that hold several sets, and their sets."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, blocks = int(size // GROUP_BYTES) + 1, int(size // (10 * BLOCK_TILES)) + 1
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int")
     d = docs.select(part.alias("part"), "text")
     answers = d.groupBy("part").applyInArrow(_index(n, percent, blocks), INDEX_SCHEMA).groupBy("block").applyInArrow(answer, ANSWER_SCHEMA)
-    return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_shared(n, percent), "tile bigint, key bigint, low bigint").distinct()
+    return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_shared(n, percent), "tile bigint, key bigint").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -216,18 +230,70 @@ def _compare(n: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, slice_rows: int) -> DataFrame:
-    """(a, b) of the distinct pairs of keys that link.
+def passing(n: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others can link with set i, by sizes and bitmaps."""
+    total = n[others] + n[i]
+    most = (total - np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)) // 2  # the overlap is at most this
+    return others[(100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])) & (100 * most >= percent * (total - most))]
 
-    Sizes and bitmaps bound the overlap; what passes is compared exactly, the
-    partners of a key in slices, each with a copy of the key's text.
-    """
-    info = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-    p = pairs.join(info("a"), "a").join(info("b"), "b")
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    most = (F.col("na") + F.col("nb") - differ) / 2.0  # the overlap is at most this
-    p = p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    p = written(p.where(most * 100 >= (F.col("na") + F.col("nb") - most) * percent).select("a", "b"), "pairs")
+
+def _cell(percent: int, forest: bool) -> Callable[[pa.Table], pa.Table]:
+    """Members (tile, block, key, root, n, bits) of tiles to the pairs that
+    pass: of different roots, and in a forest only what connects roots anew."""
+    def run(rows: pa.Table) -> pa.Table:
+        tile, key, block, n = (rows[c].to_numpy() for c in ("tile", "key", "block", "n"))
+        order = np.lexsort((key, tile))
+        tile, key, block, n = tile[order], key[order], block[order], n[order]
+        roots, maps = rows["root"].to_numpy()[order], rows["bits"].combine_chunks()
+        flat, offsets = maps.values.to_numpy(), maps.offsets.to_numpy()
+        left, right = [], []
+        edges = np.append(np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))), len(tile))
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a < 2:
+                continue
+            own = [flat[offsets[k]:offsets[k + 1]] for k in order[a:b]]
+            words = min(map(len, own))
+            bits = np.array([folded(x, words) for x in own]).view(np.uint64)
+            size, of, which, parent = n[a:b], roots[a:b], block[a:b], {}
+
+            def find(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+            two = which.min() != which.max()
+            for i in range(b - a - 1):
+                others = np.arange(i + 1, b - a)
+                others = others[(of[others] != of[i]) & ((which[others] != which[i]) | (not two))]
+                for j in passing(size, bits, i, others, percent).tolist() if len(others) else ():
+                    if forest:
+                        x, y = find(of[i].item()), find(of[j].item())
+                        if x == y:
+                            continue
+                        parent[max(x, y)] = min(x, y)
+                    left.append(key[a + i])
+                    right.append(key[a + j])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+    return run
+
+
+def tile_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b), a < b: pairs of the tiles' members (tile, key, root) that pass."""
+    counts = members.groupBy("tile").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    buckets = int(members.count() // CELL_ROWS) + 1
+    m = members.join(counts, "tile").join(nodes.select("key", "n", "bits"), "key")
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), "blocks")).otherwise(0).cast("int")
+    m = m.select("tile", "key", "root", "n", "bits", "blocks", block.alias("block"))
+    # A tile of one block shares a task with other tiles; else each pair of blocks is a cell.
+    m = m.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    single = F.col("blocks") == 1
+    m = m.select(F.when(single, F.pmod("tile", F.lit(buckets))).otherwise(F.col("tile")).alias("cell"), single.alias("single"),
+                 F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile", "block", "key", "root", "n", "bits")
+    return m.groupBy("cell", "single", "lo", "hi").applyInArrow(_cell(percent, forest), "a bigint, b bigint").distinct()
+
+
+def exact_links(p: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, slice_rows: int) -> DataFrame:
+    """(a, b) of the pairs of keys (a, b) that link: the partners of a key are
+    compared in slices, each with a copy of the key's text."""
     slices = p.groupBy("a").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
     members = p.join(slices, "a").select("a", F.pmod("b", "slices").cast("int").alias("slice"), F.col("b").alias("key"))
     hubs = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("key"))
@@ -258,24 +324,19 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, class_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(n), _TABLE), "sets")
+    table = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(n, percent), _TABLE), "sets")
     whole = table.where("n > 0")
     nodes = written(whole.groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "bits")).alias("r")).select(
         "key", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("hash"), "r.n", "r.bits"), "nodes")
     shared = written(shared_tiles(docs, n, percent), "tiles")
-    star = shared.where("key != low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(exact_links(star, nodes, docs, n, percent, slice_rows), "links")
-    roots = components(links)
-    # Pairs of a tile that the first links leave apart.
-    placed = shared.join(roots, "key", "left").select("tile", "key", "low", F.coalesce("root", "key").alias("root"))
+    first = written(tile_pairs(shared.withColumn("root", F.col("key")), nodes, percent, forest=True), "pairs")
+    links = written(exact_links(first, nodes, docs, n, percent, slice_rows), "links")
+    # What passes and the forest's links leave apart.
+    placed = written(shared.join(components(links), "key", "left").select("tile", "key", F.coalesce("root", "key").alias("root")), "placed")
     apart = placed.groupBy("tile").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("tile")
-    left = written(placed.join(apart, "tile"), "apart")
-    inner = left.where("key != low")  # the smallest was compared with all
-    one = inner.select("tile", F.col("key").alias("a"), F.col("root").alias("ra"))
-    two = inner.select("tile", F.col("key").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "tile").where("ra < rb").select("a", "b").distinct()
-    more = exact_links(rest, nodes, docs, n, percent, slice_rows)
+    rest = tile_pairs(placed.join(apart, "tile"), nodes, percent, forest=False).join(first, ["a", "b"], "left_anti")
+    more = exact_links(written(rest, "pairs"), nodes, docs, n, percent, slice_rows)
     roots = components(links.unionByName(more))
     rooted = whole.select("doc_id", "text_hash", "n", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
