@@ -90,8 +90,8 @@ UNION ALL SELECT 'products_without_sales', count(*) FROM (SELECT DISTINCT produc
 UNION ALL SELECT 'orders_without_items', count(*) FROM orders_a o
   WHERE NOT EXISTS (SELECT 1 FROM order_items_a i WHERE i.order_id = o.order_id)"""
 
-_MASK = ("regexp_replace(substr(sensitive_ssn, 1, length(sensitive_ssn) - 4), '[0-9]', '*', 'g') "
-         "|| right(sensitive_ssn, 4)")
+_MASK = ("CASE WHEN length(sensitive_ssn) > 4 THEN regexp_replace(substr(sensitive_ssn, 1, length(sensitive_ssn) - 4), '[0-9]', '*', 'g') "
+         "|| right(sensitive_ssn, 4) ELSE repeat('*', length(sensitive_ssn)) END")
 
 MASK_COLUMNS = f"SELECT * REPLACE ({_MASK} AS sensitive_ssn, sha256(email) AS email) FROM customers_a"
 

@@ -8,7 +8,7 @@ AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 AS_OF_DATE = "DATE '2024-01-31'"
 
 OPS_BASE = f"""
-cost_lines AS (SELECT CAST(ts AS DATE) AS date, event_type AS service, {dbl2dec('value')} AS amount,
+cost_lines AS (SELECT CAST(ts AS DATE) AS date, event_type AS service, {dbl2dec('value', 18, 6)} AS amount,
                       'p' || CAST(user_id % 2 AS VARCHAR) AS project FROM events),
 audit_events AS (SELECT ts AS eventTime, event_type AS eventName, '10.0.0.' || CAST(user_id AS VARCHAR) AS sourceIPAddress,
                         'User' AS identity_type, event_id FROM events),
@@ -51,14 +51,14 @@ SELECT date, {money('sum(amount)')} AS daily_cost FROM cost_lines WHERE {window(
 COST_SUMMARY = f"""
 SELECT DATE '2024-01-24' AS period_start, {AS_OF_DATE} AS period_end,
        {money('coalesce(sum(amount), 0)')} AS total_cost,
-       {div('coalesce(sum(amount), 0)', '7', 2, ns=2, ds=0)} AS daily_average,
+       {div('coalesce(sum(amount), 0)', '7', 2, ns=6, ds=0)} AS daily_average,
        count(DISTINCT service) AS services
 FROM cost_lines WHERE {window(7)}"""
 
 TOP_SERVICES = f"""
-SELECT * FROM (SELECT service, {money('sum(amount)')} AS total_cost FROM cost_lines WHERE {window(7)}
-               GROUP BY service ORDER BY total_cost DESC, service LIMIT 10) t
-WHERE total_cost > 0.01"""
+SELECT service, {money('exact')} AS total_cost FROM (SELECT service, sum(amount) AS exact FROM cost_lines WHERE {window(7)}
+               GROUP BY service ORDER BY exact DESC, service LIMIT 10) t
+WHERE exact > 0.01"""
 
 COST_MTD = f"""
 SELECT DATE '2024-01-01' AS month_start, {money('coalesce(sum(amount), 0)')} AS blended_total, 'p0' AS project,
@@ -66,15 +66,15 @@ SELECT DATE '2024-01-01' AS month_start, {money('coalesce(sum(amount), 0)')} AS
 FROM cost_lines WHERE date >= DATE '2024-01-01' AND date < {AS_OF_DATE}"""
 
 DAILY_ALERT = f"""
-per_ds AS (SELECT date, service, {money('sum(amount)')} AS cost FROM cost_lines GROUP BY date, service),
-per_d AS (SELECT date, {money('sum(cost)')} AS total_cost,
-                 coalesce(string_agg(service || ':' || CAST(cost AS VARCHAR), ', ' ORDER BY cost DESC, service)
+per_ds AS (SELECT date, service, sum(amount) AS cost FROM cost_lines GROUP BY date, service),
+per_d AS (SELECT date, sum(cost) AS exact,
+                 coalesce(string_agg(service || ':' || CAST({money('cost')} AS VARCHAR), ', ' ORDER BY cost DESC, service)
                           FILTER (WHERE cost > 0.01), '') AS breakdown
           FROM per_ds GROUP BY date)"""
 
 DAILY_ALERT_SELECT = f"""
-SELECT date, total_cost, CAST(10 AS DECIMAL(18,2)) AS threshold,
-       {money('greatest(total_cost - 10, 0)')} AS overage, total_cost > 10 AS alert, breakdown FROM per_d"""
+SELECT date, {money('exact')} AS total_cost, CAST(10 AS DECIMAL(18,2)) AS threshold,
+       {money('greatest(exact - 10, 0)')} AS overage, exact > 10 AS alert, breakdown FROM per_d"""
 
 BUDGET_RUNNING = f"""
 daily AS (SELECT date, sum(amount) AS spend FROM cost_lines GROUP BY date),
@@ -83,8 +83,8 @@ run AS (SELECT date, spend, sum(spend) OVER (PARTITION BY date_trunc('month', da
 
 BUDGET_RUNNING_SELECT = f"""
 SELECT date, {money('spend')} AS daily_cost, {money('mtd')} AS month_to_date,
-       {div('mtd', '100', 2, ns=2, ds=0, factor=100)} AS pct_of_limit,
-       mtd >= 80 AND mtd - spend < 80 AS crosses_80, mtd >= 100 AND mtd - spend < 100 AS crosses_100
+       {div('mtd', '100', 2, ns=6, ds=0, factor=100)} AS pct_of_limit,
+       mtd > 80 AND mtd - spend <= 80 AS crosses_80, mtd > 100 AND mtd - spend <= 100 AS crosses_100
 FROM run"""
 
 BUDGET_STATUS = f"""
@@ -93,18 +93,17 @@ a AS (SELECT coalesce(sum(amount), 0) AS actual FROM cost_lines
 
 BUDGET_STATUS_SELECT = f"""
 SELECT DATE '2024-01-01' AS month_start, CAST(100 AS DECIMAL(18,2)) AS budget_limit, {money('actual')} AS actual,
-       {div('actual', '100', 2, ns=2, ds=0, factor=100)} AS pct_used,
-       {div('actual', '30', 2, ns=2, ds=0, factor=31)} AS forecast,
-       actual >= 80 AS actual_80, actual >= 100 AS actual_100,
-       {div('actual', '30', 2, ns=2, ds=0, factor=31)} >= 100 AS forecast_100
+       {div('actual', '100', 2, ns=6, ds=0, factor=100)} AS pct_used,
+       {div('actual', '30', 2, ns=6, ds=0, factor=31)} AS forecast,
+       actual > 80 AS actual_80, actual > 100 AS actual_100, actual * 31 > 3000 AS forecast_100
 FROM a"""
 
 ANOMALY = f"""
 daily AS (SELECT service, date, sum(amount) AS spend FROM cost_lines GROUP BY service, date),
 t AS (SELECT service, date, spend,
              sum(spend) OVER w AS s, count(spend) OVER w AS n, stddev_samp(spend) OVER w AS sd
-      FROM daily WINDOW w AS (PARTITION BY service ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
-t2 AS (SELECT *, {div('s', 'n', 2, ns=2, ds=0)} AS trailing_mean, CAST(round(sd, 4) AS DECIMAL(18,4)) AS trailing_sd FROM t)"""
+      FROM daily WINDOW w AS (PARTITION BY service ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+t2 AS (SELECT *, {div('s', 'n', 2, ns=6, ds=0)} AS trailing_mean, CAST(round(sd, 4) AS DECIMAL(18,4)) AS trailing_sd FROM t)"""
 
 ANOMALY_SELECT = f"""
 SELECT service, date, {money('spend')} AS daily_cost, trailing_mean, trailing_sd, n AS trailing_days,
@@ -154,9 +153,9 @@ SELECT s.span_id, s.trace_id, s.parent_span_id, CAST(coalesce(k.n_children, 0) A
        CAST(s.duration_ms - coalesce(k.children_ms, 0) AS DECIMAL(18,2)) AS self_time_ms,
        s.parent_span_id IS NOT NULL AND p.span_id IS NULL AS is_orphan
 FROM spans s
-LEFT JOIN (SELECT parent_span_id, count(*) AS n_children, sum(duration_ms) AS children_ms FROM spans
-           WHERE parent_span_id IS NOT NULL GROUP BY parent_span_id) k ON s.span_id = k.parent_span_id
-LEFT JOIN (SELECT span_id FROM spans) p ON s.parent_span_id = p.span_id"""
+LEFT JOIN (SELECT trace_id, parent_span_id, count(*) AS n_children, sum(duration_ms) AS children_ms FROM spans
+           WHERE parent_span_id IS NOT NULL GROUP BY ALL) k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id
+LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM spans) p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id"""
 
 STACK_HEALTH = """
 SELECT stack_name, status, checked_at,
@@ -189,7 +188,7 @@ SELECT bucket, coalesce(storage_class, 'STANDARD') AS storage_class, count(*) AS
        CAST(sum(size) AS BIGINT) AS total_size FROM objects GROUP BY 1, 2"""
 
 VERSION_COUNTS = """
-SELECT bucket, count(*) AS versions, count(CASE WHEN is_delete_marker THEN 1 END) AS delete_markers,
+SELECT bucket, count(CASE WHEN NOT is_delete_marker THEN 1 END) AS versions, count(CASE WHEN is_delete_marker THEN 1 END) AS delete_markers,
        count(CASE WHEN NOT is_delete_marker THEN 1 END) AS live_versions FROM objects GROUP BY bucket"""
 
 TIER = """CASE

@@ -30,7 +30,7 @@ def m3_cte(grain="order") -> str:
     return (MS.M3_ORDER if grain == "order" else MS.M3_ITEM) + f",\nm3x AS ({MS.M3_SELECT})"
 
 
-_cs_ctes, _cs_body = MS.cross_sell_sql(2)
+_cs_ctes, _cs_body = MS.cross_sell_sql(1)
 
 MART_SQL = {
     "customer_analytics": m1_sql("order"),

@@ -21,7 +21,7 @@ def dbl2dec(x: str, p: int = 12, s: int = 2) -> str:
 
 
 def money(x: str, s: int = 2) -> str:
-    return f"CAST(round({x}, {s}) AS DECIMAL(18,{s}))"
+    return f"CAST(round({x}, {s}) AS DECIMAL(38,{s}))"
 
 
 def div(num: str, den: str, scale: int = 2, ns: int = 2, ds: int = 0, factor: int = 1,

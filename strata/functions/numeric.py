@@ -19,9 +19,10 @@ def to_dec(c: Column | str, scale: int = 2, precision: int = 18) -> Column:
 
 
 def money(c: Column | str, scale: int = 2) -> Column:
-    """Round HALF_UP to ``scale`` and type as DECIMAL(18, scale)."""
+    """Round HALF_UP to ``scale`` and type as DECIMAL(38, scale): a total over
+    the whole target size does not fit 18 digits."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, scale).cast(f"decimal(18,{scale})")
+    return F.round(c, scale).cast(f"decimal(38,{scale})")
 
 
 def div_round(num: Column | str, den: Column | str, scale: int = 2,

@@ -31,9 +31,8 @@ def _day(as_of) -> date:
 def cost_by_service(costs: DataFrame, start, end) -> DataFrame:
     """O1: spend per service over [start, end), services with spend > 0."""
     return (costs.where((F.col("date") >= _d(start)) & (F.col("date") < _d(end)))
-            .groupBy("service").agg(money(F.sum("amount")).alias("total_cost"))
-            .where(F.col("total_cost") > 0)
-            .orderBy(F.desc("total_cost"), "service"))
+            .groupBy("service").agg(F.sum("amount").alias("exact")).where(F.col("exact") > 0)
+            .orderBy(F.desc("exact"), "service").select("service", money("exact").alias("total_cost")))
 
 
 def cost_daily_trend(costs: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -53,7 +52,7 @@ def cost_summary(costs: DataFrame, as_of, days: int = 7) -> DataFrame:
     return w.agg(
         _d(start).alias("period_start"), _d(end).alias("period_end"),
         money(F.coalesce(F.sum("amount"), F.lit(0))).alias("total_cost"),
-        div_round(F.coalesce(F.sum("amount"), F.lit(0)), F.lit(days), 2).alias("daily_average"),
+        div_round(F.coalesce(F.sum("amount"), F.lit(0)), F.lit(days), 2, in_scale=6).alias("daily_average"),
         F.countDistinct("service").alias("services"))
 
 
@@ -66,9 +65,9 @@ def top_services(costs: DataFrame, as_of, days: int = 7, k: int = 10,
     end = _day(as_of)
     start = end - timedelta(days=days)
     per = (costs.where((F.col("date") >= _d(start)) & (F.col("date") < _d(end)))
-           .groupBy("service").agg(money(F.sum("amount")).alias("total_cost")))
-    top = per.orderBy(F.desc("total_cost"), "service").limit(k)
-    return top.where(F.col("total_cost") > F.lit(Decimal(min_cost)))
+           .groupBy("service").agg(F.sum("amount").alias("exact")))
+    top = per.orderBy(F.desc("exact"), "service").limit(k)
+    return top.where(F.col("exact") > F.lit(Decimal(min_cost))).select("service", money("exact").alias("total_cost"))
 
 
 def cost_month_to_date(costs: DataFrame, as_of, project: str | None = None) -> DataFrame:
@@ -84,23 +83,25 @@ def cost_month_to_date(costs: DataFrame, as_of, project: str | None = None) -> D
         money(F.coalesce(proj, F.lit(0))).alias("project_total"))
 
 
-def daily_cost_alert(costs: DataFrame, threshold: str = "10") -> DataFrame:
+def daily_cost_alert(costs: DataFrame, threshold: str = "10", project: str | None = None) -> DataFrame:
     """Per day: total, threshold, overage, alert flag, and the services
-    above 0.01 as ``service:cost`` text, costliest first.
+    above 0.01 as ``service:cost`` text, costliest first; of one project only
+    if it is named.  Limits are compared with exact sums; only what is shown
+    is rounded.
 
     The breakdown list per day is bounded by the number of services.
     """
     thr = F.lit(Decimal(threshold)).cast("decimal(18,2)")
-    per_ds = costs.groupBy("date", "service").agg(money(F.sum("amount")).alias("cost"))
+    if project is not None:
+        costs = costs.where(F.col("project") == project)
+    per_ds = costs.groupBy("date", "service").agg(F.sum("amount").alias("cost"))
     item = F.when(F.col("cost") > F.lit(Decimal("0.01")),
-                  F.struct((-F.col("cost")).alias("k"), F.col("service").alias("s"), F.col("cost").alias("c")))
-    per_d = per_ds.groupBy("date").agg(
-        money(F.sum("cost")).alias("total_cost"),
-        F.sort_array(F.collect_list(item)).alias("items"))
+                  F.struct((-F.col("cost")).alias("k"), F.col("service").alias("s"), money("cost").alias("c")))
+    per_d = per_ds.groupBy("date").agg(F.sum("cost").alias("exact"), F.sort_array(F.collect_list(item)).alias("items"))
     return per_d.select(
-        "date", "total_cost", thr.alias("threshold"),
-        money(F.greatest(F.col("total_cost") - thr, F.lit(0))).alias("overage"),
-        (F.col("total_cost") > thr).alias("alert"),
+        "date", money("exact").alias("total_cost"), thr.alias("threshold"),
+        money(F.greatest(F.col("exact") - thr, F.lit(0))).alias("overage"),
+        (F.col("exact") > thr).alias("alert"),
         F.array_join(F.transform("items", lambda x: F.concat(x["s"], F.lit(":"), x["c"].cast("string"))),
                      ", ").alias("breakdown"))
 
@@ -113,8 +114,8 @@ def _month_bounds(as_of):
 
 
 def budget_running(costs: DataFrame, limit: str = "100", services: list | None = None) -> DataFrame:
-    """Month-to-date spend per day and the days it first passes 80 % and
-    100 % of the monthly limit."""
+    """Month-to-date spend per day and the days it first exceeds 80 % and
+    100 % of the monthly limit (greater than, as the alert rule has it)."""
     c = costs.where(F.col("service").isin(services)) if services else costs
     daily = c.groupBy("date").agg(F.sum("amount").alias("spend"))
     w = (Window.partitionBy(F.trunc("date", "month")).orderBy("date")
@@ -124,9 +125,9 @@ def budget_running(costs: DataFrame, limit: str = "100", services: list | None =
     prev = F.col("mtd") - F.col("spend")
     return run.select(
         "date", money("spend").alias("daily_cost"), money("mtd").alias("month_to_date"),
-        div_round("mtd", lim, 2, factor=100).alias("pct_of_limit"),
-        ((F.col("mtd") >= lim * F.lit(Decimal("0.8"))) & (prev < lim * F.lit(Decimal("0.8")))).alias("crosses_80"),
-        ((F.col("mtd") >= lim) & (prev < lim)).alias("crosses_100"))
+        div_round("mtd", lim, 2, factor=100, in_scale=6).alias("pct_of_limit"),
+        ((F.col("mtd") > lim * F.lit(Decimal("0.8"))) & (prev <= lim * F.lit(Decimal("0.8")))).alias("crosses_80"),
+        ((F.col("mtd") > lim) & (prev <= lim)).alias("crosses_100"))
 
 
 def budget_status(costs: DataFrame, as_of, limit: str = "100", services: list | None = None) -> DataFrame:
@@ -140,25 +141,26 @@ def budget_status(costs: DataFrame, as_of, limit: str = "100", services: list |
         c = c.where(F.col("service").isin(services))
     lim = F.lit(Decimal(limit)).cast("decimal(18,2)")
     a = c.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("actual"))
-    fc = div_round("actual", F.lit(elapsed), 2, factor=dim)
+    fc = div_round("actual", F.lit(elapsed), 2, factor=dim, in_scale=6)
     return a.select(
         _d(start).alias("month_start"), lim.alias("budget_limit"), money("actual").alias("actual"),
-        div_round("actual", lim, 2, factor=100).alias("pct_used"), fc.alias("forecast"),
-        (F.col("actual") >= lim * F.lit(Decimal("0.8"))).alias("actual_80"),
-        (F.col("actual") >= lim).alias("actual_100"),
-        (fc >= lim).alias("forecast_100"))
+        div_round("actual", lim, 2, factor=100, in_scale=6).alias("pct_used"), fc.alias("forecast"),
+        (F.col("actual") > lim * F.lit(Decimal("0.8"))).alias("actual_80"),
+        (F.col("actual") > lim).alias("actual_100"),
+        (F.col("actual") * dim > lim * elapsed).alias("forecast_100"))
 
 
 def cost_anomaly(costs: DataFrame, days: int = 7, sigmas: int = 3) -> DataFrame:
-    """Daily spend per service against its trailing ``days``-day mean and
-    sample standard deviation (the current day excluded)."""
+    """Daily spend per service against the mean and sample standard
+    deviation of the days with spend among the ``days`` calendar days before
+    it (the current day excluded; a day without spend is no observation)."""
     daily = costs.groupBy("service", "date").agg(F.sum("amount").alias("spend"))
-    w = Window.partitionBy("service").orderBy("date").rowsBetween(-days, -1)
+    w = Window.partitionBy("service").orderBy(F.unix_date("date")).rangeBetween(-days, -1)
     t = daily.select(
         "service", "date", "spend",
         F.sum("spend").over(w).alias("s"), F.count("spend").over(w).alias("n"),
         F.stddev_samp("spend").over(w).alias("sd"))
-    mean = div_round("s", "n", 2)
+    mean = div_round("s", "n", 2, in_scale=6)
     sd = F.round(F.col("sd"), 4).cast("decimal(18,4)")
     return t.select(
         "service", "date", money("spend").alias("daily_cost"), mean.alias("trailing_mean"),
@@ -166,8 +168,18 @@ def cost_anomaly(costs: DataFrame, days: int = 7, sigmas: int = 3) -> DataFrame:
         F.coalesce((F.col("n") >= 2) & (F.col("spend") > mean + F.lit(sigmas) * sd), F.lit(False)).alias("is_anomaly"))
 
 
-def cluster_run_cost(runs: DataFrame, as_of: datetime, rate: str = "1.5") -> DataFrame:
-    """Hours since creation, hours x rate, long-running flags."""
+# The states in which a cluster counts as active.
+ACTIVE_STATES = ("STARTING", "BOOTSTRAPPING", "RUNNING", "WAITING")
+
+
+def cluster_run_cost(runs: DataFrame, as_of: datetime, rate: str = "1.5", name_prefix: str | None = None,
+                     states: tuple[str, ...] | None = ACTIVE_STATES) -> DataFrame:
+    """Hours since creation, hours x rate, long-running flags of the
+    active clusters whose name starts with ``name_prefix``."""
+    if name_prefix:
+        runs = runs.where(F.col("name").startswith(name_prefix))
+    if states:
+        runs = runs.where(F.col("state").isin(list(states)))
     micros = (F.unix_micros(ts_lit(as_of).cast("timestamp"))
               - F.unix_micros(F.col("creation_time").cast("timestamp")))
     hour = 3_600_000_000

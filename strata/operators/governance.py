@@ -28,18 +28,21 @@ class AccessDenied(PermissionError):
 
 
 def _mask(col: str, how: str) -> F.Column:
-    """``last4``: every digit but the last four becomes ``*``; ``full``: ``****``."""
+    """``last4``: every digit but the last four characters' becomes ``*``, and
+    all of them where there are no more than four; ``full``: ``****``."""
     c = F.col(col)
     if how == "last4":
         head = F.expr(f"substr(`{col}`, 1, length(`{col}`) - 4)")
-        return F.concat(F.regexp_replace(head, r"[0-9]", "*"), F.expr(f"substr(`{col}`, -4, 4)"))
+        long = F.concat(F.regexp_replace(head, r"[0-9]", "*"), F.expr(f"substr(`{col}`, -4, 4)"))
+        return F.when(F.length(c) > 4, long).otherwise(F.regexp_replace(c, ".", "*"))
     if how == "full":
         return F.when(c.isNull(), c).otherwise(F.lit("****"))
     raise ValueError(how)
 
 
-def apply_policy(df: DataFrame, role: str, policy: dict | None = None) -> DataFrame:
-    """G3 + G4: drop, mask and hash columns, then filter rows, for ``role``."""
+def apply_policy(df: DataFrame, role: str, policy: dict | None = None, salt: str = "") -> DataFrame:
+    """G3 + G4: drop, mask and hash (after ``salt``) columns, then filter rows,
+    for ``role``."""
     rules = (policy or DEFAULT_POLICY)[role]
     out = df
     for c, vals in rules.get("rows", {}).items():
@@ -48,7 +51,7 @@ def apply_policy(df: DataFrame, role: str, policy: dict | None = None) -> DataFr
     if drops:
         out = out.drop(*drops)
     repl = {c: _mask(c, how) for c, how in rules.get("mask", {}).items() if c in out.columns}
-    repl.update({c: F.sha2(F.col(c), 256) for c in rules.get("hash", []) if c in out.columns})
+    repl.update({c: F.sha2(F.concat(F.lit(salt), F.col(c)), 256) for c in rules.get("hash", []) if c in out.columns})
     return out.withColumns(repl) if repl else out
 
 

@@ -47,19 +47,35 @@ def customers_orders(customers: DataFrame, orders: DataFrame) -> DataFrame:
     return customers.join(orders, "customer_id")
 
 
-def basket_pairs(items: DataFrame, min_count: int = 2) -> DataFrame:
-    """Product pairs (a < b) bought in the same order, counted.
+def basket(items: DataFrame) -> DataFrame:
+    """Distinct (order_id, product_id): one line per product of an order."""
+    return items.select("order_id", "product_id").distinct()
 
-    Exact support pruning first (a pair reaches ``min_count`` only if both
-    products do), then a self equi-join on order_id with ``a < b`` as the
-    residual, aggregated to one row per pair.  Pairs are never returned per
-    order; a hot order's join partition is split by AQE skew handling.
+
+def pairs_of(lines: DataFrame, block_lines: int = 1_000) -> DataFrame:
+    """(product_a, product_b, pair_count), a < b, over ``basket`` lines.
+
+    An order's lines are numbered into blocks by a hash of the product, as
+    many as its own line count asks for; blocks i <= j meet as (order, i, j),
+    so that each pair is built once and the pairs of an order with a great
+    many lines are built by many tasks.  Nearly all orders have one block.
+    """
+    sized = lines.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / block_lines).cast("int").alias("blocks"))
+    b = lines.join(sized, "order_id").withColumn("block", F.pmod(F.xxhash64("product_id"), "blocks").cast("int"))
+    left = b.select("order_id", F.col("product_id").alias("x"), F.col("block").alias("i"),
+                    F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = b.select("order_id", F.col("product_id").alias("y"), F.col("block").alias("j"),
+                     F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    met = left.join(right, ["order_id", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.where("x != y").groupBy(F.least("x", "y").alias("product_a"), F.greatest("x", "y").alias("product_b")).agg(
+        F.count(F.lit(1)).alias("pair_count"))
+
+
+def basket_pairs(items: DataFrame, min_count: int = 1, block_lines: int = 1_000) -> DataFrame:
+    """Product pairs (a < b) bought in the same order, counted; pairs
+    found in fewer than ``min_count`` orders are left out if the caller says so.
+
+    Pairs are never returned per order.
     """
-    b = items.select("order_id", "product_id").distinct()
-    frequent = b.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    fb = b.join(frequent.select("product_id"), "product_id", "left_semi")
-    l = fb.select("order_id", F.col("product_id").alias("product_a"))
-    r = fb.select("order_id", F.col("product_id").alias("product_b"))
-    return (l.join(r, (l.order_id == r.order_id) & (l.product_a < r.product_b))
-            .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("pair_count"))
-            .where(F.col("pair_count") >= min_count))
+    out = pairs_of(basket(items), block_lines)
+    return out.where(F.col("pair_count") >= min_count) if min_count > 1 else out

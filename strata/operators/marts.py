@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.joins import basket, pairs_of
 from strata.functions.numeric import avg_exact, div_round, money
 from strata.operators.clean import fill_measures
 
@@ -303,41 +304,30 @@ def profile_count(tables: dict[str, DataFrame]) -> DataFrame:
 
 # ------------------------------------------------------------------ M10-M13
 
-def basket_lines(T: dict) -> DataFrame:
-    """Distinct (order_id, product_id) of clean items: one basket line each."""
-    return T["order_items"].select("order_id", "product_id").distinct()
-
-
 def cross_sell(T: dict, min_count: int = 1) -> DataFrame:
     """Product pairs bought in the same order.
 
     pair_count = orders holding both; support = pair_count / orders;
     confidence = pair_count / orders holding a; lift = support / (s_a * s_b).
-
-    Pruning is exact: a pair can only reach ``min_count`` when both products
-    do, so infrequent products leave before the self-join.  The self-join is
-    an equi-join on order_id (with ``a < b`` as residual); a hot order's
-    partition is split by AQE's skew-join handling across tasks.  The global
-    order count is a scalar subquery, not a join.
+    The basket is built once per use; its shuffle on the order serves the
+    pairs, and the global order count is a scalar subquery, not a join.
     """
-    b = basket_lines(T)
+    b = basket(T["order_items"])
     n_orders = b.select(F.countDistinct("order_id")).scalar()
     cnt = b.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    frequent = cnt.where(F.col("n") >= min_count)
-    fb = b.join(frequent.select("product_id"), "product_id", "left_semi")
-    l = fb.select("order_id", F.col("product_id").alias("product_a"))
-    r = fb.select("order_id", F.col("product_id").alias("product_b"))
-    pairs = (l.join(r, (l.order_id == r.order_id) & (l.product_a < r.product_b))
-             .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("pair_count"))
-             .where(F.col("pair_count") >= min_count))
-    ca = frequent.select(F.col("product_id").alias("product_a"), F.col("n").alias("orders_a"))
-    cb = frequent.select(F.col("product_id").alias("product_b"), F.col("n").alias("orders_b"))
+    pairs = pairs_of(b)
+    if min_count > 1:
+        pairs = pairs.where(F.col("pair_count") >= min_count)
+    ca = cnt.select(F.col("product_id").alias("product_a"), F.col("n").alias("orders_a"))
+    cb = cnt.select(F.col("product_id").alias("product_b"), F.col("n").alias("orders_b"))
     out = pairs.join(ca, "product_a").join(cb, "product_b")
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  a product of two counts is beyond BIGINT
+    lift = (wide(F.col("pair_count")) * wide(n_orders)) / F.nullif(wide(F.col("orders_a")) * wide(F.col("orders_b")), F.lit(0))
     return out.select(
         "product_a", "product_b", "pair_count", "orders_a", "orders_b",
         div_round("pair_count", n_orders, 6).alias("support"),
         div_round("pair_count", "orders_a", 6).alias("confidence"),
-        div_round(F.col("pair_count") * n_orders, F.col("orders_a") * F.col("orders_b"), 6).alias("lift"))
+        F.round(lift, 6).cast("decimal(18,6)").alias("lift"))
 
 
 def cohort_retention(T: dict) -> DataFrame:

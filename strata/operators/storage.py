@@ -31,11 +31,11 @@ def storage_by_class(objects: DataFrame) -> DataFrame:
 
 
 def version_counts(objects: DataFrame) -> DataFrame:
-    """Versions and delete markers per bucket."""
+    """Versions and delete markers per bucket; a marker is no version."""
+    live = F.count(F.when(~F.col("is_delete_marker"), 1))
     return objects.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("versions"),
-        F.count(F.when(F.col("is_delete_marker"), 1)).alias("delete_markers"),
-        F.count(F.when(~F.col("is_delete_marker"), 1)).alias("live_versions"))
+        live.alias("versions"), F.count(F.when(F.col("is_delete_marker"), 1)).alias("delete_markers"),
+        live.alias("live_versions"))
 
 
 def _rule_case(rules, field: int, default: str) -> Column:

@@ -52,21 +52,23 @@ def span_parenting(spans: DataFrame) -> DataFrame:
     """Children per span, self time (own duration minus children's) and
     orphan spans whose parent id is not a known span.
 
-    Children are aggregated per parent before they meet the spans, so the
-    1:1 join carries one row per parent; the orphan probe is a left join on
-    the parent id, where a hot parent's partition is split by AQE skew
-    handling.
+    Spans are known by trace and span id.  Both sides are grouped by that
+    pair before they meet: what a span's children add up to, and whether the
+    span exists.  Roots have no parent and stay out of the second join, so
+    that they do not meet in one task.
     """
-    kids = (spans.where(F.col("parent_span_id").isNotNull()).groupBy("parent_span_id").agg(
+    kids = (spans.where(F.col("parent_span_id").isNotNull()).groupBy("trace_id", "parent_span_id").agg(
         F.count(F.lit(1)).alias("n_children"), F.sum("duration_ms").alias("children_ms"))
         .withColumnRenamed("parent_span_id", "span_id"))
-    known = spans.select(F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_parent_found"))
-    out = spans.join(kids, "span_id", "left").join(known, "parent_span_id", "left")
-    return out.select(
+    known = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct().withColumn("_found", F.lit(True))
+    out = spans.join(kids, ["trace_id", "span_id"], "left")
+    child = out.where(F.col("parent_span_id").isNotNull()).join(known, ["trace_id", "parent_span_id"], "left")
+    roots = out.where(F.col("parent_span_id").isNull()).withColumn("_found", F.lit(True))
+    return child.unionByName(roots).select(
         "span_id", "trace_id", "parent_span_id",
         F.coalesce("n_children", F.lit(0).cast("bigint")).alias("n_children"),
         (F.col("duration_ms") - F.coalesce("children_ms", F.lit(0))).cast("decimal(18,2)").alias("self_time_ms"),
-        (F.col("parent_span_id").isNotNull() & F.col("_parent_found").isNull()).alias("is_orphan"))
+        F.col("_found").isNull().alias("is_orphan"))
 
 
 # Stack status rules, tried in order (first match wins).
@@ -114,20 +116,21 @@ def metric_alarm(metrics: DataFrame, threshold: str, period: str = "1 day") -> D
                     thr.alias("threshold"), (F.col("max_value") > thr).alias("alarm"))
 
 
-def alarm_consecutive(metrics: DataFrame, threshold: str, periods: int = 4) -> DataFrame:
-    """Hourly maximum per metric on a gap-filled hourly grid; the alarm is
-    on when the last ``periods`` hours all breach (missing hour = no breach).
+def alarm_consecutive(metrics: DataFrame, threshold: str, periods: int = 4, period: str = "hour") -> DataFrame:
+    """Maximum per metric and ``period`` (minute, hour, day) on a
+    gap-filled grid; the alarm is on when the last ``periods`` of them all
+    breach (a missing one does not).
 
-    The grid is one row per metric and hour between its first and last
+    The grid is one row per metric and period between its first and last
     sample: its size follows the time range, not the number of samples.
     """
     thr = F.lit(Decimal(threshold)).cast("decimal(12,2)")
     # Truncate on the wall clock: the result stays TIMESTAMP_NTZ whatever the session zone.
-    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
+    hour = F.date_trunc(period, "timestamp").cast("timestamp_ntz")
     hourly = metrics.groupBy("name", hour.alias("hour")).agg(
         F.max("value").alias("max_value"))
     bounds = hourly.groupBy("name").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    grid = bounds.select("name", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    grid = bounds.select("name", F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL 1 {period}"))).alias("hour"))
     g = grid.join(hourly, ["name", "hour"], "left")
     breach = F.coalesce(F.col("max_value") > thr, F.lit(False)).cast("int")
     w = Window.partitionBy("name").orderBy("hour").rowsBetween(-(periods - 1), 0)

@@ -69,7 +69,7 @@ MART_QUERIES: dict[str, Query] = {
     "geographic_analytics": lambda s, d: M.geographic_sales(tables_b(s, d)),
     "summary_report": _summary,
     "basic_count": lambda s, d: M.profile_count(tables_a(s, d)),
-    "cross_sell": lambda s, d: M.cross_sell(tables_a(s, d), min_count=2),
+    "cross_sell": lambda s, d: M.cross_sell(tables_a(s, d)),
     "cohort_retention": lambda s, d: M.cohort_retention(tables_a(s, d)),
     "inventory_status": lambda s, d: M.inventory_status(tables_a(s, d)),
     "segment_value": lambda s, d: M.segment_value(m1(s, d)),
@@ -204,7 +204,7 @@ CLEAN_QUERIES: dict[str, Query] = {
     "customers_orders": lambda s, d: J.customers_orders(
         tables_b(s, d)["customers"].select("customer_id", "country"),
         tables_b(s, d)["orders"].select("order_id", "customer_id", "total_amount")),
-    "basket_pairs": lambda s, d: J.basket_pairs(tables_a(s, d)["order_items"], 2),
+    "basket_pairs": lambda s, d: J.basket_pairs(tables_a(s, d)["order_items"]),
 }
 
 
