@@ -131,15 +131,59 @@ PARTITION_REPAIR = """
 SELECT DISTINCT 'order_year=' || CAST(order_year AS VARCHAR) || '/order_month=' || CAST(order_month AS VARCHAR) AS partition
 FROM m3x"""
 
-READ_DECLARED = """
-SELECT order_id, product_id, quantity, total_price, discount, item_status, ship_date FROM order_items_raw"""
+READ_DECLARED = "SELECT * FROM order_items_raw WHERE order_id % 50 != 0"
+
+READ_DECLARED_REJECTS = """
+SELECT order_item_id, 'does not fit the declared schema' AS reason,
+       concat_ws(',', order_item_id, order_id, product_id, supplier_id, 'many', total_price, discount, discount_applied, tax,
+                 return_flag, item_status, ship_date) AS line
+FROM order_items_raw WHERE order_id % 50 = 0"""
+
+READ_CSV = """
+SELECT * REPLACE (CAST(zip_code AS INTEGER) AS zip_code, CAST(customer_id AS INTEGER) AS customer_id,
+                 CAST(last_name AS INTEGER) AS last_name) FROM customers_raw"""
+
+READ_JSON = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
+
+CREATE_TABLES = "SELECT * FROM (VALUES ('monthly_sales', true, false), ('orders', true, false), ('nowhere', false, true)) t(table_name, success, has_error)"
+
+CRAWL = """
+SELECT table_name, column_name, data_type, is_partition, 'new' AS change FROM (VALUES
+  ('events', 'event_id', 'bigint', false), ('events', 'event_type', 'string', false), ('events', 'ts', 'timestamp_ntz', false),
+  ('monthly_sales', 'currency', 'string', false), ('monthly_sales', 'total_orders', 'bigint', false),
+  ('monthly_sales', 'total_revenue', 'decimal(38,2)', false), ('monthly_sales', 'total_discounts', 'decimal(38,2)', false),
+  ('monthly_sales', 'total_taxes', 'decimal(38,2)', false), ('monthly_sales', 'total_shipping', 'decimal(38,2)', false),
+  ('monthly_sales', 'avg_order_value', 'decimal(18,2)', false), ('monthly_sales', 'total_items_sold', 'bigint', false),
+  ('monthly_sales', 'unique_customers', 'bigint', false), ('monthly_sales', 'net_revenue', 'decimal(38,2)', false),
+  ('monthly_sales', 'order_year', 'int', true), ('monthly_sales', 'order_month', 'int', true)) t(table_name, column_name, data_type, is_partition)"""
+
+RUN_PIPELINE = """
+SELECT 'customer_analytics_row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM m1
+UNION ALL SELECT 'product_analytics_row_count', CAST(count(*) AS VARCHAR) FROM m2x
+UNION ALL SELECT 'monthly_sales_row_count', CAST(count(*) AS VARCHAR) FROM m3x
+UNION ALL SELECT 'marts', '3' UNION ALL SELECT 'tables_processed', '4' UNION ALL SELECT 'success', 'True'"""
+
+STREAM_METRICS = """
+SELECT w AS window_start, w + INTERVAL 1 MINUTE AS window_end, name, dimensions, samples, max_value FROM (
+  SELECT date_trunc('minute', timestamp) AS w, name, 'user=' || CAST(user_id AS VARCHAR) AS dimensions, count(*) AS samples, max(value) AS max_value
+  FROM metrics_t GROUP BY 1, 2, 3)
+WHERE w + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 2 MINUTE FROM metrics_t)"""
+
+STREAM_SECURITY = """
+SELECT h AS hour_start, eventName, event_count FROM (
+  SELECT date_trunc('hour', eventTime) AS h, eventName, count(*) AS event_count FROM audit_events
+  WHERE eventName IN ({names}) GROUP BY 1, 2)
+WHERE h + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(eventTime)) - INTERVAL 10 MINUTE FROM audit_events WHERE eventName IN ({names}))"""
+
+STREAM_REJECTS = """
+SELECT order_id, CAST(NULL AS BIGINT) AS customer_id, 'null_customer_id' AS violations FROM orders_raw WHERE order_id % 40 = 0"""
 
 VALIDATE_INPUT = "SELECT count(*) > 0 AS has_rows FROM (SELECT 1 FROM orders LIMIT 1) t"
 
 STREAM_INGEST = f"""
 SELECT * REPLACE (CASE lower(trim(order_status)) WHEN 'completed' THEN 'completed' ELSE lower(trim(order_status)) END
                   AS order_status)
-FROM orders_raw WHERE order_id IS NOT NULL AND customer_id IS NOT NULL AND coalesce(total_amount > 0, false)"""
+FROM orders_raw WHERE order_id % 40 != 0 AND order_id IS NOT NULL AND customer_id IS NOT NULL AND coalesce(total_amount > 0, false)"""
 
 STREAM_EVENT_LOG = """
 SELECT event_id, ts, event_type, user_id, value, 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service,

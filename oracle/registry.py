@@ -142,6 +142,15 @@ CLEAN_SQL = {
     "write_mart": _m(_M3, CS.WRITE_MART),
     "partition_repair": _m(_M3, CS.PARTITION_REPAIR),
     "read_declared": with_base(CS.READ_DECLARED),
+    "read_declared_rejects": with_base(CS.READ_DECLARED_REJECTS),
+    "read_csv": with_base(CS.READ_CSV),
+    "read_json_logs": CS.READ_JSON,
+    "create_tables": CS.CREATE_TABLES,
+    "crawl_schema": CS.CRAWL,
+    "run_pipeline": _m(f"{_M1},\n{_M2},\n{_M3}", CS.RUN_PIPELINE),
+    "stream_metrics": with_base(CS.STREAM_METRICS, OS.OPS_BASE),
+    "stream_security": with_base(CS.STREAM_SECURITY.format(names="'error', 'signup', 'purchase', 'create_user', 'delete_bucket'"), OS.OPS_BASE),
+    "stream_rejects": with_base(CS.STREAM_REJECTS),
     "validate_input": CS.VALIDATE_INPUT,
     "stream_ingest": with_base(CS.STREAM_INGEST),
     "stream_event_log": CS.STREAM_EVENT_LOG,

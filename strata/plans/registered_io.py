@@ -43,18 +43,33 @@ def partition_repair(spark: SparkSession, sf: str):
                                            "partition_by": ["order_year", "order_month"]}})
     if not res.first()["success"]:
         raise RuntimeError(res.first()["error"])
-    return CAT.repair_partitions(spark, f"strata.{name}")
+    parts = CAT.repair_partitions(spark, f"strata.{name}")  # listed by now, one row per partition
+    CAT.drop_table(spark, f"strata.{name}")
+    return parts
 
 
 def create_tables_q(spark: SparkSession, sf: str):
-    path = _monthly_written(spark, sf)
-    name = "monthly_sales_" + path.rsplit("-", 1)[-1]
-    return CAT.create_tables(spark, {name: {"location": path, "format": "parquet",
-                                            "partition_by": ["order_year", "order_month"]}})
+    """One table from data, one from a declared CSV schema, one that fails."""
+    path, csv = _monthly_written(spark, sf), S.scratch(spark, "orders-csv")
+    Tables(spark, sf).orders.select("order_id", "currency").write.option("header", "true").option("sep", "|").csv(csv)
+    tag = "_" + path.rsplit("-", 1)[-1]
+    out = CAT.create_tables(spark, {
+        "monthly_sales" + tag: {"location": path, "format": "parquet", "partition_by": ["order_year", "order_month"]},
+        "orders" + tag: {"location": csv, "format": "csv", "options": {"sep": "|", "header": "true"},
+                         "schema": [{"name": "order_id", "type": "bigint"}, {"name": "currency", "type": "string"}]},
+        "nowhere" + tag: {"location": path + "-missing", "format": "parquet", "partition_by": ["x"]}})
+    rows = [(r["table_name"].removesuffix(tag), r["success"], r["error"] is not None) for r in out.collect()]  # one row per table
+    CAT.drop_table(spark, "strata.monthly_sales" + tag)
+    CAT.drop_table(spark, "strata.orders" + tag)
+    return spark.createDataFrame(rows, "table_name string, success boolean, has_error boolean")
 
 
 def crawl_schema(spark: SparkSession, sf: str):
-    return CAT.crawl(spark, _monthly_written(spark, sf))
+    """The tables of a lake folder, with their partition columns."""
+    base = S.scratch(spark, "lake")
+    IO.write_table(M.monthly_sales(C.clean_all(Tables(spark, sf), "a")), f"{base}/monthly_sales", partition_by=["order_year", "order_month"])
+    AD.events(spark, sf).select("event_id", "event_type", "ts").write.parquet(f"{base}/events")
+    return CAT.crawl(spark, base)
 
 
 def read_csv(spark: SparkSession, sf: str):
@@ -65,27 +80,42 @@ def read_csv(spark: SparkSession, sf: str):
 
 
 ITEM_DECLARED = [
-    {"name": "order_id", "type": "bigint"}, {"name": "product_id", "type": "bigint"},
+    {"name": "order_item_id", "type": "string"}, {"name": "order_id", "type": "bigint"},
+    {"name": "product_id", "type": "bigint"}, {"name": "supplier_id", "type": "bigint"},
     {"name": "quantity", "type": "bigint"}, {"name": "total_price", "type": "decimal(12,2)"},
-    {"name": "discount", "type": "decimal(5,4)"}, {"name": "item_status", "type": "string"},
-    {"name": "ship_date", "type": "date"},
+    {"name": "discount", "type": "decimal(5,4)"}, {"name": "discount_applied", "type": "decimal(18,6)"},
+    {"name": "tax", "type": "decimal(5,4)"}, {"name": "return_flag", "type": "string"},
+    {"name": "item_status", "type": "string"}, {"name": "ship_date", "type": "date"},
 ]
 
 
-def read_declared(spark: SparkSession, sf: str):
-    """S3: items as headed CSV, read back against a declared schema."""
+def _items_csv(spark: SparkSession, sf: str):
+    """Items as headed CSV, every 50th with a quantity that is no number, read
+    back against a declared schema: (good rows, rejected rows)."""
     path = S.scratch(spark, "items-csv")
-    cols = [c["name"] for c in ITEM_DECLARED]
-    Tables(spark, sf).order_items.select(*cols).write.option("header", "true").csv(path)
-    good, _bad = IO.read_declared(spark, path, IO.schema_from_json(ITEM_DECLARED))
-    return good
+    items = Tables(spark, sf).order_items.select(*[c["name"] for c in ITEM_DECLARED])
+    items = items.withColumn("quantity", F.when(F.col("order_id") % 50 == 0, "many").otherwise(F.col("quantity").cast("string")))
+    items.write.option("header", "true").csv(path)
+    return IO.read_declared(spark, path, IO.schema_from_json(ITEM_DECLARED))
+
+
+def read_declared(spark: SparkSession, sf: str):
+    """S3: the rows that fit the declared schema."""
+    return _items_csv(spark, sf)[0]
+
+
+def read_declared_rejects(spark: SparkSession, sf: str):
+    """S3: the rows that do not, with the reason and the raw line."""
+    return _items_csv(spark, sf)[1].select(
+        "order_item_id", F.lit("does not fit the declared schema").alias("reason"), F.col("_corrupt_record").alias("line"))
 
 
 def read_json_logs(spark: SparkSession, sf: str):
     """Events as JSON lines, read back."""
     path = S.scratch(spark, "events-json")
-    AD.events(spark, sf).write.json(path)
-    return IO.read_table(spark, path, "json")
+    exact = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    AD.events(spark, sf).write.options(**exact).json(path)
+    return IO.read_table(spark, path, "json", **exact, schema="event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
 
 
 def pipeline_q(spark: SparkSession, sf: str):
@@ -101,34 +131,45 @@ def _stream_schema(spark: SparkSession, sf: str, name: str) -> T.StructType:
 
 
 def stream_ingest(spark: SparkSession, sf: str):
-    """Order files streamed, cleaned, valid rows appended to Parquet."""
-    src = S.file_stream(spark, sf, _stream_schema(spark, sf, "orders"), glob="orders.parquet")
-    sink, ckpt = S.scratch(spark, "ingest-out"), S.scratch(spark, "ingest-ckpt")
-    transform = lambda df: C.canonical_status(AD.orders_from(df), "order_status")
-    q = S.stream_ingest(src, sink, ckpt, C.default_rules("orders"), transform)
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+    """Order files streamed and cleaned: the valid rows."""
+    return _ingested(spark, sf)[0]
+
+
+def stream_rejects(spark: SparkSession, sf: str):
+    """What the rules reject, with the violations."""
+    return _ingested(spark, sf)[1].select("order_id", "customer_id", F.array_join("violations", ",").alias("violations"))
+
+
+def _ingested(spark: SparkSession, sf: str):
+    src = S.file_stream(spark, S.table_path(sf, "orders"), _stream_schema(spark, sf, "orders"))
+    root = S.scratch(spark, "ingest")
+    # Every 40th order arrives without its customer.
+    lost = lambda df: df.withColumn("customer_id", F.when(F.col("order_id") % 40 != 0, F.col("customer_id")))
+    transform = lambda df: C.canonical_status(lost(AD.orders_from(df)), "order_status")
+    schema = transform(AD._read(spark, sf, "orders")).schema
+    S.stream_ingest(src, f"{root}/clean", f"{root}/checkpoint", C.default_rules("orders"), transform, f"{root}/rejected").awaitTermination()
+    return S.read_sink(spark, f"{root}/clean", schema), S.read_sink(spark, f"{root}/rejected", S.with_reasons(schema))
 
 
 def stream_metrics(spark: SparkSession, sf: str):
     """R2: 1-minute windows per metric with a 2-minute watermark."""
     sch = _stream_schema(spark, sf, "events")
     return S.run_to_table(spark, lambda: S.metric_windows(AD.metrics_from(
-        S.file_stream(spark, sf, sch, glob="events.parquet")).drop("dimensions")), "metrics")
+        S.file_stream(spark, S.table_path(sf, "events"), sch))), "metrics")
 
 
 def stream_security(spark: SparkSession, sf: str):
     """Watched-name counts per hour."""
     sch = _stream_schema(spark, sf, "events")
     return S.run_to_table(spark, lambda: S.security_windows(AD.audit_from(
-        S.file_stream(spark, sf, sch, glob="events.parquet")), WATCHED_NAMES), "security")
+        S.file_stream(spark, S.table_path(sf, "events"), sch)), WATCHED_NAMES), "security")
 
 
 def stream_event_log(spark: SparkSession, sf: str):
     """Event rows appended partitioned by service and hour."""
     sch = _stream_schema(spark, sf, "events")
     out = S.run_to_table(spark, lambda: S.event_log_rows(
-        S.file_stream(spark, sf, sch, glob="events.parquet")), "eventlog", ["service", "hour"])
+        S.file_stream(spark, S.table_path(sf, "events"), sch)), "eventlog", ["service", "hour"])
     return out.withColumn("hour", F.col("hour").cast("string"))
 
 
@@ -136,6 +177,7 @@ IO_QUERIES = {
     "read_any": lambda s, d: IO.read_table(s, f"{d}/orders.parquet", "parquet"),
     "read_csv": read_csv,
     "read_declared": read_declared,
+    "read_declared_rejects": read_declared_rejects,
     "write_mart": write_mart,
     "partition_repair": partition_repair,
     "create_tables": create_tables_q,
@@ -144,6 +186,7 @@ IO_QUERIES = {
     "run_pipeline": pipeline_q,
     "read_json_logs": read_json_logs,
     "stream_ingest": stream_ingest,
+    "stream_rejects": stream_rejects,
     "stream_metrics": stream_metrics,
     "stream_security": stream_security,
     "stream_event_log": stream_event_log,

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.session import checkpoint_dir
+from strata.sources.io import schema_from_json
+
 
 def _q(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
@@ -16,17 +19,20 @@ def create_tables(spark: SparkSession, tables: dict, database: str = "strata") -
     """Create the database and external tables, idempotently.
 
     ``tables`` maps name -> {"location": path, "format": "parquet",
-    "schema": StructType or None, "partition_by": [...]}.  Returns one row per
-    table with success flag and error text; a failing table does not stop
-    the others.
+    "schema": StructType, JSON column list or None, "options": {...} (such as
+    ``sep`` and ``header`` of CSV), "partition_by": [...]}.  Returns one row
+    per table with success flag and error text; a failing table does not stop
+    the others.  The database lies in the shared folder.
     """
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_q(database)}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_q(database)} LOCATION '{checkpoint_dir(spark).rstrip('/')}/{database}.db'")
     rows = []
     for name, spec in tables.items():
         fq = f"{database}.{name}"
         try:
             cols = ""
             schema = spec.get("schema")
+            if isinstance(schema, (str, list)):
+                schema = schema_from_json(schema)
             if schema is None and spec.get("partition_by"):
                 # A partitioned table needs its column list: take it from the data.
                 schema = spark.read.format(spec.get("format", "parquet")).load(spec["location"]).schema
@@ -35,16 +41,22 @@ def create_tables(spark: SparkSession, tables: dict, database: str = "strata") -
             part = ""
             if spec.get("partition_by"):
                 part = " PARTITIONED BY (" + ", ".join(f"`{c}`" for c in spec["partition_by"]) + ")"
+            opts = ", ".join(f"'{k}' '{v}'" for k, v in spec.get("options", {}).items())
             spark.sql(f"CREATE TABLE IF NOT EXISTS {_q(fq)} {cols} USING {spec.get('format', 'parquet')}"
-                      f"{part} LOCATION '{spec['location']}'")
+                      f"{f' OPTIONS ({opts})' if opts else ''}{part} LOCATION '{spec['location']}'")
             if spec.get("partition_by"):
                 spark.catalog.recoverPartitions(fq)
             rows.append((name, True, None))
         except Exception as e:  # noqa: BLE001 - reported per table, as a result row
-            rows.append((name, False, str(e)[:500]))
+            rows.append((name, False, str(e)))
     return spark.createDataFrame(rows, "table_name string, success boolean, error string")
 
 
+def counts(result: DataFrame) -> DataFrame:
+    """One row (succeeded, failed) of what ``create_tables`` returned."""
+    return result.agg(F.count(F.when(F.col("success"), 1)).alias("succeeded"), F.count(F.when(~F.col("success"), 1)).alias("failed"))
+
+
 def repair_partitions(spark: SparkSession, table: str) -> DataFrame:
     """Discover Hive-style partition folders of a table and list them."""
     spark.catalog.recoverPartitions(table)
@@ -63,18 +75,26 @@ def drop_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {_q(table)}")
 
 
-def crawl(spark: SparkSession, base: str, known: T.StructType | None = None,
+def crawl(spark: SparkSession, base: str, known: dict[str, T.StructType] | None = None,
           fmt: str = "parquet") -> DataFrame:
-    """Merged schema of every file under ``base`` and its diff against a
-    known schema: (column, type, change) with change in new / changed /
-    vanished / same.  Vanished columns are only reported."""
-    df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").format(fmt).load(base)
-    now = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    old = {f.name: f.dataType.simpleString() for f in (known.fields if known else [])}
+    """One table per folder right under ``base``: its merged schema with
+    its partition columns, and the difference from a known schema: (table,
+    column, type, is_partition, change) with change in new / changed /
+    vanished / same.  Vanished columns are only reported.
+
+    Only folder names and schemas come to the driver.
+    """
+    root = base.rstrip("/").rsplit("/", 1)[-1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
+    under = F.regexp_extract("path", f"/{root}/([^/]+)/", 1)
+    names = sorted(r[0] for r in files.select(under.alias("t")).where("t != '' AND t NOT LIKE '\\_%'").distinct().collect())
     rows = []
-    for c, t in now.items():
-        rows.append((c, t, "new" if c not in old else ("changed" if old[c] != t else "same")))
-    for c, t in old.items():
-        if c not in now:
-            rows.append((c, t, "vanished"))
-    return spark.createDataFrame(rows, "column_name string, data_type string, change string")
+    for name in names:
+        df = spark.read.option("mergeSchema", "true").format(fmt).load(f"{base.rstrip('/')}/{name}")
+        files_of = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").format(fmt).load(f"{base.rstrip('/')}/{name}")
+        stored = set(files_of.columns)
+        now = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        old = {f.name: f.dataType.simpleString() for f in (known or {}).get(name, T.StructType()).fields}
+        rows += [(name, c, t, c not in stored, "new" if c not in old else "changed" if old[c] != t else "same") for c, t in now.items()]
+        rows += [(name, c, t, False, "vanished") for c, t in old.items() if c not in now]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, is_partition boolean, change string")

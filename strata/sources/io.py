@@ -2,13 +2,14 @@
 
 Readers are thin over ``spark.read``: caller options override the defaults
 of a format.  Writers never funnel data into one task (no ``coalesce(1)``);
-partitioned output is clustered on the partition columns first so each task
+partitioned output is rebalanced on the partition columns first so each task
 writes few files.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ _JSON_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.Strin
                "boolean": T.BooleanType()}
 
 
+def _decimal(text: str) -> T.DecimalType:
+    digits = [int(x) for x in re.findall(r"[0-9]+", text)] or [10]
+    return T.DecimalType(digits[0], digits[1] if len(digits) > 1 else 0)
+
+
 def schema_from_json(spec) -> T.StructType:
     """A StructType from ``[{"name": ..., "type": ...}, ...]`` (types as in a
     catalog: bigint, int, string, double, date, timestamp, boolean,
@@ -48,7 +54,7 @@ def schema_from_json(spec) -> T.StructType:
     fields = []
     for c in spec:
         t = c["type"].lower()
-        dt = T._parse_datatype_string(t) if t.startswith("decimal") else _JSON_TYPES[t]
+        dt = _decimal(t) if t.startswith("decimal") else _JSON_TYPES[t]
         fields.append(T.StructField(c["name"], dt, True))
     return T.StructType(fields)
 
@@ -57,31 +63,37 @@ def read_declared(spark: SparkSession, path: str, schema: T.StructType, header:
                   corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """S3: text with declared columns; rows that do not fit go to quarantine.
 
-    Returns (good rows, rejected rows: parsed fields plus the raw line).
-    PERMISSIVE mode keeps the malformed line in ``corrupt_col`` instead of
-    failing the job.  (Spark refuses a query that reads only the corrupt
-    column of a raw file, so the rejected rows keep every column.)
+    Returns (good rows, rejected rows: parsed fields plus the raw line).  A
+    line is read as text and parsed under the whole schema, so that the
+    verdict on it does not depend on which columns a query reads.  With
+    ``header`` the line of column names is left out wherever it stands (each
+    part file has its own).
     """
     s = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
-    df = (spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", corrupt_col).schema(s).csv(path))
-    good = df.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
-    bad = df.where(F.col(corrupt_col).isNotNull())
-    return good, bad
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    if header:
+        lines = lines.where(F.regexp_replace("value", '[" ]', "") != ",".join(f.name for f in schema.fields))
+    # All fields are needed for the verdict: none may be pruned from the parse.
+    row = F.from_csv("value", s.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col})
+    fields = lines.select(row.alias("r"), "value")
+    wrong = F.col(f"r.{corrupt_col}").isNotNull()
+    good = fields.where(~wrong).select(*[F.col(f"r.{f.name}") for f in schema.fields])
+    return good, fields.where(wrong).select(*[F.col(f"r.{f.name}") for f in schema.fields], F.col("value").alias(corrupt_col))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None, **options) -> None:
     """Write a mart (Parquet + Snappy by default), optionally partitioned.
 
-    With partition columns the rows are first repartitioned on them, so each
-    output partition is written by the tasks that hold its rows instead of
-    every task opening a file per partition value.
+    With partition columns the rows are rebalanced on them first: a value's
+    rows come to few tasks, and a value with very many rows is split among
+    several by the size of its partitions.
     """
     opts = {"compression": "snappy"} if fmt == "parquet" else {}
     opts.update(options)
     if partition_by:
-        df = df.repartition(*partition_by)
+        df = df.hint("rebalance", *partition_by)
     w = df.write.format(fmt).mode(mode).options(**opts)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -1,8 +1,8 @@
 """Structured Streaming versions of ingest and metric windows.
 
-Sources are file streams (new files in a folder); every query has its own
-checkpoint folder under the session's shared checkpoint directory, so a
-restarted or re-scheduled job resumes exactly where it stopped.  The
+Sources are file streams (new files in a folder).  A job resumes where it
+stopped when it is started again with the same sink and checkpoint folders,
+which the caller names; a batch that is repeated replaces what it wrote.  The
 transformations are the batch operators' column expressions, so a stream
 over a set of files equals the batch job over the same files (up to
 windows not yet closed by the watermark).
@@ -13,10 +13,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from strata.operators.clean import split_by_rules, with_violations
+from strata.operators.clean import with_violations
 from strata.session import checkpoint_dir
 
 
@@ -25,11 +27,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def table_path(folder: str, table: str) -> str:
+    """A table's files, whether it is one file or a folder of part files
+    (file streams take a single file only by a pattern)."""
+    return f"{folder}/{table}[.]parquet"
+
+
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
-                glob: str | None = None, max_files: int | None = None) -> DataFrame:
+                max_files: int | None = None) -> DataFrame:
     r = spark.readStream.format(fmt).schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
     return r.load(folder)
@@ -37,34 +43,51 @@ def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
 
 def stream_ingest(stream: DataFrame, sink: str, checkpoint: str, rules, transform=None,
                   quarantine: str | None = None) -> StreamingQuery:
-    """New raw files -> clean Parquet (rows breaking a rule go to the
-    quarantine folder with their violation list)."""
+    """New raw files -> clean Parquet; rows that break a rule go to the
+    quarantine folder (by default beside the sink) with their violations.
+
+    Each batch has a folder of its own, ``batch=<number>``, which a repeated
+    batch overwrites: no row is written twice.
+    """
     df = transform(stream) if transform else stream
+    rejected = quarantine or sink.rstrip("/") + "-rejected"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if quarantine:
-            tagged = with_violations(batch, rules).persist()
-            tagged.where(F.size("violations") == 0).drop("violations").write.mode("append").parquet(sink)
-            tagged.where(F.size("violations") > 0).write.mode("append").parquet(quarantine)
-            tagged.unpersist()
-        else:
-            good, _ = split_by_rules(batch, rules)
-            good.write.mode("append").parquet(sink)
+        tagged = with_violations(batch, rules).persist()
+        tagged.where(F.size("violations") == 0).drop("violations").write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        tagged.where(F.size("violations") > 0).write.mode("overwrite").parquet(f"{rejected}/batch={epoch}")
+        tagged.unpersist()
 
     return (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def with_reasons(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("violations", T.ArrayType(T.StringType()))])
+
+
+def read_sink(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches; a sink that no batch has reached is empty."""
+    try:
+        return spark.read.schema(schema).parquet(sink).select(*schema.names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def metric_windows(metrics: DataFrame, watermark: str = "2 minutes", size: str = "1 minute") -> DataFrame:
-    """R2 transformation: tumbling-window count and max per metric name.
-    Rows later than the watermark are dropped from closed windows."""
+    """R2 transformation: tumbling-window count and max per metric and
+    dimensions (as sorted ``key=value`` text).  Rows later than the watermark
+    are dropped from closed windows."""
     # Watermarks need TIMESTAMP (with zone); the session zone is UTC.
+    dims = F.array_join(F.transform(F.array_sort(F.map_entries("dimensions")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return (metrics.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
             .withWatermark("timestamp", watermark)
-            .groupBy(F.window("timestamp", size).alias("w"), "name")
+            .groupBy(F.window("timestamp", size).alias("w"), "name", dims.alias("dimensions"))
             .agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("max_value"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "name", "samples", "max_value"))
+                    "name", "dimensions", "samples", "max_value"))
 
 
 def security_windows(events: DataFrame, names, watermark: str = "10 minutes") -> DataFrame:
@@ -86,6 +109,10 @@ def event_log_rows(events: DataFrame) -> DataFrame:
 
 
 def append_to_parquet(df: DataFrame, sink: str, checkpoint: str, partition_by=None) -> StreamingQuery:
+    """Append to Parquet; with partition columns, a batch's rows are brought
+    together by value first, so that it writes few files."""
+    if partition_by:
+        df = df.repartition(*partition_by)
     w = (df.writeStream.format("parquet").outputMode("append").option("path", sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True))
     if partition_by:
@@ -95,9 +122,9 @@ def append_to_parquet(df: DataFrame, sink: str, checkpoint: str, partition_by=No
 
 def run_to_table(spark: SparkSession, build, name: str, partition_by=None) -> DataFrame:
     """Run a stream over everything available now and read its sink back."""
-    sink, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
-    q = append_to_parquet(build(), sink, ckpt, partition_by)
+    root, df = scratch(spark, name), build()
+    q = append_to_parquet(df, f"{root}/out", f"{root}/checkpoint", partition_by)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink)
+    return read_sink(spark, f"{root}/out", df.schema)
