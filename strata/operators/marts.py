@@ -91,10 +91,12 @@ def product_analytics(T: dict, grain: str = "order") -> DataFrame:
     o, i, p = T["orders"], T["order_items"], T["products"]
     live = _not_cancelled(o).select("order_id", "customer_id")
     if grain == "order":
-        per_po = i.groupBy("product_id", "order_id").agg(
+        # The join on the order brings an order's lines together: the lines of
+        # a product in it are added up without another shuffle.
+        per_po = i.join(live, "order_id").groupBy("order_id", "product_id", "customer_id").agg(
             F.sum("quantity").alias("q"), F.sum("total_price").alias("rev"),
             F.sum("discount_applied").alias("disc"))
-        per_pc = per_po.join(live, "order_id").groupBy("product_id", "customer_id").agg(
+        per_pc = per_po.groupBy("product_id", "customer_id").agg(
             F.sum("q").alias("q"), F.sum("rev").alias("rev"), F.sum("disc").alias("disc"),
             F.count(F.lit(1)).alias("n_orders"))
         per_p = per_pc.groupBy("product_id").agg(
@@ -268,7 +270,7 @@ def summary_report(customers_m: DataFrame, products_m: DataFrame, monthly_m: Dat
     prod = products_m.agg(F.struct(
         F.count(F.lit(1)).alias("total_products"),
         F.count(F.when(F.col("total_quantity_sold") > 0, 1)).alias("products_sold"),
-        F.max_by("product_name", F.struct(F.col("total_revenue"), -F.col("product_id"))).alias("top"),
+        F.min_by("product_name", F.struct(F.col("total_revenue").isNull(), -F.col("total_revenue"), F.col("product_id"))).alias("top"),
         avg_exact("total_revenue", 6).alias("avg_rev"))).scalar()
     sales = monthly_m.agg(F.struct(
         F.sum("total_revenue").cast("decimal(38,6)").alias("total_revenue"),

@@ -35,30 +35,26 @@ def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                     "min_value", "max_value"))
 
 
-def orphans(T: dict) -> DataFrame:
-    """Orphan keys along customers 1-N orders 1-N items N-1 products.
+def _relation(one: DataFrame, many: DataFrame, key: str, many_without: str, one_without: str) -> DataFrame:
+    """Orphans of a 1-N relation in both directions, from one pass over each
+    side: the rows of ``many`` whose key ``one`` does not have, and the keys
+    of ``one`` that ``many`` does not have.  A key is added up in each task
+    before it is shuffled; a null key matches nothing."""
+    side = lambda df, n, c: df.select(key, F.lit(n).alias("n"), F.lit(c).alias("c"))
+    seen = side(one, 0, 1).unionByName(side(many, 1, 0)).groupBy(key).agg(F.sum("n").alias("n"), F.max("c").alias("c"))
+    lost = F.when((F.col("c") == 0) | F.col(key).isNull(), F.col("n")).otherwise(0)
+    idle = F.when((F.col("c") == 1) & ((F.col("n") == 0) | F.col(key).isNull()), 1).otherwise(0)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return seen.agg(F.array(
+        F.struct(F.lit(many_without).alias("check_name"), count(lost).alias("orphan_count")),
+        F.struct(F.lit(one_without).alias("check_name"), count(idle).alias("orphan_count"))).alias("r")).select(
+        F.explode("r").alias("r")).select("r.check_name", "r.orphan_count")
 
-    Each check is a left-anti join plus a count; both sides are reduced to
-    distinct keys first, so a hot key crosses the shuffle once per task.
-    """
-    c = T["customers"].select("customer_id").distinct()
-    o = T["orders"].select("order_id", "customer_id")
-    i = T["order_items"].select("order_id", "product_id")
-    p = T["products"].select("product_id").distinct()
-    o_ids = o.select("order_id").distinct()
-    o_cust = o.select("customer_id").distinct()
-    i_orders = i.select("order_id").distinct()
-    i_prods = i.select("product_id").distinct()
-    checks = [
-        ("orders_without_customer", o.join(c, "customer_id", "left_anti")),
-        ("items_without_order", i.join(o_ids, "order_id", "left_anti")),
-        ("items_without_product", i.join(p, "product_id", "left_anti")),
-        ("customers_without_orders", c.join(o_cust, "customer_id", "left_anti")),
-        ("products_without_sales", p.join(i_prods, "product_id", "left_anti")),
-        ("orders_without_items", o.join(i_orders, "order_id", "left_anti")),
-    ]
-    out = None
-    for name, df in checks:
-        row = df.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("orphan_count"))
-        out = row if out is None else out.unionByName(row)
-    return out
+
+def orphans(T: dict) -> DataFrame:
+    """Orphan keys along customers 1-N orders 1-N items N-1 products."""
+    c, o, i, p = T["customers"], T["orders"], T["order_items"], T["products"]
+    # Orders without items are counted as rows: an order id is its row's key.
+    out = _relation(c, o, "customer_id", "orders_without_customer", "customers_without_orders")
+    out = out.unionByName(_relation(o, i, "order_id", "items_without_order", "orders_without_items"))
+    return out.unionByName(_relation(p, i, "product_id", "items_without_product", "products_without_sales"))
