@@ -56,6 +56,18 @@ SELECT count(*) AS total_rows,
        count(CASE WHEN NOT coalesce(total_amount > 0, false) THEN 1 END) AS non_positive_amount
 FROM orders_raw"""
 
+QUARANTINE_ROWS = """
+SELECT customer_id, 'no mail' AS email, 'bad_email' AS violations FROM customers_raw WHERE customer_id % 9 = 0"""
+
+FILL_MISSING = "SELECT customer_id, coalesce(phone, 'unknown') AS phone FROM customers_raw"
+
+RUN_PIPELINE_B = """
+SELECT 'customer_analytics_row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM m4
+UNION ALL SELECT 'product_analytics_row_count', CAST(count(*) AS VARCHAR) FROM m5
+UNION ALL SELECT 'monthly_sales_row_count', CAST(count(*) AS VARCHAR) FROM m6
+UNION ALL SELECT 'geographic_analytics_row_count', CAST(count(*) AS VARCHAR) FROM m7
+UNION ALL SELECT 'marts', '4' UNION ALL SELECT 'tables_processed', '4' UNION ALL SELECT 'success', 'True'"""
+
 EMAIL_RULE = f"""
 SELECT customer_id, email, coalesce(regexp_matches(email, {EMAIL_RE}), false) AS email_ok FROM customers_raw"""
 

@@ -218,7 +218,22 @@ SELECT *, CASE WHEN total_tasks > 0 THEN CAST(completed * 100 // total_tasks AS
 FROM (SELECT count(*) AS total_tasks, count(CASE WHEN status = 'completed' THEN 1 END) AS completed,
              count(CASE WHEN status = 'failed' THEN 1 END) AS failed,
              count(CASE WHEN status = 'running' THEN 1 END) AS running,
-             count(CASE WHEN status = 'pending' THEN 1 END) AS pending FROM task_runs) a"""
+             count(CASE WHEN status = 'pending' THEN 1 END) AS pending,
+             count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped FROM task_runs) a"""
+
+TASK_DETAILS = """
+SELECT task, '{' || concat_ws(',', '"task":' || task, '"module":' || module, '"status":"' || status || '"', '"result":' || result) || '}' AS detail
+FROM task_runs"""
+
+LOG_OBJECTS = """
+SELECT bucket, name, age_days, CASE WHEN NOT (name LIKE '%.log' OR name LIKE '%.gz') THEN 'keep' WHEN age_days > 7 THEN 'delete'
+  WHEN age_days > 3 AND name LIKE '%.log' THEN 'compress' ELSE 'keep' END AS action
+FROM (SELECT bucket, 'log-' || key || CASE key % 3 WHEN 0 THEN '.log' WHEN 1 THEN '.gz' ELSE '.txt' END AS name,
+             CAST(date_diff('day', DATE '2024-01-31' - age_days, DATE '2024-01-31') AS INTEGER) AS age_days FROM objects)"""
+
+TRACE_SPANS = """
+SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS position, span_id, service_name, operation_name
+FROM spans"""
 
 MODULE_HEALTH = """
 SELECT *, CASE WHEN total_modules > 0 THEN CAST(healthy_modules * 100 // total_modules AS BIGINT) END AS health_pct

@@ -147,6 +147,15 @@ CLEAN_SQL = {
     "read_json_logs": CS.READ_JSON,
     "create_tables": CS.CREATE_TABLES,
     "crawl_schema": CS.CRAWL,
+    "quarantine_rows": with_base(CS.QUARANTINE_ROWS),
+    "fill_missing": with_base(CS.FILL_MISSING),
+    "run_pipeline_b": _m(f"{MS.M4},\nm4 AS ({MS.M4_SELECT}),{MS.M5},{MS.M6},{MS.M7}", CS.RUN_PIPELINE_B),
+    "pipeline_summary": _m(MS.M4 + "," + MS.M5 + "," + MS.M6 + "," + MS.M8, MS.M8_SELECT),
+    "trace_spans": with_base(OS.TRACE_SPANS, OS.OPS_BASE),
+    "log_objects": with_base(OS.LOG_OBJECTS, OS.OPS_BASE),
+    "task_details": with_base(OS.TASK_DETAILS, OS.OPS_BASE),
+    "sample_customers": _m(_M1, "SELECT * FROM m1 ORDER BY total_spent DESC, customer_id LIMIT 5"),
+    "sample_monthly": _m(_M3, "SELECT * FROM m3x ORDER BY order_year DESC, order_month DESC, currency LIMIT 5"),
     "run_pipeline": _m(f"{_M1},\n{_M2},\n{_M3}", CS.RUN_PIPELINE),
     "stream_metrics": with_base(CS.STREAM_METRICS, OS.OPS_BASE),
     "stream_security": with_base(CS.STREAM_SECURITY.format(names="'error', 'signup', 'purchase', 'create_user', 'delete_bucket'"), OS.OPS_BASE),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.dates import ts_lit
+
 # Lifecycle rules per layer as (layer, after_days, action, target).
 LIFECYCLE_RULES = (
     ("raw", 0, "transition", "INTELLIGENT_TIERING"),
@@ -65,6 +67,22 @@ def lifecycle_summary(objects: DataFrame, rules=LIFECYCLE_RULES) -> DataFrame:
         F.count(F.lit(1)).alias("object_count"), F.sum("size").alias("total_size"))
 
 
+def age_in_days(modified: str, as_of) -> Column:
+    """Whole days from ``modified`` to ``as_of``."""
+    return F.floor((F.unix_micros(ts_lit(as_of).cast("timestamp")) - F.unix_micros(F.col(modified).cast("timestamp")))
+                   / F.lit(86_400_000_000)).cast("int")
+
+
+def log_objects(objects: DataFrame, as_of, name: str = "name", modified: str = "modified") -> DataFrame:
+    """O19 per object: logs (``.log``, ``.gz``) older than seven whole days
+    are deleted, ``.log`` files older than three compressed; others stay."""
+    plain, packed = F.col(name).endswith(".log"), F.col(name).endswith(".gz")
+    age = age_in_days(modified, as_of)
+    action = (F.when(~(plain | packed), "keep").when(age > DELETE_AFTER_DAYS, "delete")
+              .when((age > COMPRESS_AFTER_DAYS) & plain, "compress").otherwise("keep"))
+    return objects.select("bucket", name, age.alias("age_days"), action.alias("action"))
+
+
 def log_action(age_days: str = "age_days") -> Column:
     a = F.col(age_days)
     return (F.when(a > DELETE_AFTER_DAYS, F.lit("delete"))

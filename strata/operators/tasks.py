@@ -15,7 +15,8 @@ def task_report(tasks: DataFrame) -> DataFrame:
         F.count(F.when(s == "completed", 1)).alias("completed"),
         F.count(F.when(s == "failed", 1)).alias("failed"),
         F.count(F.when(s == "running", 1)).alias("running"),
-        F.count(F.when(s == "pending", 1)).alias("pending"))
+        F.count(F.when(s == "pending", 1)).alias("pending"),
+        F.count(F.when(s == "skipped", 1)).alias("skipped"))
     rate = F.when(F.col("total_tasks") > 0,
                   F.expr("completed * 100 div total_tasks")).otherwise(F.lit(0).cast("bigint"))
     return agg.withColumn("success_rate", rate)

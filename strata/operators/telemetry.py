@@ -48,6 +48,12 @@ def trace_summary(spans: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(F.col("error_count") > 0, F.lit("error")).otherwise(F.lit("ok")))
 
 
+def trace_spans(spans: DataFrame) -> DataFrame:
+    """The spans of each trace in start order, as long rows."""
+    order = Window.partitionBy("trace_id").orderBy("start_time", "span_id")
+    return spans.select("trace_id", F.row_number().over(order).cast("long").alias("position"), "span_id", "service_name", "operation_name")
+
+
 def span_parenting(spans: DataFrame) -> DataFrame:
     """Children per span, self time (own duration minus children's) and
     orphan spans whose parent id is not a known span.

@@ -92,6 +92,8 @@ REPORT_QUERIES: dict[str, Query] = {
     "freshness_check": lambda s, d: R.freshness_check(m1(s, d), m3(s, d)),
     "freshness_check_literal": lambda s, d: R.freshness_check(m1(s, d), m3(s, d), literal=True),
     "sample_rows": lambda s, d: R.sample_rows(m2(s, d), [F.desc("total_revenue"), F.asc("product_id")], 5),
+    "sample_customers": lambda s, d: R.sample_rows(m1(s, d), [F.desc("total_spent"), F.asc("customer_id")], 5),
+    "sample_monthly": lambda s, d: R.sample_rows(m3(s, d), [F.desc("order_year"), F.desc("order_month"), F.asc("currency")], 5),
     "top_one": lambda s, d: R.top_one(M.product_profile(tables_b(s, d)), "total_revenue", "product_id",
                                       ["product_id", "product_name", "total_revenue"]),
 }
@@ -116,6 +118,7 @@ OPS_QUERIES: dict[str, Query] = {
     "span_metrics": lambda s, d: TL.span_metrics(AD.spans(s, d)),
     "trace_summary": lambda s, d: TL.trace_summary(AD.spans(s, d)),
     "span_parenting": lambda s, d: TL.span_parenting(AD.spans(s, d)),
+    "trace_spans": lambda s, d: TL.trace_spans(AD.spans(s, d)),
     "stack_health": lambda s, d: TL.stack_health(TL.stacks_from_events(AD.events(s, d))),
     "metric_alarm": lambda s, d: TL.metric_alarm(AD.metrics(s, d), "450", "1 day"),
     "alarm_consecutive": lambda s, d: TL.alarm_consecutive(AD.metrics(s, d), "250", 4),
@@ -126,6 +129,10 @@ OPS_QUERIES: dict[str, Query] = {
     "log_retention": lambda s, d: ST.log_retention(AD.storage_objects(s, d)),
     "log_sort": lambda s, d: R.newest(AD.audit_events(s, d).select(
         "eventTime", "eventName", "sourceIPAddress", "event_id"), "eventTime", 100, "event_id"),
+    "log_objects": lambda s, d: ST.log_objects(AD.storage_objects(s, d).select(
+        "bucket", F.concat(F.lit("log-"), F.col("key"), F.element_at(F.array(*map(F.lit, (".log", ".gz", ".txt"))), (F.col("key") % 3 + 1).cast("int"))).alias("name"),
+        F.date_sub(F.lit(AS_OF).cast("date"), F.col("age_days")).alias("modified")), AS_OF),
+    "task_details": lambda s, d: TK.task_details(AD.task_runs(s, d)),
     "task_report": lambda s, d: TK.task_report(AD.task_runs(s, d)),
     "module_health": lambda s, d: TK.module_health(AD.task_runs(s, d)),
 }
@@ -184,6 +191,10 @@ CLEAN_QUERIES: dict[str, Query] = {
     "quarantine_orders": lambda s, d: C.quarantine_summary(Tables(s, d).orders, C.default_rules("orders")),
     "email_rule": lambda s, d: Tables(s, d).customers.select(
         "customer_id", "email", C.email_rule("email")[1].alias("email_ok")),
+    "quarantine_rows": lambda s, d: C.split_by_rules(Tables(s, d).customers.withColumn(
+        "email", F.when(F.col("customer_id") % 9 != 0, F.col("email")).otherwise("no mail")), C.default_rules("customers"))[1].select(
+        "customer_id", "email", F.array_join("violations", ",").alias("violations")),
+    "fill_missing": lambda s, d: C.fill_missing(Tables(s, d).customers, {"phone": "unknown"}).select("customer_id", "phone"),
     "missing_values": lambda s, d: C.missing_report(Tables(s, d).customers),
     "dq_profile": lambda s, d: Q.profile(tables_a(s, d)["orders"]),
     "dq_referential": lambda s, d: Q.orphans(tables_a(s, d)),

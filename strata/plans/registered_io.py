@@ -118,14 +118,21 @@ def read_json_logs(spark: SparkSession, sf: str):
     return IO.read_table(spark, path, "json", **exact, schema="event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
 
 
-def pipeline_q(spark: SparkSession, sf: str):
-    """Run job A end to end; one row per metric."""
-    res = run_pipeline(spark, sf, S.scratch(spark, "pipeline"), "a")
+def pipeline_q(spark: SparkSession, sf: str, job: str = "a"):
+    """Run a job end to end; one row per metric."""
+    res = run_pipeline(spark, sf, S.scratch(spark, "pipeline"), job)
     rows = [(k, str(v)) for k, v in sorted(res.metrics.items()) if k != "processing_time_seconds"]
     rows.append(("success", str(res.success)))
     return spark.createDataFrame(rows, "metric string, value string")
 
 
+def pipeline_summary(spark: SparkSession, sf: str):
+    """S10, job b: the summary that was built from the written marts."""
+    out = S.scratch(spark, "pipeline-b")
+    run_pipeline(spark, sf, out, "b")
+    return IO.read_table(spark, f"{out}/summary_report")
+
+
 def _stream_schema(spark: SparkSession, sf: str, name: str) -> T.StructType:
     return AD._read(spark, sf, name).schema
 
@@ -184,6 +191,8 @@ IO_QUERIES = {
     "crawl_schema": crawl_schema,
     "validate_input": lambda s, d: IO.validate_input(s, f"{d}/orders.parquet").select("has_rows"),
     "run_pipeline": pipeline_q,
+    "run_pipeline_b": lambda s, d: pipeline_q(s, d, "b"),
+    "pipeline_summary": pipeline_summary,
     "read_json_logs": read_json_logs,
     "stream_ingest": stream_ingest,
     "stream_rejects": stream_rejects,
