@@ -16,15 +16,15 @@ DATE_FORMATS = (
 
 def parse_dates(df: DataFrame, col: str, formats=DATE_FORMATS,
                 out: str | None = None) -> DataFrame:
-    """Parse a text column holding mixed formats into TIMESTAMP.
+    """A column as TIMESTAMP_NTZ, from text in mixed formats or from a
+    date or timestamp.
 
     Each format is tried with ``try_to_timestamp`` (NULL instead of an error
-    under ANSI mode); the first that parses wins.  Values that are already
-    timestamps or dates pass through unchanged.
+    under ANSI mode); the first that parses wins.
     """
     dtype = dict(df.dtypes).get(col, "string")
     if dtype != "string":
-        return df.withColumn(out or col, F.col(col).cast("timestamp"))
+        return df.withColumn(out or col, F.col(col).cast("timestamp_ntz"))
     c = F.trim(F.col(col))
     parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
     return df.withColumn(out or col, parsed.cast("timestamp_ntz"))

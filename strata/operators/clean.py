@@ -69,11 +69,15 @@ def clean_customers(df: DataFrame, profile: str = "a", segment_case: str = "uppe
 def clean_orders(df: DataFrame, profile: str = "a") -> DataFrame:
     if profile == "b":
         df = dedupe(df)
+        if dict(df.dtypes)["order_date"] == "string":
+            df = parse_dates(df, "order_date")
         df = canonical_status(df, "order_status")
         return df.where(not_null("order_id", "customer_id") & (F.col("total_amount") > 0))
     df = canonical_status(df, "order_status")
     df = standardize(df, {"payment_method": "lower", "currency": "upper"})
     df = df.where(not_null("order_id", "customer_id"))
+    if dict(df.dtypes)["order_date"] == "string":  # raw files: mixed formats
+        df = parse_dates(df, "order_date")
     return add_date_parts(df, "order_date")
 
 

@@ -155,3 +155,28 @@ def test_late_samples_stay_out_of_closed_windows(spark):
         S.append_to_parquet(stream, f"{root}/out", f"{root}/ckpt").awaitTermination()
     got = {r["window_start"].minute: (r["samples"], r["dimensions"]) for r in spark.read.parquet(f"{root}/out").collect()}
     assert got[0] == (1, "a=1,b=2") and got[10][0] == 1
+
+
+def test_raw_files_to_marts(spark):
+    """Mixed dates, an extra field and text ids, from CSV files to written marts."""
+    from strata.plans.pipeline import run_pipeline
+    from strata.sources.files import RAW_COLUMNS, FileTables
+
+    base, out = S.scratch(spark, "raw"), S.scratch(spark, "marts")
+    lines = {
+        "customers": ["1,Taro,Tanaka, T@E.com ,,1-1,Tokyo,Tokyo,100-0001,Japan,2023-01-01,,vip,123-45-6789", "2,John,Smith,j@e.com,555,a,NYC,NY,10001,USA,2023-02-01,2024-01-01,Premium,1"],
+        "orders": ["ORD-1,1,2024-01-09 10:00:00,完了,card,a,b,100.50,1,2,3,JPY", "ORD-2,2,01/09/2024 12:15,shipped,card,a,b,50,0,0,0,USD",
+                   "ORD-3,1,Jan 14 2024 16:30,キャンセル,card,a,b,70,0,0,0,JPY", "ORD-4,x,2024-01-01 00:00:00,shipped,card,a,b,1,0,0,0,USD"],
+        "order_items": ["I1,ORD-1,PROD-1,2,30,60,6,completed", "I2,ORD-1,PROD-2,1,40,40,0,completed", "I3,ORD-2,PROD-1,1,30,30,0,shipped", "I4,ORD-3,PROD-2,1,40,40,0,cancelled"],
+        "products": ["PROD-1,Phone,Tech,Phone,B,30,20,0.1,1x1,red,S,glass,d,5,10,S1,2023-01-01", "PROD-2,Case,Tech,Case,B,40,10,0.1,1x1,red,S,glass,d,50,10,S1,2023-01-01",
+                     "PROD-7,Bad,Tech,Case,B,40,10,0.1,1x1,red,S,glass,d,50,10,S1,2023-01-01,EXTRA"]}
+    for name, rows in lines.items():
+        head = ",".join(c for c, _ in RAW_COLUMNS[name])
+        spark.createDataFrame([(x,) for x in [head, *rows]], "value string").coalesce(1).write.text(f"{base}/{name}.csv")
+    t = FileTables(spark, base)
+    assert {n: t.rejected(n).count() for n in lines} == {"customers": 0, "orders": 1, "order_items": 0, "products": 1}
+    res = run_pipeline(spark, base, out, "a", tables=t)
+    assert res.metrics["monthly_sales_row_count"] == 2 and res.metrics["product_analytics_row_count"] == 2
+    months = {(r["order_year"], r["order_month"], r["currency"]): r["total_revenue"] for r in IO.read_table(spark, f"{out}/monthly_sales").collect()}
+    assert months == {(2024, 1, "JPY"): D("100.50"), (2024, 1, "USD"): D("50.00")}
+    assert run_pipeline(spark, base, S.scratch(spark, "marts-b"), "b", tables=t).success
