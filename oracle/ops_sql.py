@@ -15,7 +15,7 @@ audit_events AS (SELECT ts AS eventTime, event_type AS eventName, '10.0.0.' || C
 span_base AS (SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS trace_id, event_id AS span_id,
                      event_type AS operation_name, 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service_name,
                      ts AS start_time, {dbl2dec('value')} AS duration_ms,
-                     CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status FROM events),
+                     CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, props AS tags FROM events),
 span_roots AS (SELECT trace_id, min({{'t': start_time, 's': span_id}}).s AS root_span_id FROM span_base GROUP BY trace_id),
 spans AS (SELECT b.*, CASE WHEN b.span_id = r.root_span_id THEN NULL ELSE r.root_span_id END AS parent_span_id
           FROM span_base b LEFT JOIN span_roots r USING (trace_id)),
@@ -117,7 +117,7 @@ CLUSTER_COST_SELECT = f"""
 SELECT id, name, state, creation_time, {div('micros', '3600000000', 4, ns=0, ds=0)} AS hours,
        {div('micros * 1.5', '3600000000', 2, ns=1, ds=0)} AS estimated_cost,
        micros > 4 * 3600000000 AS over_4h, micros > 8 * 3600000000 AS over_8h
-FROM r"""
+FROM r WHERE starts_with(name, 'cluster-1')"""
 
 AUDIT_RECENT = f"""
 SELECT eventTime, eventName, sourceIPAddress, identity_type, event_id FROM audit_events
@@ -134,10 +134,11 @@ LEFT JOIN (SELECT eventName, count(*) AS event_count FROM audit_events
 
 
 SPAN_METRICS = """
-SELECT span_id, trace_id, operation_name, service_name, 'OperationDuration' AS metric_name,
+SELECT 'strata' AS namespace, span_id, trace_id, operation_name, service_name, status, epoch_us(start_time) // 1000 AS epoch_ms, 'OperationDuration' AS metric_name,
        CAST(duration_ms AS DECIMAL(12,2)) AS value, 'Milliseconds' AS unit, CAST(NULL AS VARCHAR) AS error_kind FROM spans
 UNION ALL
-SELECT span_id, trace_id, operation_name, service_name, 'OperationErrors', CAST(1 AS DECIMAL(12,2)), 'Count', 'Unknown'
+SELECT 'strata', span_id, trace_id, operation_name, service_name, status, epoch_us(start_time) // 1000, 'OperationErrors', CAST(1 AS DECIMAL(12,2)), 'Count',
+       coalesce(json_extract_string(tags, '$.k'), 'Unknown')
 FROM spans WHERE status = 'error'"""
 
 TRACE_SUMMARY = """
@@ -145,6 +146,7 @@ SELECT trace_id, count(*) AS span_count, count(CASE WHEN status = 'error' THEN 1
        CAST(max(CASE WHEN parent_span_id IS NULL THEN duration_ms END) AS DECIMAL(12,2)) AS total_duration_ms,
        min(start_time) AS trace_start, max(start_time) AS trace_end,
        min({'t': start_time, 's': span_id, 'o': operation_name}).o AS first_operation,
+       min({'t': start_time, 's': span_id, 'o': service_name}).o AS service_name,
        CASE WHEN count(CASE WHEN status = 'error' THEN 1 END) > 0 THEN 'error' ELSE 'ok' END AS status
 FROM spans GROUP BY trace_id"""
 

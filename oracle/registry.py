@@ -147,6 +147,7 @@ CLEAN_SQL = {
     "read_json_logs": CS.READ_JSON,
     "create_tables": CS.CREATE_TABLES,
     "crawl_schema": CS.CRAWL,
+    "visible_tables": with_base("SELECT bucket || '/' || key AS table_name, layer FROM objects WHERE layer IN ('clean', 'analytics')", OS.OPS_BASE),
     "quarantine_rows": with_base(CS.QUARANTINE_ROWS),
     "fill_missing": with_base(CS.FILL_MISSING),
     "run_pipeline_b": _m(f"{MS.M4},\nm4 AS ({MS.M4_SELECT}),{MS.M5},{MS.M6},{MS.M7}", CS.RUN_PIPELINE_B),

@@ -6,7 +6,7 @@ expressions and a ``where``; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default policy.  Engineers see every layer unmasked; analysts
@@ -55,6 +55,17 @@ def apply_policy(df: DataFrame, role: str, policy: dict | None = None, salt: str
     return out.withColumns(repl) if repl else out
 
 
+def policy_table(spark: SparkSession, policy: dict | None = None) -> DataFrame:
+    """The policy as rows (role, layer): which layers a role may read."""
+    rows = [(role, layer) for role, rules in (policy or DEFAULT_POLICY).items() for layer in rules.get("layers", [])]
+    return spark.createDataFrame(rows, "role string, layer string")
+
+
+def visible_tables(policy: DataFrame, tables: DataFrame, role: str) -> DataFrame:
+    """The tables (table_name, layer, ...) that a role may read."""
+    return tables.join(policy.where(F.col("role") == role).select("layer"), "layer", "left_semi")
+
+
 def visible_layers(role: str, policy: dict | None = None) -> list[str]:
     """The layers a role may read."""
     return list((policy or DEFAULT_POLICY).get(role, {}).get("layers", []))

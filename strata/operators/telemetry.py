@@ -17,25 +17,27 @@ from pyspark.sql import functions as F
 
 
 
-def span_metrics(spans: DataFrame) -> DataFrame:
+def span_metrics(spans: DataFrame, namespace: str = "strata") -> DataFrame:
     """One OperationDuration row per span and one OperationErrors row
-    per failed span (error kind defaults to ``Unknown``)."""
-    err_kind = F.coalesce(F.col("error_kind"), F.lit("Unknown")) if "error_kind" in spans.columns \
-        else F.lit("Unknown")
+    per failed span, with the metric's namespace, its Status dimension and the
+    time in epoch milliseconds; the error kind comes from the span's tags
+    (``Unknown`` where they have none)."""
+    kind = F.get_json_object("tags", "$.k") if "tags" in spans.columns else F.lit(None).cast("string")
     dur = F.struct(F.lit("OperationDuration").alias("metric_name"),
                    F.col("duration_ms").cast("decimal(12,2)").alias("value"),
                    F.lit("Milliseconds").alias("unit"), F.lit(None).cast("string").alias("error_kind"))
     err = F.when(F.col("status") == "error",
                  F.struct(F.lit("OperationErrors").alias("metric_name"),
                           F.lit(Decimal("1.00")).cast("decimal(12,2)").alias("value"),
-                          F.lit("Count").alias("unit"), err_kind.alias("error_kind")))
-    return (spans.select("span_id", "trace_id", "operation_name", "service_name",
+                          F.lit("Count").alias("unit"), F.coalesce(kind, F.lit("Unknown")).alias("error_kind")))
+    return (spans.select(F.lit(namespace).alias("namespace"), "span_id", "trace_id", "operation_name", "service_name", "status",
+                         F.unix_millis(F.col("start_time").cast("timestamp")).alias("epoch_ms"),
                          F.explode(F.array_compact(F.array(dur, err))).alias("m"))
-            .select("span_id", "trace_id", "operation_name", "service_name", "m.*"))
+            .select("namespace", "span_id", "trace_id", "operation_name", "service_name", "status", "epoch_ms", "m.*"))
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:
-    """Per trace: spans, errors, status, first operation, time range and
+    """Per trace: spans, errors, status, first operation and its service, time range and
     the longest root-span duration (NULL when the trace has no root)."""
     is_root = F.col("parent_span_id").isNull()
     return spans.groupBy("trace_id").agg(
@@ -45,6 +47,7 @@ def trace_summary(spans: DataFrame) -> DataFrame:
         F.min("start_time").alias("trace_start"),
         F.max("start_time").alias("trace_end"),
         F.min_by("operation_name", F.struct("start_time", "span_id")).alias("first_operation"),
+        F.min_by("service_name", F.struct("start_time", "span_id")).alias("service_name"),
     ).withColumn("status", F.when(F.col("error_count") > 0, F.lit("error")).otherwise(F.lit("ok")))
 
 

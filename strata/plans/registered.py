@@ -111,7 +111,7 @@ OPS_QUERIES: dict[str, Query] = {
     "budget_running": lambda s, d: CO.budget_running(AD.cost_lines(s, d), "100"),
     "budget_status": lambda s, d: CO.budget_status(AD.cost_lines(s, d), AS_OF, "100", _SERVICES),
     "cost_anomaly": lambda s, d: CO.cost_anomaly(AD.cost_lines(s, d), 7, 3),
-    "cluster_run_cost": lambda s, d: CO.cluster_run_cost(AD.cluster_runs(s, d), AS_OF, "1.5"),
+    "cluster_run_cost": lambda s, d: CO.cluster_run_cost(AD.cluster_runs(s, d), AS_OF, "1.5", name_prefix="cluster-1"),
     "audit_recent": lambda s, d: A.audit_recent(AD.audit_events(s, d), AS_OF, 1),
     "security_counts": lambda s, d: A.security_counts(s, AD.audit_events(s, d), AS_OF, hours=24),
     "watchlist_join": lambda s, d: A.security_counts(s, AD.audit_events(s, d), AS_OF, hours=24 * 31),
@@ -200,6 +200,8 @@ CLEAN_QUERIES: dict[str, Query] = {
     "dq_referential": lambda s, d: Q.orphans(tables_a(s, d)),
     "mask_columns": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst"),
     "row_filter": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst_europe"),
+    "visible_tables": lambda s, d: G.visible_tables(G.policy_table(s), AD.storage_objects(s, d).select(
+        F.concat_ws("/", "bucket", F.col("key").cast("string")).alias("table_name"), "layer"), "analyst").select("table_name", "layer"),
     "table_access": lambda s, d: G.read_as("viewer", "analytics", m1(s, d)),
     "join_orders_items": lambda s, d: J.join_orders_items(
         tables_a(s, d)["orders"].select("order_id", "customer_id", "order_status"),

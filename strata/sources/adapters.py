@@ -231,6 +231,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("start_time"),
         F.col("value").cast("decimal(12,2)").alias("duration_ms"),
         F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+        F.col("props").alias("tags"),
     )
     roots = base.groupBy("trace_id").agg(
         F.min(F.struct("start_time", "span_id"))["span_id"].alias("root_span_id"))
