@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.llm.common import read
 
@@ -112,20 +113,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_trai
     return mean["place"].to_numpy(np.int32), mean["weight"].to_numpy()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
+    """``docs`` with the score of every row's ``text`` as one more column."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(2**BITS + 1)
         weights[sent.value[0]] = sent.value[1]
         for b in batches:
-            total = np.array([weights[features(t.as_py())].sum() + weights[-1] for t in b.column(1)], float)
+            total = np.array([weights[features(t.as_py())].sum() + weights[-1] for t in b.column(at)], float)
             scores = np.round(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))), 6)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, name])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(parts: int, part: int) -> Column:
@@ -137,13 +137,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     out = held_out(3, 1)
     model = fit(docs, labels, "toxic", ~out, **how)
-    return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that the model rejects."""
-    bad = toxicity(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the rows that the model rejects.  Rows are scored and
+    filtered where they are: no join brings the texts together."""
+    model = fit(docs, labels, "toxic", ~held_out(3, 1), **how)
+    return scored(docs, model, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
