@@ -73,6 +73,11 @@ def age_in_days(modified: str, as_of) -> Column:
                    / F.lit(86_400_000_000)).cast("int")
 
 
+def with_age(objects: DataFrame, as_of, modified: str = "modified") -> DataFrame:
+    """``age_days`` from the time an object was modified to ``as_of``."""
+    return objects.withColumn("age_days", age_in_days(modified, as_of))
+
+
 def log_objects(objects: DataFrame, as_of, name: str = "name", modified: str = "modified") -> DataFrame:
     """O19 per object: logs (``.log``, ``.gz``) older than seven whole days
     are deleted, ``.log`` files older than three compressed; others stay."""

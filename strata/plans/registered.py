@@ -196,7 +196,7 @@ CLEAN_QUERIES: dict[str, Query] = {
         "customer_id", "email", F.array_join("violations", ",").alias("violations")),
     "fill_missing": lambda s, d: C.fill_missing(Tables(s, d).customers, {"phone": "unknown"}).select("customer_id", "phone"),
     "missing_values": lambda s, d: C.missing_report(Tables(s, d).customers),
-    "dq_profile": lambda s, d: Q.profile(tables_a(s, d)["orders"]),
+    "dq_profile": lambda s, d: Q.profile(tables_a(s, d)["orders"], unique=("order_id",)),
     "dq_referential": lambda s, d: Q.orphans(tables_a(s, d)),
     "mask_columns": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst"),
     "row_filter": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst_europe"),

@@ -60,6 +60,13 @@ def test_versions_are_not_delete_markers(spark):
     assert ST.version_counts(o).first().asDict() == {"bucket": "b", "versions": 2, "delete_markers": 1, "live_versions": 2}
 
 
+def test_age_is_whole_days_before_as_of(spark):
+    o = spark.createDataFrame([("b", "k", "clean", dt.datetime(2024, 1, 1, 12))], "bucket string, key string, layer string, modified timestamp_ntz")
+    tier = lambda *at: ST.lifecycle_tier(ST.with_age(o, dt.datetime(*at))).first()
+    assert (tier(2024, 1, 31, 11)["age_days"], tier(2024, 1, 31, 11)["target_tier"]) == (29, "STANDARD")
+    assert (tier(2024, 1, 31, 12)["age_days"], tier(2024, 1, 31, 12)["target_tier"]) == (30, "STANDARD_IA")
+
+
 def test_spans_of_two_traces_with_equal_ids(spark):
     s = spark.createDataFrame([("t1", 1, None, D(10)), ("t1", 2, 1, D(4)), ("t2", 1, None, D(20)), ("t2", 2, 1, D(5)), ("t2", 3, 9, D(1))],
                               "trace_id string, span_id int, parent_span_id int, duration_ms decimal(12,2)")
