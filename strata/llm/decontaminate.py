@@ -87,10 +87,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` with the hit words cut out of the texts; texts without a hit
     stay as they are, the others become their other words, joined by a space."""
     found = contamination(docs.select("doc_id", "text"), benchmark, **how).where(F.size("hit") > 0).select(
-        F.col("doc_id").alias("_id"), F.map_from_entries(F.transform("hit", lambda x: F.struct(x, F.lit(True)))).alias("_hit")).dropDuplicates(["_id"])
+        F.col("doc_id").alias("_id"), F.col("hit").alias("_hit")).dropDuplicates(["_id"])
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    rest = F.array_join(F.filter(alnum_words(F.col("text")), lambda x, i: F.element_at(F.col("_hit"), i).isNull()), " ")
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(rest)).drop("_id", "_hit")
+    joined = joined.withColumn("_words", F.when(F.col("_hit").isNotNull(), alnum_words(F.col("text"))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), "_hit")
+    rest = F.array_join(F.transform(left, lambda i: F.get("_words", i)), " ")
+    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(rest)).drop("_id", "_hit", "_words")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,10 +79,11 @@ def dedupe_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     out = t.join(gone, "row_id", "left").withColumn("covered", F.array_sort("covered"))
     # Places among the lines with a word, to line numbers.
     cut = F.transform("covered", lambda k: F.get("lines", k)["i"])
-    out = out.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), cut.alias("cut"), F.col("covered"))
-    kept = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), F.array_contains("cut", i).alias("gone"))),
-                                 lambda s: ~s["gone"])["x"], "\n")
-    breaks = F.size(F.filter("covered", lambda k: ~F.array_contains("covered", k - 1)))
+    out = out.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), cut.alias("cut"), "covered",
+                     F.when(F.col("covered").isNotNull(), F.split("text", "\n")).alias("shown"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("shown") - 1), "cut")
+    kept = F.array_join(F.transform(left, lambda i: F.get("shown", i)), "\n")
+    breaks = F.size(F.filter("covered", lambda k, i: F.coalesce(F.get("covered", i - 1) != k - 1, F.lit(True))))
     return out.select(
         "doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept).alias("text"), "n_lines",
         F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long").alias("n_removed"),

@@ -38,6 +38,7 @@ import os
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
@@ -51,15 +52,47 @@ from strata.llm.common import read, written
 
 #: Production parameters.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-SHARD_TOKENS, ROUNDS, MIN_COUNT, MAX_RULES, KEPT_PIECES = 1_000_000, 4, 8, 12_000, 400_000
+SHARD_TOKENS, ROUNDS, MIN_COUNT, MAX_RULES, KEPT_PIECES = 1_000_000, 4, 8, 12_000, 1_000_000
 
 SHARD_SCHEMA = ("part int, seq int, doc_ids array<bigint>, offsets binary, rules binary, lengths binary, "
                 "symbols binary, n_tokens bigint, base int, width int")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_SAFE_SPACE, _UNSAFE_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s |^ | $")
+_PUNCTUATION = ".,!?;:|%&*$#()\""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary, as the library's
+    pre-tokenizer gives it (for all bytes that occur in UTF-8)."""
+    from tokenizers import pre_tokenizers
+
+    level, letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for char in map(chr, [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x8000)]):
+        letters.update(zip(char.encode(), level.pre_tokenize_str(char)[0][0]))
+    return letters
+
+
+class Pieces(dict):
+    """Ids of known pieces that follow ``lead``; others are encoded when they
+    are asked for.  A full table starts anew."""
+
+    def __init__(self, encoder: Encoder, lead: str, kept: int):
+        self.encoder, self.lead, self.kept = encoder, lead, kept
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.kept:
+            self.clear()
+        ids = self[piece] = self.encoder.piece(self.lead + piece)
+        return ids
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file, with a table of known pieces."""
+    """Ids of texts by a ``tokenizers`` file, with a table of known pieces.
+
+    A piece is taken apart further where the pre-tokenizer always cuts: at a
+    line feed between characters that are no white space, and between letters
+    and the punctuation after them.  What is left are mostly words, which are
+    one pre-token and go to the library's model directly.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,30 +102,34 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.base + MAX_RULES < 2**16 - 1 else np.dtype("<u4")
-        self.kept, self.known = kept, {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = list(pieces)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
+        self.code, self.model, self.letters = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model, byte_letters()
+        self.line_feed = self.word("\n")
+        self.first, self.later = Pieces(self, "", kept // 4), Pieces(self, " ", kept)
+
+    def word(self, text: str) -> bytes:
+        """Ids of a text that is one pre-token."""
+        return array(self.code, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            stem = line.rstrip(_PUNCTUATION)
+            if not (stem[1:] if not k and stem[:1] == " " else stem).isalpha():
+                return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            if k:
+                out.append(self.line_feed)
+            out.append(self.word(stem))
+            if len(stem) < len(line):
+                out.append(self.word(line[len(stem):]))
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
-        cut = []
+        out = []
         for t in texts:
-            pieces = t.split(" ")
-            if "" in pieces or any(p[0].isspace() or p[-1].isspace() for p in pieces if not p.isalnum()):
-                pieces = _SAFE_SPACE.split(t)
-            cut.append([pieces[0], *[" " + p for p in pieces[1:]]] if t else [])
-        self._learn(set().union(*cut))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            pieces = _SAFE_SPACE.split(t) if _UNSAFE_SPACE.search(t) else t.split(" ")
+            out.append(self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])) if t else b"")
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -112,28 +149,32 @@ def re_pair(symbols: np.ndarray, base: int, end: int, rounds: int = ROUNDS, min_
         if room <= 0 or len(seq) < 2:
             break
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if base + max_rules >= 2**16 else seq[:-1] << np.uint32(16) | seq[1:]
-        paired = (seq[:-1] != end) & (seq[1:] != end)
-        order = np.sort(key[paired])
-        starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.empty(0, int)
-        counts = np.diff(np.append(starts, len(order)))
-        frequent = np.flatnonzero(counts >= min_count)
+        half = key.dtype.type(4 * key.itemsize)
+        order = np.sort(key)
+        starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
+        counts, found = np.diff(np.append(starts, len(order))), order[starts]
+        low = (key.dtype.type(1) << half) - key.dtype.type(1)
+        frequent = np.flatnonzero((counts >= min_count) & (found >> half != end) & (found & low != end))
         if not len(frequent):
             break
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")][:max(1, room // 2) if room > 64 else room]
-        pairs = order[starts[frequent]]  # by falling count: the place is the rank
+        pairs = found[frequent]  # by falling count: the place is the rank
         # A small table finds the rank of a key; of keys that share a slot the most frequent stays.
-        bits = 18
-        slot = (lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))
-        table = np.full(1 << bits, len(pairs), np.int32)
+        last = np.int32(len(pairs))
+        table = np.full(1 << 18, last, np.int32)
+        slot = (lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46))
         table[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = table[slot(key)]
-        rank[~paired | (np.append(pairs, key.dtype.type(0))[rank] != key)] = len(pairs)
+        rank[np.append(pairs, key.dtype.type(0))[rank] != key] = last
         # In a run of equal pairs (a a a a) every other one can be replaced.
-        at = np.arange(len(key), dtype=np.int32)
-        run = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
-        rank[((at - run) & 1).astype(bool)] = len(pairs)
-        last = np.int32(len(pairs))
-        chosen = (rank < np.concatenate(([last], rank[:-1]))) & (rank < last) & (rank <= np.append(rank[1:], last))
+        equal = np.flatnonzero(key[1:] == key[:-1]) + 1
+        if len(equal):
+            opens = np.concatenate(([True], np.diff(equal) != 1))
+            place = np.arange(len(equal))
+            rank[equal[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]] = last
+        chosen = rank < last
+        chosen[1:] &= rank[1:] < rank[:-1]
+        chosen[:-1] &= rank[:-1] <= rank[1:]
         where = np.flatnonzero(chosen)
         used = np.bincount(rank[where], minlength=len(pairs))
         where = where[used[rank[where]] >= 2]
@@ -145,8 +186,7 @@ def re_pair(symbols: np.ndarray, base: int, end: int, rounds: int = ROUNDS, min_
         keep[where + 1] = False
         seq = seq[keep]
         kept = pairs[used >= 2]
-        half = np.array(32 if kept.dtype == np.uint64 else 16, kept.dtype)
-        rules = np.concatenate((rules, np.stack((kept >> half, kept & ((kept.dtype.type(1) << half) - kept.dtype.type(1))), 1).astype(np.uint32)))
+        rules = np.concatenate((rules, np.stack((kept >> half, kept & low), 1).astype(np.uint32)))
     return seq, rules
 
 
