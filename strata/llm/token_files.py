@@ -40,6 +40,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -104,12 +105,18 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.base + MAX_RULES < 2**16 - 1 else np.dtype("<u4")
         self.code, self.model, self.letters = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model, byte_letters()
         self.line_feed = self.word("\n")
-        self.first, self.later = Pieces(self, "", kept // 4), Pieces(self, " ", kept)
+        self.first, self.later, self.marks = Pieces(self, "", kept // 4), Pieces(self, " ", kept), {}
 
     def word(self, text: str) -> bytes:
         """Ids of a text that is one pre-token."""
         return array(self.code, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
+    def mark(self, text: str) -> bytes:
+        """Ids of a run of punctuation."""
+        if text not in self.marks:
+            self.marks[text] = self.word(text)
+        return self.marks[text]
+
     def piece(self, text: str) -> bytes:
         out = []
         for k, line in enumerate(text.split("\n")):
@@ -118,9 +125,11 @@ class Encoder:
                 return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             if k:
                 out.append(self.line_feed)
-            out.append(self.word(stem))
+            # A word that is known without what follows it is not encoded again.
+            known = self.later.get(stem[1:]) if stem[:1] == " " else self.first.get(stem)
+            out.append(known or self.word(stem))
             if len(stem) < len(line):
-                out.append(self.word(line[len(stem):]))
+                out.append(self.mark(line[len(stem):]))
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -192,11 +201,11 @@ def re_pair(symbols: np.ndarray, base: int, end: int, rounds: int = ROUNDS, min_
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all nonterminals one after the other, where each starts)."""
-    out: list[np.ndarray] = []
+    out: list[list[int]] = []
     for left, right in rules.tolist():
-        out.append(np.concatenate([out[x - base] if x >= base else np.array([x], np.uint32) for x in (left, right)]))
+        out.append((out[left - base] if left >= base else [left]) + (out[right - base] if right >= base else [right]))
     starts = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
-    return np.concatenate(out) if out else np.empty(0, np.uint32), starts
+    return np.fromiter(chain.from_iterable(out), np.uint32, int(starts[-1])), starts
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, end_symbol: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +290,7 @@ def _digests(end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for i in range(batch.num_rows):
                 row, at, out = batch.slice(i, 1).to_pylist()[0], 0, []
                 for doc, ids in decode_shard(row, end_id):
-                    out.append((row["part"], row["seq"], doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((row["part"], row["seq"], doc, at, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))))
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
     return run
