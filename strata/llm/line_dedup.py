@@ -12,7 +12,13 @@ repeated runs are deleted.  Earlier means a smaller id, or the same document
 and a smaller line number.  Lines without a word belong to no run and stay.
 
 So a line goes if and only if it lies in ``window`` or more consecutive lines
-that occur, as a sequence, at an earlier place.
+that occur, as a sequence, at an earlier place.  That is the rule of the query
+and of its SQL; repeats that fill fewer lines are kept by it.
+
+With ``min_words`` given, two more matches count, which have less than
+``window`` lines: a run of lines that together have ``min_words`` words or more
+and occur, as a sequence, at an earlier place, and a whole document that is
+equal to an earlier whole document.  Such runs are their own fingerprints.
 
 Fingerprints and sequences are counted and reduced to their first place in
 each task before they meet; the joins that bring places back are left to the
@@ -30,16 +36,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACES, read, written
+from strata.llm.common import SPACES, read, words, written
 
 #: Production parameter: lines in a window, the shortest run that is found.
 WINDOW = 3
 
 
-def _line_hashes(lines: Column) -> Column:
-    """(line number, hash) of the lines that hold a word."""
+def _line_hashes(lines: Column, counted: bool = False) -> Column:
+    """(line number, hash, and if ``counted`` words) of the lines that hold a word."""
     hashed = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(
-        x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.trim(F.lower(F.regexp_replace(x, SPACES, " "))))).alias("h")))
+        x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.trim(F.lower(F.regexp_replace(x, SPACES, " "))))).alias("h"),
+        *([F.size(words(x)).alias("n")] if counted else [])))
     return F.filter(hashed, lambda x: x["h"].isNotNull())
 
 
@@ -58,8 +65,26 @@ def winnowed(table: DataFrame, window: int) -> DataFrame:
     return w.select("row_id", "doc_id", "w.first", (-F.col("w.low.at")).alias("mark"), F.col("w.low.print").alias("print"), "w.run")
 
 
-def repeated_lines(table: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row_id, gone): line numbers that later repeated runs cover."""
+def short_runs(table: DataFrame, window: int, min_words: int) -> DataFrame:
+    """(row_id, doc_id, first, size, run): the runs of less than ``window``
+    lines that have ``min_words`` words, and the whole rows of so few lines."""
+    line = lambda i: F.get("lines", i)
+
+    def of(k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size("lines") - k), lambda i: F.struct(
+            i.alias("first"), F.lit(k).alias("size"), sum((line(i + j)["n"] for j in range(1, k)), line(i)["n"]).alias("n"),
+            F.xxhash64(F.lit(k), *[line(i + j)["h"] for j in range(k)]).alias("run")))
+        return F.when(F.size("lines") >= k, F.filter(runs, lambda x: x["n"] >= min_words))
+    whole = F.when(F.size("lines") < window, F.array(F.struct(
+        F.lit(0).alias("first"), F.size("lines").alias("size"), F.lit(0).alias("n"),
+        F.xxhash64(F.lit(0), F.transform("lines", lambda x: x["h"])).alias("run"))))
+    none = F.array().cast("array<struct<first:int,size:int,n:int,run:bigint>>")
+    r = table.where(F.size("lines") > 0).select("row_id", "doc_id", F.explode(F.concat(*[F.coalesce(x, none) for x in (*map(of, range(1, window)), whole)])).alias("r"))
+    return r.select("row_id", "doc_id", "r.first", "r.size", "r.run")
+
+
+def repeated_lines(table: DataFrame, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
+    """(row_id, covered): line numbers that later repeated runs cover."""
     w = winnowed(table, window)
     places = w.select("print", "row_id", "mark").distinct().groupBy("print").agg(F.count("*").alias("c")).where("c > 1")
     near = w.join(places.select("print"), "print")
@@ -68,14 +93,21 @@ def repeated_lines(table: DataFrame, window: int = WINDOW) -> DataFrame:
     later = near.join(known.select("run", "earliest"), "run").where(place != F.col("earliest"))
     starts = later.groupBy("row_id").agg(F.collect_set("first").alias("starts"))  # at most a row's own lines
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + window - 1))))
-    return starts.select("row_id", covered.alias("covered"))
+    starts = starts.select("row_id", covered.alias("covered"))
+    if min_words is None:
+        return starts
+    runs = short_runs(table, window, min_words)
+    known = runs.groupBy("run").agg(F.min(place).alias("earliest"), F.count("*").alias("c")).where("c > 1")
+    later = runs.join(known.select("run", "earliest"), "run").where(place != F.col("earliest"))
+    both = starts.unionByName(later.select("row_id", F.sequence(F.col("first"), F.col("first") + F.col("size") - 1).alias("covered")))
+    return both.groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"))
 
 
-def dedupe_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedupe_lines(docs: DataFrame, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, n_runs) of every row of ``docs``."""
     t = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
-    t = written(t.select("*", _line_hashes(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines")), "line-hashes")
-    gone = repeated_lines(t.select("row_id", "doc_id", "lines"), window)
+    t = written(t.select("*", _line_hashes(F.split(F.coalesce("text", F.lit("")), "\n"), min_words is not None).alias("lines")), "line-hashes")
+    gone = repeated_lines(t.select("row_id", "doc_id", "lines"), window, min_words)
     out = t.join(gone, "row_id", "left").withColumn("covered", F.array_sort("covered"))
     # Places among the lines with a word, to line numbers.
     cut = F.transform("covered", lambda k: F.get("lines", k)["i"])

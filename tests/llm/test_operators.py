@@ -121,6 +121,31 @@ def test_line_dedup_brute_force(spark):
     assert by_id(line_dedup.dedupe_lines(table(spark, rows)), "n_removed", "text") == want
 
 
+def test_line_dedup_short_repeats(spark):
+    """Repeats of one and two lines, by brute force: long enough runs and
+    whole documents go, short parts stay."""
+    r, rows = random.Random(8), []
+    long, short = [prose(i, 12) for i in range(5)], [prose(50 + i, 3) for i in range(5)]
+    for i in range(60):
+        rows.append((i, "\n".join(r.choice([r.choice(long), r.choice(short).upper(), " "]) for _ in range(r.randrange(5))), "a"))
+    rows += [(100, f"{long[0]}\n{prose(900, 4)}", "a"), (101, prose(901, 2), "a"), (102, prose(901, 2), "a"), (103, f"{prose(902, 2)}\n{prose(901, 2)}", "a")]
+    seen, want = set(), {}
+    for i, t, _ in rows:
+        held, gone = [(k, " ".join(x.lower().split())) for k, x in enumerate(t.split("\n")) if x.split()], set()
+        for n in (1, 2, 3):
+            for k in range(len(held) - n + 1):
+                run = tuple(x for _, x in held[k:k + n])
+                if n == 3 or sum(len(x.split()) for x in run) >= 10:
+                    gone |= {q for q, _ in held[k:k + n]} if run in seen else set()
+                    seen.add(run)
+        whole = ("whole", *(x for _, x in held))
+        gone |= {k for k, _ in held} if whole in seen else set()
+        seen.add(whole)
+        want[i] = (len(gone), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+    got = by_id(line_dedup.dedupe_lines(table(spark, rows), min_words=10), "n_removed", "text")
+    assert got == want and got[102] == (1, "") and got[103][0] == 0 and got[100] == (1, prose(900, 4))
+
+
 def test_encoder_equals_whole_texts():
     enc = token_files.encoder(token_files.tokenizer_path())
     texts = ["", " ", "a", "  a", "a  b", "a \n b", "x\n\ny z", "<|endoftext|> hi", "tab\there you're", "é b c　d", "don't  stop 's x",
