@@ -11,10 +11,10 @@ Beyond that the same join runs as a shuffle join with the same result.
 
 Defined results: null or empty texts have no words and no hits; a null
 ``doc_id`` is an id like any other; rows that repeat an id are answered with
-the hits of all of its rows; items with equal texts are all reported; a null
-item id is left out of the list of items, its windows still hit; with an
-empty benchmark nothing is hit; other columns are kept (spans, documents) or
-not read (hits).
+the hits of all of its rows, but are removed each by its own text; items with
+equal texts are all reported; a null item id is left out of the list of items,
+its windows still hit; with an empty benchmark nothing is hit; other columns
+are kept (spans, documents) or not read (hits).
 """
 
 from __future__ import annotations
@@ -78,9 +78,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
-    hit = window_hits(docs, benchmark_windows(benchmark, how.get("window", WINDOW)), **how).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark window; rows are
+    known by their text's 64-bit hash, whatever other rows have their id."""
+    text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = window_hits(text, benchmark_windows(benchmark, how.get("window", WINDOW)), **how).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.xxhash64("text") == F.col("_hit"), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -321,8 +321,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.select("e.u", F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, class_id) of every row."""
+def linked_rows(docs: DataFrame, n: int = N, percent: int = PERCENT, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, class_id, root) of every
+    row; ``root`` names a component also where ids repeat or are null."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_describe(n, percent), _TABLE), "sets")
     whole = table.where("n > 0")
@@ -340,22 +341,34 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, slic
     roots = components(links.unionByName(more))
     rooted = whole.select("doc_id", "text_hash", "n", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(ids, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_id"))
+    out = rooted.join(ids, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_id"), "root")
     alone = table.where("n = 0").select("doc_id", "text_hash", F.lit(0).cast("bigint").alias("n_shingles"),
-                                        F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"))
+                                        F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("bigint").alias("root"))
     return out.unionByName(alone)
 
 
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, class_id) of every row."""
+    return linked_rows(docs, n, percent, slice_rows).drop("root")
+
+
 def keep_one_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component: the one with its id.
+    """``docs`` with one row of each component: the one with its smallest id.
 
-    Documents without shingles stay.  Of rows that repeat an id, one stays.
+    Rows are told apart by id and text, so that a component keeps its row
+    whatever other components have the same id or none.  Rows without shingles
+    stay, all of them.
     """
-    keep = jaccard_components(docs, **how).where("doc_id <=> component_id")
-    repeated = keep.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
-    keep = keep.select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    rows = linked_rows(docs, **how)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "c")
+    first = rows.where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(place).alias("r"))
+    alone = rows.where("root IS NULL").select("doc_id", "text_hash").distinct()
+    keep = written(first.select("r.doc_id", "r.text_hash", (F.col("r.c") > 1).alias("_again")).unionByName(
+        alone.withColumn("_again", F.lit(False))).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"}), "kept")
+    out = docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")))
+    if keep.where("_again").limit(1).count():  # copies that repeat the id too
+        out = out.where("NOT _again").unionByName(out.where("_again").dropDuplicates(["_id", "_text"]))
+    return out.select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,6 +357,20 @@ def test_keep_one_each(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5] and kept.columns == table(spark, rows).columns
 
 
+def test_rows_are_kept_by_themselves(spark):
+    """Null and repeated ids: each component keeps one row, rows without
+    shingles all stay, and only rows that hold a benchmark window go."""
+    a = prose(1, 90).split()
+    rows = [(None, prose(100 + k, 40), f"n{k}") for k in range(6)] + [(None, prose(100, 40), "n0")]
+    rows += [(3, " ".join(a), "a"), (7, " ".join([*a[:-1], "x"]), "near"), (7, prose(2, 90), "b"), (3, prose(3, 90), "c")]
+    rows += [(3, "", "e1"), (3, "", "e2"), (None, None, "e3"), (None, None, "e4"), (9, prose(4, 60), "twice"), (9, prose(4, 60), "twice")]
+    kept = jaccard_join.keep_one_each(table(spark, rows))
+    assert sorted(r["source"] for r in kept.collect()) == sorted([*(f"n{k}" for k in range(6)), "a", "b", "c", "e1", "e2", "e3", "e4", "twice"])
+    bench = spark.createDataFrame([(1, prose(102, 15)), (2, prose(2, 15))], "item_id bigint, text string")
+    clean = decontaminate.remove_documents(table(spark, rows), bench)
+    assert sorted(r["source"] for r in clean.collect()) == sorted(s for _, _, s in rows if s not in ("n2", "b"))
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage against brute force on its own input."""
     sf = SF_SMALL
