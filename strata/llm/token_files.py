@@ -24,7 +24,8 @@ Encoding: a text is cut at single spaces between two characters that are no
 white space; the vocabulary's pre-tokenizer always starts a token there, so
 the pieces' ids put together are the text's ids.  Pieces are encoded by the
 tokenizer once and kept in a table of bounded size per Python worker.  The
-strings of special tokens in a text are ordinary text.
+string of a special token in a text becomes its id, as the tokenizer's file
+has it.
 
 Defined results: a null text is empty and becomes the end id alone; repeated
 rows and ids are documents of their own, in the order of their texts' hashes;
@@ -100,7 +101,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.base + MAX_RULES < 2**16 - 1 else np.dtype("<u4")
         self.code, self.model, self.letters = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model, byte_letters()

@@ -154,6 +154,18 @@ def test_encoder_equals_whole_texts():
         assert np.frombuffer(ids, enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_equals_library_as_loaded():
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    enc, fresh = token_files.encoder(path), Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = [f"ab {end} cd", end, f" {end}", f"{end} ", f"a{end}b", f"x\n{end}\ny", f"a  {end}  b", f"{end}{end} c.", f"one.{end}", f"a,\t{end} (b)", "<|endof text|>", f"{end} {end}"]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, enc.dtype).tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(enc.encode(texts[:1])[0], enc.dtype).tolist() == [397, 220, 50256, 22927]
+
+
 @pytest.mark.parametrize("base,max_rules", [(300, 500), (70_000, 500)])
 def test_re_pair_round_trip(base, max_rules):
     rng = np.random.default_rng(1)
