@@ -4,7 +4,8 @@ Documents are range-partitioned and sorted by id, encoded, and cut into
 shards.  Within a shard the most frequent pairs of neighbouring symbols are
 replaced by nonterminals, round after round: a round counts all pairs, takes
 the frequent ones, and replaces a pair wherever it is more frequent than the
-pairs that overlap it.  A pair never reaches over the end of a document, so
+pairs that overlap it.  Rounds go on until no pair occurs ``min_count`` times
+or there are ``max_rules`` nonterminals.  A pair never reaches over the end of a document, so
 that each document can be decoded by itself.
 
 File format: Parquet, one row per shard, in ascending order of ids:
@@ -54,7 +55,7 @@ from strata.llm.common import read, written
 
 #: Production parameters.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-SHARD_TOKENS, ROUNDS, MIN_COUNT, MAX_RULES, KEPT_PIECES = 1_000_000, 4, 8, 12_000, 1_000_000
+SHARD_TOKENS, MIN_COUNT, MAX_RULES, KEPT_PIECES = 1_000_000, 8, 12_000, 1_000_000
 
 SHARD_SCHEMA = ("part int, seq int, doc_ids array<bigint>, offsets binary, rules binary, lengths binary, "
                 "symbols binary, n_tokens bigint, base int, width int")
@@ -149,17 +150,19 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def re_pair(symbols: np.ndarray, base: int, end: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT,
-            max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray]:
+def re_pair(symbols: np.ndarray, base: int, end: int, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray]:
     """(compressed symbols, rules): rule k is the pair that ``base`` + k replaces."""
     seq, rules = symbols.astype(np.uint32), np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        room = max_rules - len(rules)
-        if room <= 0 or len(seq) < 2:
-            break
+    while (room := max_rules - len(rules)) > 0 and len(seq) > 1:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if base + max_rules >= 2**16 else seq[:-1] << np.uint32(16) | seq[1:]
         half = key.dtype.type(4 * key.itemsize)
-        order = np.sort(key)
+        # In a run of equal pairs (a a a a) every other one can be replaced.
+        equal = np.flatnonzero(key[1:] == key[:-1]) + 1
+        if len(equal):
+            opens = np.concatenate(([True], np.diff(equal) != 1))
+            place = np.arange(len(equal))
+            equal = equal[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]
+        order = np.sort(np.delete(key, equal) if len(equal) else key)
         starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         counts, found = np.diff(np.append(starts, len(order))), order[starts]
         low = (key.dtype.type(1) << half) - key.dtype.type(1)
@@ -175,20 +178,13 @@ def re_pair(symbols: np.ndarray, base: int, end: int, rounds: int = ROUNDS, min_
         table[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = table[slot(key)]
         rank[np.append(pairs, key.dtype.type(0))[rank] != key] = last
-        # In a run of equal pairs (a a a a) every other one can be replaced.
-        equal = np.flatnonzero(key[1:] == key[:-1]) + 1
-        if len(equal):
-            opens = np.concatenate(([True], np.diff(equal) != 1))
-            place = np.arange(len(equal))
-            rank[equal[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]] = last
+        rank[equal] = last
         chosen = rank < last
         chosen[1:] &= rank[1:] < rank[:-1]
         chosen[:-1] &= rank[:-1] <= rank[1:]
         where = np.flatnonzero(chosen)
         used = np.bincount(rank[where], minlength=len(pairs))
-        where = where[used[rank[where]] >= 2]
-        if not len(where):
-            break
+        where = where[used[rank[where]] >= 2]  # the first pair's places at least
         ids = np.cumsum(used >= 2) - 1 + base + len(rules)
         seq[where] = ids[rank[where]]
         keep = np.ones(len(seq), bool)

@@ -179,6 +179,18 @@ def test_re_pair_round_trip(base, max_rules):
     assert len(packed) < 600
 
 
+def test_re_pair_goes_on():
+    """Long copies: no frequent pair is left while there is room for rules."""
+    rng, end = np.random.default_rng(2), 2**16 - 1
+    sym = np.tile(np.append(rng.integers(0, 300, 500), end), 40).astype(np.uint32)
+    packed, rules = token_files.re_pair(sym, 300, end)
+    left = [(a, b) for a, b in itertools.pairwise(packed.tolist()) if end not in (a, b)]
+    assert len(rules) < token_files.MAX_RULES and all(left.count(p) < token_files.MIN_COUNT for p in set(left))
+    assert len(packed) == 80 and max(np.diff(token_files.expansions(rules, 300)[1])) == 500
+    back, _ = token_files.expand(packed, rules, 300, end, 2)
+    assert back.tolist() == np.where(sym == end, 2, sym).tolist()
+
+
 def test_token_files_round_trip(spark):
     rows = AWKWARD + [(100 + i, prose(i % 5, 40), "a") for i in range(30)]
     shards = token_files.write_token_files(table(spark, rows), token_files.tokenizer_path(), shard_tokens=2_000)
