@@ -6,7 +6,10 @@ line found in more than ``min_docs`` documents and in more than
 ``max_share`` of the host's documents is boilerplate and is removed.  A
 document that keeps less than ``min_kept`` of its words is depleted and
 rejected.  Exact copies of a text count as one document, so that a page is
-not taken for boilerplate of itself.
+not taken for boilerplate of itself.  The query returns counts and a verdict;
+``remove_frequent_lines`` returns the documents without their boilerplate.
+With ``max_docs`` given, a line in more than so many documents is boilerplate
+whatever its share, for hosts with very many documents.
 
 Beside that the fixed base rules of a document are measured.
 
@@ -78,24 +81,26 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source", doc_id
     return written(d, "lines")
 
 
-def frequent_lines(table: DataFrame, min_docs: int, max_share_percent: int) -> DataFrame:
+def frequent_lines(table: DataFrame, min_docs: int, max_share_percent: int, max_docs: int | None = None) -> DataFrame:
     """(host, h, docs) of the lines above the limits.
 
     Both counts are over distinct texts; a very common line is reduced in
     each task before it meets in one place.
     """
     held = (table.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-            .distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs))
+            .distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > (min_docs if max_docs is None else min(min_docs, max_docs))))
     hosts = table.select("host", "text_hash").distinct().groupBy(F.col("host").alias("of")).agg(F.count("*").alias("host_docs"))
-    return (held.join(hosts, F.col("host").eqNullSafe(F.col("of")))
-            .where(F.col("docs") * 100 > F.col("host_docs") * max_share_percent).select("host", "h", "docs"))
+    above = F.col("docs") * 100 > F.col("host_docs") * max_share_percent
+    if max_docs is not None:
+        above = (above & (F.col("docs") > min_docs)) | (F.col("docs") > max_docs)
+    return held.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(above).select("host", "h", "docs")
 
 
 def line_frequency_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: int = MAX_SHARE_PERCENT,
-                         min_kept_percent: int = MIN_KEPT_PERCENT, **columns: str) -> DataFrame:
+                         min_kept_percent: int = MIN_KEPT_PERCENT, max_docs: int | None = None, **columns: str) -> DataFrame:
     """Measures and verdict of every row of ``docs`` (see the module)."""
     table = line_table(docs, **columns)
-    frequent = frequent_lines(table, min_docs, max_share_percent).select(F.col("host").alias("of"), F.col("h").alias("is"))
+    frequent = frequent_lines(table, min_docs, max_share_percent, max_docs).select(F.col("host").alias("of"), F.col("h").alias("is"))
     held = table.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.h", "line.n")
     removed = (held.join(frequent, (F.col("h") == F.col("is")) & F.col("host").eqNullSafe(F.col("of")))
                .groupBy("row_id").agg(F.sum("n").cast("long").alias("gone"), F.count("*").alias("gone_lines")))
@@ -108,6 +113,23 @@ def line_frequency_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_pe
         gone.alias("n_boilerplate_words"), F.coalesce("gone_lines", F.lit(0)).cast("long").alias("n_boilerplate_lines"))
 
 
+def remove_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: int = MAX_SHARE_PERCENT, max_docs: int | None = None,
+                          text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with the boilerplate lines cut out of the texts; texts without
+    one stay as they are."""
+    d = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    frequent = frequent_lines(line_table(d, text, host, doc_id), min_docs, max_share_percent, max_docs).select(F.col("host").alias("_of"), F.col("h").alias("_is"))
+    split = F.split(F.col(text), "\n")
+    held = d.select("_row", F.col(host).alias("_host"), F.posexplode(F.transform(split, lambda x: F.when(
+        x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.trim(F.lower(F.regexp_replace(x, SPACES, " "))))))).alias("_at", "_h"))
+    gone = (held.join(frequent, (F.col("_h") == F.col("_is")) & F.col("_host").eqNullSafe(F.col("_of")))
+            .groupBy("_row").agg(F.collect_set("_at").alias("_gone")))  # at most a text's own lines
+    out = d.join(gone, "_row", "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone")
+    rest = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)).select(*docs.columns)
+
+
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_rules(read(spark, sf_dir, "documents")).drop("host")
 

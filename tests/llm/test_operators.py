@@ -71,6 +71,22 @@ def test_line_frequency_rejects_boilerplate_pages(spark):
     assert all(v == (True, 0) for v in by_id(line_frequency.line_frequency_rules(other), "kept", "n_boilerplate_lines").values())
 
 
+def test_line_frequency_cuts_lines(spark):
+    """Boilerplate lines are cut from the texts, exactly these; an absolute
+    limit alone makes a line frequent in a large host."""
+    shared = prose(100, 12)
+    rows = [(None if i % 2 else 5, "\n".join([prose(i, 20), f" {shared.upper()}  ", "", prose(900 + i, 9)]), None if i < 30 else "a") for i in range(60)]
+    rows += [(6, shared, "a"), (7, None, "a"), (8, "", "a"), (9, shared, "rare")]
+    want = [(i, s, "\n".join(x for x in t.split("\n") if x.lower().strip() != shared) if t and s != "rare" else t) for i, t, s in rows]
+    order = lambda x: sorted(x, key=str)
+    got = line_frequency.remove_frequent_lines(table(spark, rows))
+    assert order((r["doc_id"], r["source"], r["text"]) for r in got.collect()) == order(want) and got.columns == table(spark, rows).columns
+    large = table(spark, [(i, prose(i, 5) + (f"\n{shared}" if i < 8 else ""), "a") for i in range(1000)])
+    cut = lambda **how: by_id(line_frequency.line_frequency_rules(large, min_docs=4, **how), "n_boilerplate_lines")
+    assert sum(cut().values()) == 0 and sum(cut(max_docs=8).values()) == 0
+    assert {i for i, n in cut(max_docs=7).items() if n} == set(range(8))
+
+
 def removed_words(rows, window):
     """Brute force of operator 2."""
     grams, out = {}, {}
