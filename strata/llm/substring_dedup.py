@@ -1,11 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing (operator 2).
-
-A document is factored greedily against the documents with smaller ids: from
-each word on, the longest run of phrases (windows of ``window`` words) that
-one earlier document supplies becomes a factor.  Where one factor ends, the
-phrases that reach over its end are looked up like all others, so that no
-repeat is lost at a factor boundary.  Factors have ``window`` words at least;
-their words are removed.
+"""Substring deduplication by an index of phrases (operator 2).
+
+Phrases are windows of ``window`` words.  Each phrase of a document is answered
+with the smallest id that has it; neighbouring phrases with the same, earlier
+id become a factor.  Where one factor ends, the phrases that reach over its end
+are looked up like all others, so that no repeat is lost at a factor boundary.
+Factors have ``window`` words at least; their words are removed.
+
+This stands in place of relative Lempel-Ziv parsing.  The words removed are
+those of every phrase that an earlier document holds, but factors are not the
+longest matches: there is no position in the earlier document, a passage from
+one document gives several factors where smaller ids hold parts of it, and a
+factor's phrases need not be neighbours in the earlier document.
 
 The reference, all documents, is not scanned block by block for every
 document, which would grow with the square of the corpus.  It is cut into
