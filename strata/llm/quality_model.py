@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def statistics(text: str | None) -> list[float]:
     of = lambda chars: (len(b) - len(b.translate(None, chars))) / size
     counts = Counter(w)
     pairs = set(zip(w, w[1:]))
-    same = sum(c for (x, y), c in Counter(zip(w, w[1:])).items() if x == y) if len(pairs) < 0.95 * n else 0
+    same = sum(map(eq, w, w[1:]))
     return [
         np.log1p(n), size / n / 10, of(_UPPER), of(_DIGITS), of(_SYMBOLS), b.count(b"|") / n, b.count(b"!") / n,
         (b.count(b".") + b.count(b"?")) / n, b.count(b",") / n, of(bytes(range(128, 256))), b.count(b"\n") / n, len(counts) / n,

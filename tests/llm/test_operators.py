@@ -284,6 +284,14 @@ def test_models_on_held_out_labels(spark):
     assert right >= 0.9 and not any(r["predicted"] and not r["toxic"] for r in rows)
 
 
+def test_neighbouring_equal_words_are_counted():
+    at = quality_model.NAMES.index("repeat_next")
+    for text in (prose(1, 100) + " so so", "a a a b", "one", "", prose(1, 100), "x x " + prose(2, 50) + " y y y"):
+        w = text.split()
+        assert quality_model.statistics(text)[at] == pytest.approx(sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w)))
+    assert quality_model.statistics(prose(1, 100) + " so so")[at] > 0
+
+
 def test_isotonic():
     x, y = quality_model.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert list(np.interp([0, 1, 2, 3, 4], x, y)) == [0, 0.5, 0.5, 1, 1]
