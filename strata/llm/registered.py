@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strata.llm import decontaminate, jaccard_join, line_dedup, line_frequency, mixing, quality_model, secrets, substring_dedup, token_files, toxicity
+from strata.llm import (decontaminate, jaccard_join, line_dedup, line_frequency, minhash_tensor, mixing, quality_model, secrets,
+                        spelling_variants, substring_dedup, token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
@@ -20,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_minhash_tensor": minhash_tensor.op11_minhash_tensor,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -30,6 +33,7 @@ SQL: dict[str, str] = {
     "op5_secrets": secrets.SQL,
     "op6_mixing": mixing.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
 }
 
 
