@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strata.llm import (decontaminate, jaccard_join, line_dedup, line_frequency, minhash_tensor, mixing, quality_model, secrets,
+from strata.llm import (decontaminate, jaccard_join, line_dedup, line_frequency, minhash_tensor, mixing, phrase_graph, quality_model, secrets,
                         spelling_variants, substring_dedup, token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_minhash_tensor": minhash_tensor.op11_minhash_tensor,
     "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_phrase_graph": phrase_graph.op13_phrase_graph,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,6 +35,7 @@ SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op12_spelling_variants": spelling_variants.SQL,
+    "op13_phrase_graph": phrase_graph.SQL,
 }
 
 
