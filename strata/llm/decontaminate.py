@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import alnum_words, read
+from strata.llm.common import ALNUM, alnum_words, fresh, read
 
 #: Production parameters.
 WINDOW, BROADCAST_WINDOWS = 10, 1_000_000
@@ -64,37 +64,44 @@ def window_hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, broad
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: n_words, hit word positions (sorted) and item ids."""
-    hits = window_hits(docs, benchmark_windows(benchmark, window), window, broadcast_windows)
-    per_doc = hits.groupBy(F.col("doc_id").alias("id")).agg(
+    """Per row: doc_id, text_hash, n_words, hit word positions and item ids.
+
+    Hits are a text's, known by its 64-bit hash: rows without an id, or that
+    share one, each have those of their own text.
+    """
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hits = window_hits(texts, benchmark_windows(benchmark, window), window, broadcast_windows)
+    per_text = hits.groupBy(F.col("doc_id").alias("hash")).agg(
         F.collect_set(F.struct("pos", "n")).alias("found"), F.collect_set("items").alias("items"))
-    per_doc = per_doc.select(
-        "id", F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1)))).alias("hit"),
+    per_text = per_text.select(
+        "hash", F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1)))).alias("hit"),
         F.array_distinct(F.flatten("items")).alias("items"))
-    base = docs.select("doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
-        "doc_id", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("items", none).alias("items"))
+    return base.join(per_text, F.col("text_hash") == F.col("hash"), "left").select(
+        "doc_id", "text_hash", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("items", none).alias("items"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark window; rows are
     known by their text's 64-bit hash, whatever other rows have their id."""
+    (name,) = fresh(docs, "_hit")
     text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    hit = window_hits(text, benchmark_windows(benchmark, how.get("window", WINDOW)), **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.xxhash64("text") == F.col("_hit"), "left_anti")
+    hit = window_hits(text, benchmark_windows(benchmark, how.get("window", WINDOW)), **how).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.xxhash64("text") == F.col(name), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` with the hit words cut out of the texts; texts without a hit
-    stay as they are, the others become their other words, joined by a space."""
+    """``docs`` with the hit words cut out of the texts: whatever is no hit
+    word stays as it was, letters, punctuation and spaces alike."""
+    hash_, hit = fresh(docs, "_text", "_hit")
     found = contamination(docs.select("doc_id", "text"), benchmark, **how).where(F.size("hit") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("hit").alias("_hit")).dropDuplicates(["_id"])
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("_words", F.when(F.col("_hit").isNotNull(), alnum_words(F.col("text"))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), "_hit")
-    rest = F.array_join(F.transform(left, lambda i: F.get("_words", i)), " ")
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(rest)).drop("_id", "_hit", "_words")
+        F.col("text_hash").alias(hash_), F.col("hit").alias(hit)).dropDuplicates([hash_])
+    joined = docs.join(found, F.xxhash64("text") == F.col(hash_), "left")
+    words, between = F.regexp_extract_all("text", F.lit(ALNUM), F.lit(0)), F.split("text", ALNUM, -1)
+    kept = F.transform(words, lambda w, i: F.concat(F.when(F.array_contains(F.col(hit), i), F.lit("")).otherwise(w), F.get(between, i + 1)))
+    cut = F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))
+    return joined.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +113,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -115,15 +122,15 @@ g AS (
   SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, unnest([array_to_string(w[k:k + least(len(w), {WINDOW}) - 1], ' ')
          FOR k IN range(1, len(w) - least(len(w), {WINDOW}) + 2)]) AS gram FROM b WHERE len(w) > 0),
 spots AS (
-  SELECT doc_id, s.n, unnest(range(1, len(w) - s.n + 2)) AS p,
+  SELECT r, s.n, unnest(range(1, len(w) - s.n + 2)) AS p,
          unnest([array_to_string(w[k:k + s.n - 1], ' ') FOR k IN range(1, len(w) - s.n + 2)]) AS gram
   FROM d, (SELECT DISTINCT n FROM g) s WHERE len(w) >= s.n),
-hit AS (SELECT doc_id, p, n, item_id FROM spots JOIN g USING (n, gram)),
-words_hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+hit AS (SELECT r, p, n, item_id FROM spots JOIN g USING (n, gram)),
+words_hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
 items AS (
-  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+  SELECT r, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(words_hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(items.l, '')) AS items_sha256, coalesce(words_hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM d LEFT JOIN words_hit USING (r) LEFT JOIN items USING (r)
 """
