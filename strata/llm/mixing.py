@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import read, words, written
+from strata.llm.common import fresh, read, words, written
 
 #: Fixed values of the contract, and the seed of the offsets.
 WEIGHTS, MAX_REPEAT, SEED = (5, 2, 1), 3, "mix"
@@ -63,8 +63,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row."""
-    d = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+    """(doc_id, source, text_hash, size, source_size, target, copies) of every
+    row; rows of one slice and id are taken in the order of their texts' hashes."""
+    d = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("text_hash"),
                             F.size(words(F.col(text))).cast("long").alias("size")), "sizes")
     d = d.withColumn("slice", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 3))
     targets = source_targets(d, weights, max_repeat)
@@ -80,24 +81,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     base = slices.join(sizes, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("z1") == F.col("z2"))).join(
         targets, F.col("s3").eqNullSafe(F.col("s2"))).select(
         "s2", "z2", "c2", (F.col("by_size") + F.col("by_slice")).alias("before"), "source_size", "target", "u")
-    row = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("doc_id"))
+    row = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("doc_id", "text_hash"))
     d = d.withColumn("row", row).join(
         base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("slice") == F.col("c2")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     i = F.col("before") + F.col("row")
     copies = F.floor(F.col("u") + rate * i) - F.floor(F.col("u") + rate * (i - 1))
-    return d.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(max_repeat)).alias("copies"))
+    return d.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.least(copies, F.lit(max_repeat)).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each document as often as the mix takes it.
 
-    Copies are looked up by id and source; rows that repeat both take the
-    largest number of copies found for them.
+    Rows are known by id, source and text.  Rows that repeat all three are
+    taken together: one of them stands for all, as often as they are taken.
     """
-    copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    key = ["doc_id", "source", "text_hash"]
+    own = fresh(docs, "_id", "_source", "_text", "_copies", "_again")
+    i, s, t, copies, again = own
+    taken = mix(docs, **how).groupBy(*key).agg(F.sum("copies").alias(copies), (F.count("*") > 1).alias(again)).withColumnsRenamed(dict(zip(key, own))).where(F.col(copies) > 0)
+    taken = written(taken, "copies")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.xxhash64("text") == F.col(t)))
+    if taken.where(again).limit(1).count():
+        joined = joined.where(~F.col(again)).unionByName(joined.where(again).dropDuplicates([i, s, t]))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
