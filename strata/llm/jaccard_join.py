@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import read, written
+from strata.llm.common import fresh, read, written
 from strata.llm.packed_index import ANSWER_SCHEMA, INDEX_SCHEMA, answer, index_rows, lookup
 
 #: Production parameters.
@@ -359,15 +359,15 @@ def keep_one_each(docs: DataFrame, **how) -> DataFrame:
     whatever other components have the same id or none.  Rows without shingles
     stay, all of them.
     """
-    rows = linked_rows(docs, **how)
+    rows, (i, t, again) = linked_rows(docs, **how), fresh(docs, "_id", "_text", "_again")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "c")
     first = rows.where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(place).alias("r"))
     alone = rows.where("root IS NULL").select("doc_id", "text_hash").distinct()
-    keep = written(first.select("r.doc_id", "r.text_hash", (F.col("r.c") > 1).alias("_again")).unionByName(
-        alone.withColumn("_again", F.lit(False))).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"}), "kept")
-    out = docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")))
-    if keep.where("_again").limit(1).count():  # copies that repeat the id too
-        out = out.where("NOT _again").unionByName(out.where("_again").dropDuplicates(["_id", "_text"]))
+    keep = written(first.select("r.doc_id", "r.text_hash", (F.col("r.c") > 1).alias(again)).unionByName(
+        alone.withColumn(again, F.lit(False))).withColumnsRenamed({"doc_id": i, "text_hash": t}), "kept")
+    out = docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)))
+    if keep.where(again).limit(1).count():  # copies that repeat the id too
+        out = out.where(~F.col(again)).unionByName(out.where(again).dropDuplicates([i, t]))
     return out.select(*docs.columns)
 
 
