@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import read
+from strata.llm.common import fresh, read
 
 #: Production parameters.
 BITS, ALPHA, BETA, L1, L1_NOISE, PASSES = 20, 4.0, 1.0, 10.0, 1.0, 8
-MAX_TRAIN, SHARD_ROWS, THRESHOLD = 20_000, 10_000, 0.7
+MAX_TRAIN, SHARD_ROWS, THRESHOLD, SEND_ROWS = 20_000, 10_000, 0.7, 256
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -62,10 +62,16 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, passes: int = PASSES, alpha
     size, share = 2**BITS + 1, labels.mean()
     if not 0 < share < 1:
         return np.array([size - 1]), np.array([35.0 if share else -35.0])
-    often = np.bincount(np.concatenate(rows), minlength=size) > 1
+    # The features of all rows lie in one array, each row's bias after them.
+    ends = np.cumsum([len(x) + 1 for x in rows])
+    flat = np.full(ends[-1], size - 1, np.int32)
+    for x, end in zip(rows, ends):
+        flat[end - 1 - len(x):end - 1] = x
+    often = np.bincount(flat, minlength=size) > 1
     often[-1] = True
-    rows = [np.append(x, np.int32(size - 1)) for x in rows]
-    rows = [x[often[x]] for x in rows]
+    left = np.concatenate(([0], np.cumsum(often[flat])))[np.concatenate(([0], ends))]
+    flat = flat[often[flat]]
+    rows = [flat[a:b] for a, b in zip(left[:-1], left[1:])]
     z, n = np.zeros(size), np.zeros(size)
     l1s, noise = np.full(size, l1), np.full(size, l1_noise)
     l1s[-1] = noise[-1] = 0.0
@@ -87,7 +93,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, passes: int = PASSES, alpha
 def _fit(how: dict) -> Callable[[pa.Table], pa.Table]:
     def run(shard: pa.Table) -> pa.Table:
         order = np.argsort(shard["turn"].to_numpy(), kind="stable")
-        rows = [features(t) for t in shard["text"].to_pylist()]
+        rows = [features(t.as_py()) for t in shard["text"]]
         at, w = ftrl([rows[i] for i in order], shard["label"].to_numpy()[order], **how)
         return pa.table({"place": pa.array(at, pa.int32()), "weight": pa.array(w, pa.float64())})
     return run
@@ -123,7 +129,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "s
         for b in batches:
             total = np.array([weights[features(t.as_py())].sum() + weights[-1] for t in b.column(at)], float)
             scores = np.round(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))), 6)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, name])
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, name])
+            # Whole rows go back in small pieces: what the executor holds of them stays small.
+            yield from (out.slice(k, SEND_ROWS) for k in range(0, max(1, out.num_rows), SEND_ROWS))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
@@ -143,8 +151,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that the model rejects.  Rows are scored and
     filtered where they are: no join brings the texts together."""
-    model = fit(docs, labels, "toxic", ~held_out(3, 1), **how)
-    return scored(docs, model, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    model, (name,) = fit(docs, labels, "toxic", ~held_out(3, 1), **how), fresh(docs, "_toxicity")
+    return scored(docs, model, name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
