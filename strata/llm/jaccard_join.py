@@ -61,7 +61,7 @@ from strata.llm.packed_index import ANSWER_SCHEMA, INDEX_SCHEMA, answer, index_r
 
 #: Production parameters.
 N, PERCENT, SLICE_ROWS = 5, 80, 400
-BAND, CELL, CELL_ROWS, GROUP_BYTES, BLOCK_TILES = 1.3, 2_000, 20_000, 8 << 20, 1_500_000
+BAND, CELL, CELL_ROWS, GROUP_BYTES, BLOCK_TILES = 1.3, 2_000, 20_000, 3 << 20, 1_500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
