@@ -117,7 +117,7 @@ CLUSTER_COST_SELECT = f"""
 SELECT id, name, state, creation_time, {div('micros', '3600000000', 4, ns=0, ds=0)} AS hours,
        {div('micros * 1.5', '3600000000', 2, ns=1, ds=0)} AS estimated_cost,
        micros > 4 * 3600000000 AS over_4h, micros > 8 * 3600000000 AS over_8h
-FROM r WHERE starts_with(name, 'cluster-1')"""
+FROM r WHERE starts_with(name, 'cluster-')"""
 
 AUDIT_RECENT = f"""
 SELECT eventTime, eventName, sourceIPAddress, identity_type, event_id FROM audit_events
@@ -150,13 +150,23 @@ SELECT trace_id, count(*) AS span_count, count(CASE WHEN status = 'error' THEN 1
        CASE WHEN count(CASE WHEN status = 'error' THEN 1 END) > 0 THEN 'error' ELSE 'ok' END AS status
 FROM spans GROUP BY trace_id"""
 
+# Covered time: islands of overlapping children, each clipped to its parent.
+SPAN_ISLANDS = """
+ranged AS (SELECT *, epoch_us(start_time) AS s, epoch_us(start_time) + CAST(duration_ms * 1000 AS BIGINT) AS e FROM spans),
+clipped AS (SELECT p.trace_id, p.span_id, greatest(c.s, p.s) AS s, least(c.e, p.e) AS e FROM ranged c
+            JOIN ranged p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE greatest(c.s, p.s) < least(c.e, p.e)),
+marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY trace_id, span_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM clipped),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY trace_id, span_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+covered AS (SELECT trace_id, span_id, sum(len) AS us FROM (SELECT trace_id, span_id, island, max(e) - min(s) AS len FROM islands GROUP BY ALL) GROUP BY ALL)"""
+
 SPAN_PARENTING = """
 SELECT s.span_id, s.trace_id, s.parent_span_id, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children,
-       CAST(s.duration_ms - coalesce(k.children_ms, 0) AS DECIMAL(18,2)) AS self_time_ms,
+       CAST(s.duration_ms - CAST(coalesce(c.us, 0) AS DECIMAL(20,3)) / 1000 AS DECIMAL(18,3)) AS self_time_ms,
        s.parent_span_id IS NOT NULL AND p.span_id IS NULL AS is_orphan
 FROM spans s
-LEFT JOIN (SELECT trace_id, parent_span_id, count(*) AS n_children, sum(duration_ms) AS children_ms FROM spans
+LEFT JOIN (SELECT trace_id, parent_span_id, count(*) AS n_children FROM spans
            WHERE parent_span_id IS NOT NULL GROUP BY ALL) k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id
+LEFT JOIN covered c ON c.trace_id = s.trace_id AND c.span_id = s.span_id
 LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM spans) p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id"""
 
 STACK_HEALTH = """
@@ -169,21 +179,27 @@ FROM (SELECT stack_name, max({'t': ts, 'i': check_id, 's': status}).s AS status,
       FROM stacks GROUP BY stack_name) x"""
 
 METRIC_ALARM = """
-SELECT date_trunc('day', timestamp) AS period_start, name, max(value) AS max_value,
+SELECT date_trunc('day', timestamp) AS period_start, 'strata' AS namespace, name, 'service=svc-' || (user_id % 5) AS dimensions, max(value) AS max_value,
        CAST(450 AS DECIMAL(12,2)) AS threshold, max(value) > 450 AS alarm
-FROM metrics_t GROUP BY 1, 2"""
+FROM metrics_t GROUP BY 1, 3, 4"""
 
 ALARM_CONSECUTIVE = """
-hourly AS (SELECT name, date_trunc('hour', timestamp) AS hour, max(value) AS max_value FROM metrics_t GROUP BY 1, 2),
-bounds AS (SELECT name, min(hour) AS lo, max(hour) AS hi FROM hourly GROUP BY name),
-grid AS (SELECT name, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM bounds),
-g AS (SELECT grid.name, grid.hour, h.max_value, CAST(coalesce(h.max_value > 250, false) AS INTEGER) AS breach
-      FROM grid LEFT JOIN hourly h ON grid.name = h.name AND grid.hour = h.hour)"""
-
-ALARM_CONSECUTIVE_SELECT = """
-SELECT name, hour, max_value, CAST(breach AS BOOLEAN) AS breaching,
-       sum(breach) OVER (PARTITION BY name ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 AS in_alarm
-FROM g"""
+hourly AS (SELECT name, 'service=svc-' || (user_id % 5) AS dimensions, date_trunc('hour', timestamp) AS hour, max(value) AS max_value FROM metrics_t GROUP BY ALL),
+bounds AS (SELECT name, dimensions, min(hour) AS lo, max(hour) AS hi FROM hourly GROUP BY ALL),
+grid AS (SELECT name, dimensions, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM bounds),
+g AS (SELECT grid.*, h.max_value, CAST(coalesce(h.max_value > 250, false) AS INTEGER) AS breach FROM grid LEFT JOIN hourly h USING (name, dimensions, hour)),
+alarms AS (
+  SELECT 'strata' AS namespace, name, dimensions, hour, max_value, CAST(breach AS BOOLEAN) AS breaching,
+         sum(breach) OVER (PARTITION BY name, dimensions ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 AS in_alarm FROM g)"""
+
+ALARM_CONSECUTIVE_SELECT = "SELECT * FROM alarms"
+
+# What the watermark has closed, and the first silent hour after the last sample.
+STREAM_ALARM = """
+SELECT *, false AS silent FROM alarms WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 10 MINUTE FROM metrics_t)
+UNION ALL
+SELECT 'strata', name, dimensions, hi + INTERVAL 1 HOUR, NULL, false, false, true FROM bounds
+WHERE hi + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 10 MINUTE FROM metrics_t)"""
 
 STORAGE_BY_CLASS = """
 SELECT bucket, coalesce(storage_class, 'STANDARD') AS storage_class, count(*) AS object_count,

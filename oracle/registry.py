@@ -97,7 +97,7 @@ OPS_SQL = {
     "watchlist_join": _o(OS.security_counts(24 * 31)),
     "span_metrics": _o(OS.SPAN_METRICS),
     "trace_summary": _o(OS.TRACE_SUMMARY),
-    "span_parenting": _o(OS.SPAN_PARENTING),
+    "span_parenting": _o(OS.SPAN_PARENTING, OS.SPAN_ISLANDS),
     "stack_health": _o(OS.STACK_HEALTH),
     "metric_alarm": _o(OS.METRIC_ALARM),
     "alarm_consecutive": _o(OS.ALARM_CONSECUTIVE_SELECT, OS.ALARM_CONSECUTIVE),
@@ -159,6 +159,7 @@ CLEAN_SQL = {
     "sample_monthly": _m(_M3, "SELECT * FROM m3x ORDER BY order_year DESC, order_month DESC, currency LIMIT 5"),
     "run_pipeline": _m(f"{_M1},\n{_M2},\n{_M3}", CS.RUN_PIPELINE),
     "stream_metrics": with_base(CS.STREAM_METRICS, OS.OPS_BASE),
+    "stream_alarm": _o(OS.STREAM_ALARM, OS.ALARM_CONSECUTIVE),
     "stream_security": with_base(CS.STREAM_SECURITY.format(names="'error', 'signup', 'purchase', 'create_user', 'delete_bucket'"), OS.OPS_BASE),
     "stream_rejects": with_base(CS.STREAM_REJECTS),
     "validate_input": CS.VALIDATE_INPUT,

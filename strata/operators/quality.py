@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def profile(df: DataFrame, cols: list[str] | None = None, unique: tuple[str, ...] = ()) -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """G1: per column: rows, nulls, distinct values, min and max (as text).
 
-    Columns that the caller declares ``unique`` (a table's key) have as many
-    distinct values as values; they are not sent through the shuffle.
-
     Nulls / min / max come from one typed aggregate.  Distinct counts come
     from an unpivot to (column, value) and two grouped aggregates, where
     map-side partial aggregation collapses repeated values before the
-    shuffle; no per-column ``countDistinct`` (and no Expand) is planned.
+    shuffle; no per-column ``countDistinct`` (and no Expand) is planned.  Keys
+    are counted like all others: finding out that one repeats is what a
+    profile is for.
     """
     cols = cols or df.columns
-    counted = [c for c in cols if c not in unique]
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[
         x for c in cols for x in (
             F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}__nulls"),
@@ -29,14 +27,13 @@ def profile(df: DataFrame, cols: list[str] | None = None, unique: tuple[str, ...
                  F.col(f"{c}__nulls").alias("null_count"), F.col(f"{c}__min").alias("min_value"),
                  F.col(f"{c}__max").alias("max_value")) for c in cols])).alias("s")).select("s.*")
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in counted])).alias("p")
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p")
     ).select("p.*").where(F.col("v").isNotNull())
     distinct = (pairs.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))
     return (stats.join(distinct, "column_name", "left")
             .select("column_name", "total_rows", "null_count",
-                    F.when(F.col("column_name").isin(list(unique)), F.col("total_rows") - F.col("null_count")).otherwise(
-                        F.coalesce("distinct_count", F.lit(0).cast("bigint"))).alias("distinct_count"),
+                    F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"),
                     "min_value", "max_value"))
 
 

@@ -20,6 +20,7 @@ from strata.operators import joins as J
 from strata.operators import quality as Q
 from strata.functions.dates import parse_dates
 from pyspark.sql import types as T
+from strata.plans.pipeline import current_marts
 from strata.operators import costs as CO
 from strata.operators import storage as ST
 from strata.operators import tasks as TK
@@ -51,8 +52,15 @@ def m3(spark, sf, grain="order"):
 
 
 def _summary(spark, sf):
-    T = tables_b(spark, sf)
-    return M.summary_report(M.customer_profile(T), M.product_profile(T), M.monthly_category_sales(T))
+    """M8 from the published marts of job b."""
+    P = current_marts(spark, sf, "b")
+    return M.summary_report(P["customer_analytics"], P["product_analytics"], P["monthly_sales"])
+
+
+def _completeness(spark, sf):
+    """U1 over the published marts of job a."""
+    P = current_marts(spark, sf, "a")
+    return R.completeness_check(P["customer_analytics"], P["product_analytics"])
 
 
 MART_QUERIES: dict[str, Query] = {
@@ -88,7 +96,7 @@ REPORT_QUERIES: dict[str, Query] = {
     "yoy_growth": lambda s, d: R.yoy_growth(m3(s, d)),
     "currency_performance": lambda s, d: R.currency_performance(m3(s, d)),
     "lifetime_value": lambda s, d: R.lifetime_value(m1(s, d)),
-    "completeness_check": lambda s, d: R.completeness_check(m1(s, d), m2(s, d)),
+    "completeness_check": _completeness,
     "freshness_check": lambda s, d: R.freshness_check(m1(s, d), m3(s, d)),
     "freshness_check_literal": lambda s, d: R.freshness_check(m1(s, d), m3(s, d), literal=True),
     "sample_rows": lambda s, d: R.sample_rows(m2(s, d), [F.desc("total_revenue"), F.asc("product_id")], 5),
@@ -111,7 +119,7 @@ OPS_QUERIES: dict[str, Query] = {
     "budget_running": lambda s, d: CO.budget_running(AD.cost_lines(s, d), "100"),
     "budget_status": lambda s, d: CO.budget_status(AD.cost_lines(s, d), AS_OF, "100", _SERVICES),
     "cost_anomaly": lambda s, d: CO.cost_anomaly(AD.cost_lines(s, d), 7, 3),
-    "cluster_run_cost": lambda s, d: CO.cluster_run_cost(AD.cluster_runs(s, d), AS_OF, "1.5", name_prefix="cluster-1"),
+    "cluster_run_cost": lambda s, d: CO.cluster_run_cost(AD.cluster_runs(s, d), AS_OF, "1.5", name_prefix="cluster-"),
     "audit_recent": lambda s, d: A.audit_recent(AD.audit_events(s, d), AS_OF, 1),
     "security_counts": lambda s, d: A.security_counts(s, AD.audit_events(s, d), AS_OF, hours=24),
     "watchlist_join": lambda s, d: A.security_counts(s, AD.audit_events(s, d), AS_OF, hours=24 * 31),
@@ -120,8 +128,8 @@ OPS_QUERIES: dict[str, Query] = {
     "span_parenting": lambda s, d: TL.span_parenting(AD.spans(s, d)),
     "trace_spans": lambda s, d: TL.trace_spans(AD.spans(s, d)),
     "stack_health": lambda s, d: TL.stack_health(TL.stacks_from_events(AD.events(s, d))),
-    "metric_alarm": lambda s, d: TL.metric_alarm(AD.metrics(s, d), "450", "1 day"),
-    "alarm_consecutive": lambda s, d: TL.alarm_consecutive(AD.metrics(s, d), "250", 4),
+    "metric_alarm": lambda s, d: TL.metric_alarm(AD.service_metrics(s, d), "450", "1 day"),
+    "alarm_consecutive": lambda s, d: TL.alarm_consecutive(AD.service_metrics(s, d), "250", 4),
     "storage_by_class": lambda s, d: ST.storage_by_class(AD.storage_objects(s, d)),
     "version_counts": lambda s, d: ST.version_counts(AD.storage_objects(s, d)),
     "lifecycle_tier": lambda s, d: ST.lifecycle_tier(AD.storage_objects(s, d)),
@@ -196,7 +204,7 @@ CLEAN_QUERIES: dict[str, Query] = {
         "customer_id", "email", F.array_join("violations", ",").alias("violations")),
     "fill_missing": lambda s, d: C.fill_missing(Tables(s, d).customers, {"phone": "unknown"}).select("customer_id", "phone"),
     "missing_values": lambda s, d: C.missing_report(Tables(s, d).customers),
-    "dq_profile": lambda s, d: Q.profile(tables_a(s, d)["orders"], unique=("order_id",)),
+    "dq_profile": lambda s, d: Q.profile(tables_a(s, d)["orders"]),
     "dq_referential": lambda s, d: Q.orphans(tables_a(s, d)),
     "mask_columns": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst"),
     "row_filter": lambda s, d: G.apply_policy(tables_a(s, d)["customers"], "analyst_europe"),

@@ -15,11 +15,13 @@ from strata.operators import clean as C
 from strata.operators import marts as M
 from strata.operators.audit import WATCHED_NAMES
 from strata.plans.pipeline import run_pipeline
+from strata.sources.publish import read_published
 from strata.sources import adapters as AD
 from strata.sources import catalog as CAT
 from strata.sources import io as IO
 from strata.sources.adapters import Tables
 from strata.streaming import jobs as S
+from strata.streaming.alarms import alarm_stream
 
 
 def _monthly_written(spark: SparkSession, sf: str) -> str:
@@ -130,7 +132,7 @@ def pipeline_summary(spark: SparkSession, sf: str):
     """S10, job b: the summary that was built from the written marts."""
     out = S.scratch(spark, "pipeline-b")
     run_pipeline(spark, sf, out, "b")
-    return IO.read_table(spark, f"{out}/summary_report")
+    return read_published(spark, out, "summary_report")
 
 
 def _stream_schema(spark: SparkSession, sf: str, name: str) -> T.StructType:
@@ -165,6 +167,13 @@ def stream_metrics(spark: SparkSession, sf: str):
         S.file_stream(spark, S.table_path(sf, "events"), sch))), "metrics")
 
 
+def stream_alarm(spark: SparkSession, sf: str):
+    """W2 as a stream: alarms of the periods that the watermark has closed."""
+    sch = _stream_schema(spark, sf, "events")
+    return S.run_to_table(spark, lambda: alarm_stream(AD.service_metrics_from(
+        S.file_stream(spark, S.table_path(sf, "events"), sch)), "250", 4), "alarms")
+
+
 def stream_security(spark: SparkSession, sf: str):
     """Watched-name counts per hour."""
     sch = _stream_schema(spark, sf, "events")
@@ -197,6 +206,7 @@ IO_QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_rejects": stream_rejects,
     "stream_metrics": stream_metrics,
+    "stream_alarm": stream_alarm,
     "stream_security": stream_security,
     "stream_event_log": stream_event_log,
 }

@@ -246,14 +246,24 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_from(events(spark, sf_dir))
 
 
-def metrics_from(e: DataFrame) -> DataFrame:
+def service_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric samples with the service as their dimension."""
+    return service_metrics_from(events(spark, sf_dir))
+
+
+def service_metrics_from(e: DataFrame) -> DataFrame:
+    service = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
+    return metrics_from(e.withColumn("service", service), "service")
+
+
+def metrics_from(e: DataFrame, dimension: str = "user") -> DataFrame:
     """Metric samples from an ``events`` frame (batch or stream)."""
     return e.select(
         F.lit("strata").alias("namespace"),
         F.col("event_type").alias("name"),
         F.col("value").cast("decimal(12,2)").alias("value"),
         F.lit("Count").alias("unit"),
-        F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("dimensions"),
+        F.create_map(F.lit(dimension), F.col("user_id" if dimension == "user" else dimension).cast("string")).alias("dimensions"),
         F.col("ts").alias("timestamp"),
     )
 

@@ -17,6 +17,7 @@ from strata.operators import quality as Q
 from strata.operators import storage as ST
 from strata.operators import telemetry as TL
 from strata.sources import io as IO
+from strata.sources.publish import read_published
 from strata.streaming import jobs as S
 
 
@@ -68,8 +69,9 @@ def test_age_is_whole_days_before_as_of(spark):
 
 
 def test_spans_of_two_traces_with_equal_ids(spark):
-    s = spark.createDataFrame([("t1", 1, None, D(10)), ("t1", 2, 1, D(4)), ("t2", 1, None, D(20)), ("t2", 2, 1, D(5)), ("t2", 3, 9, D(1))],
-                              "trace_id string, span_id int, parent_span_id int, duration_ms decimal(12,2)")
+    t = dt.datetime(2024, 1, 1)
+    s = spark.createDataFrame([("t1", 1, None, D(10), t), ("t1", 2, 1, D(4), t), ("t2", 1, None, D(20), t), ("t2", 2, 1, D(5), t), ("t2", 3, 9, D(1), t)],
+                              "trace_id string, span_id int, parent_span_id int, duration_ms decimal(12,2), start_time timestamp_ntz")
     got = {(r["trace_id"], r["span_id"]): (r["n_children"], r["self_time_ms"], r["is_orphan"]) for r in TL.span_parenting(s).collect()}
     assert got == {("t1", 1): (1, D(6), False), ("t1", 2): (0, D(4), False), ("t2", 1): (1, D(15), False), ("t2", 2): (0, D(5), False), ("t2", 3): (0, D(1), True)}
 
@@ -184,6 +186,6 @@ def test_raw_files_to_marts(spark):
     assert {n: t.rejected(n).count() for n in lines} == {"customers": 0, "orders": 1, "order_items": 0, "products": 1}
     res = run_pipeline(spark, base, out, "a", tables=t)
     assert res.metrics["monthly_sales_row_count"] == 2 and res.metrics["product_analytics_row_count"] == 2
-    months = {(r["order_year"], r["order_month"], r["currency"]): r["total_revenue"] for r in IO.read_table(spark, f"{out}/monthly_sales").collect()}
+    months = {(r["order_year"], r["order_month"], r["currency"]): r["total_revenue"] for r in read_published(spark, out, "monthly_sales").collect()}
     assert months == {(2024, 1, "JPY"): D("100.50"), (2024, 1, "USD"): D("50.00")}
     assert run_pipeline(spark, base, S.scratch(spark, "marts-b"), "b", tables=t).success
