@@ -143,12 +143,15 @@ PARTITION_REPAIR = """
 SELECT DISTINCT 'order_year=' || CAST(order_year AS VARCHAR) || '/order_month=' || CAST(order_month AS VARCHAR) AS partition
 FROM m3x"""
 
-READ_DECLARED = "SELECT * FROM order_items_raw WHERE order_id % 50 != 0"
+# Every seventh order's items have a line feed in their status.
+_STATUS = "CASE WHEN order_id % 7 = 0 THEN item_status || chr(10) || 'checked' ELSE item_status END"
 
-READ_DECLARED_REJECTS = """
+READ_DECLARED = f"SELECT * REPLACE ({_STATUS} AS item_status) FROM order_items_raw WHERE order_id % 50 != 0"
+
+READ_DECLARED_REJECTS = f"""
 SELECT order_item_id, 'does not fit the declared schema' AS reason,
        concat_ws(',', order_item_id, order_id, product_id, supplier_id, 'many', total_price, discount, discount_applied, tax,
-                 return_flag, item_status, ship_date) AS line
+                 return_flag, CASE WHEN order_id % 7 = 0 THEN '"' || {_STATUS} || '"' ELSE item_status END, ship_date) AS line
 FROM order_items_raw WHERE order_id % 50 = 0"""
 
 READ_CSV = """
@@ -169,6 +172,15 @@ SELECT table_name, column_name, data_type, is_partition, 'new' AS change FROM (V
   ('monthly_sales', 'unique_customers', 'bigint', false), ('monthly_sales', 'net_revenue', 'decimal(38,2)', false),
   ('monthly_sales', 'order_year', 'int', true), ('monthly_sales', 'order_month', 'int', true)) t(table_name, column_name, data_type, is_partition)"""
 
+CRAWL_UPDATE = """
+SELECT c.*, CASE table_name WHEN 'events' THEN (SELECT 2 * count(*) FROM events) WHEN 'nations' THEN (SELECT count(*) FROM nation) ELSE (SELECT count(*) FROM region) END AS row_count,
+       CASE table_name WHEN 'events' THEN (SELECT count(user_id) FROM events) WHEN 'nations' THEN (SELECT count(n_regionkey) FROM nation) ELSE (SELECT count(r_name) FROM region) END AS values_added
+FROM (VALUES
+  ('events', 'event_id', false, 'same', 'parquet', false), ('events', 'ts', false, 'same', 'parquet', false), ('events', 'user_id', false, 'new', 'parquet', true),
+  ('events', 'event_type', true, 'same', 'parquet', false), ('nations', 'n_nationkey', false, 'same', 'csv', false), ('nations', 'n_name', false, 'same', 'csv', false),
+  ('nations', 'n_regionkey', false, 'new', 'csv', true), ('regions', 'r_regionkey', false, 'same', 'json', false), ('regions', 'r_name', false, 'same', 'json', false))
+  c(table_name, column_name, is_partition, change, format, applied)"""
+
 RUN_PIPELINE = """
 SELECT 'customer_analytics_row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM m1
 UNION ALL SELECT 'product_analytics_row_count', CAST(count(*) AS VARCHAR) FROM m2x

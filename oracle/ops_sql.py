@@ -209,23 +209,19 @@ VERSION_COUNTS = """
 SELECT bucket, count(CASE WHEN NOT is_delete_marker THEN 1 END) AS versions, count(CASE WHEN is_delete_marker THEN 1 END) AS delete_markers,
        count(CASE WHEN NOT is_delete_marker THEN 1 END) AS live_versions FROM objects GROUP BY bucket"""
 
-TIER = """CASE
-  WHEN layer = 'analytics' AND age_days >= 180 THEN '{g180}' WHEN layer = 'analytics' AND age_days >= 60 THEN '{g60}'
-  WHEN layer = 'clean' AND age_days >= 90 THEN '{c90}' WHEN layer = 'clean' AND age_days >= 30 THEN '{c30}'
-  WHEN layer = 'query-results' AND age_days >= 30 THEN '{q30}'
-  WHEN layer = 'raw' AND age_days >= 0 THEN '{r0}' ELSE '{d}' END"""
-
-TIER_TARGET = TIER.format(g180="GLACIER", g60="STANDARD_IA", c90="GLACIER", c30="STANDARD_IA",
-                          q30="EXPIRED", r0="INTELLIGENT_TIERING", d="STANDARD")
-TIER_ACTION = TIER.format(g180="transition", g60="transition", c90="transition", c30="transition",
-                          q30="expire", r0="transition", d="none")
-
-LIFECYCLE_TIER = f"""
-SELECT bucket, key, layer, age_days, {TIER_TARGET} AS target_tier, {TIER_ACTION} AS action FROM objects"""
-
-LIFECYCLE_SUMMARY = f"""
-SELECT layer, {TIER_TARGET} AS target_tier, {TIER_ACTION} AS action, count(*) AS object_count,
-       CAST(sum(size) AS BIGINT) AS total_size FROM objects GROUP BY ALL"""
+LIFECYCLE = """
+rules(layer, after_days, action, target) AS (VALUES
+  ('raw', 0, 'transition', 'INTELLIGENT_TIERING'), ('clean', 30, 'transition', 'STANDARD_IA'), ('clean', 90, 'transition', 'GLACIER'),
+  ('analytics', 60, 'transition', 'STANDARD_IA'), ('analytics', 180, 'transition', 'GLACIER'), ('query-results', 30, 'expire', 'EXPIRED')),
+aged AS (SELECT * REPLACE (CAST(date_diff('day', DATE '2024-01-31' - age_days, DATE '2024-01-31') AS INTEGER) AS age_days) FROM objects),
+due AS (
+  SELECT a.*, coalesce(r.target, 'STANDARD') AS target_tier, coalesce(r.action, 'none') AS action
+  FROM aged a LEFT JOIN rules r ON r.layer = a.layer AND r.after_days = (SELECT max(after_days) FROM rules x WHERE x.layer = a.layer AND x.after_days <= a.age_days))"""
+
+LIFECYCLE_TIER = "SELECT bucket, key, layer, age_days, target_tier, action FROM due"
+
+LIFECYCLE_SUMMARY = """
+SELECT layer, target_tier, action, count(*) AS object_count, CAST(sum(size) AS BIGINT) AS total_size FROM due GROUP BY ALL"""
 
 LOG_RETENTION = """
 SELECT CASE WHEN age_days > 7 THEN 'delete' WHEN age_days > 3 THEN 'compress' ELSE 'keep' END AS action,

@@ -103,8 +103,8 @@ OPS_SQL = {
     "alarm_consecutive": _o(OS.ALARM_CONSECUTIVE_SELECT, OS.ALARM_CONSECUTIVE),
     "storage_by_class": _o(OS.STORAGE_BY_CLASS),
     "version_counts": _o(OS.VERSION_COUNTS),
-    "lifecycle_tier": _o(OS.LIFECYCLE_TIER),
-    "lifecycle_summary": _o(OS.LIFECYCLE_SUMMARY),
+    "lifecycle_tier": _o(OS.LIFECYCLE_TIER, OS.LIFECYCLE),
+    "lifecycle_summary": _o(OS.LIFECYCLE_SUMMARY, OS.LIFECYCLE),
     "log_retention": _o(OS.LOG_RETENTION),
     "log_sort": _o("SELECT eventTime, eventName, sourceIPAddress, event_id FROM audit_events "
                    "ORDER BY eventTime DESC, event_id LIMIT 100"),
@@ -147,6 +147,7 @@ CLEAN_SQL = {
     "read_json_logs": CS.READ_JSON,
     "create_tables": CS.CREATE_TABLES,
     "crawl_schema": CS.CRAWL,
+    "crawl_update": CS.CRAWL_UPDATE,
     "visible_tables": with_base("SELECT bucket || '/' || key AS table_name, layer FROM objects WHERE layer IN ('clean', 'analytics')", OS.OPS_BASE),
     "quarantine_rows": with_base(CS.QUARANTINE_ROWS),
     "fill_missing": with_base(CS.FILL_MISSING),

@@ -1,13 +1,14 @@
 """Storage inventory and lifecycle.
 
 Objects: (bucket, key, size, storage_class, age_days, layer,
-is_delete_marker).  Lifecycle rules are a short parameter list, so they
-compile into one CASE expression: a projection, no join.
+is_delete_marker).  Lifecycle rules are a table (layer, after_days, action,
+target): each holds from its age up to that of its layer's next rule, and
+objects meet the one rule whose layer and range of ages they are in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.dates import ts_lit
@@ -40,31 +41,42 @@ def version_counts(objects: DataFrame) -> DataFrame:
         live.alias("live_versions"))
 
 
-def _rule_case(rules, field: int, default: str) -> Column:
-    # Later thresholds first, so the largest passed threshold wins.
-    ordered = sorted(rules, key=lambda r: (r[0], -r[1]))
-    out = None
-    for r in ordered:
-        cond = (F.col("layer") == F.lit(r[0])) & (F.col("age_days") >= F.lit(r[1]))
-        v = F.lit(r[field])
-        out = F.when(cond, v) if out is None else out.when(cond, v)
-    return out.otherwise(F.lit(default))
+def lifecycle_rules(spark: SparkSession, rules=LIFECYCLE_RULES) -> DataFrame:
+    """Rules as a table (layer, after_days, action, target)."""
+    return spark.createDataFrame(list(rules), "layer string, after_days int, action string, target string")
 
 
-def lifecycle_tier(objects: DataFrame, rules=LIFECYCLE_RULES) -> DataFrame:
+def due_rules(objects: DataFrame, rules: DataFrame) -> DataFrame:
+    """``objects`` with ``target_tier`` and ``action`` of the rule they are due
+    for: STANDARD and none where no rule holds yet.
+
+    A rule holds for the half-open range of ages from its own to the layer's
+    next one; of rules of one age the last action and target, by name, counts.
+    The planner broadcasts the rules where they are as small as usual.
+    """
+    one = rules.groupBy("layer", "after_days").agg(F.max(F.struct("action", "target")).alias("r"))
+    until = F.lead("after_days").over(Window.partitionBy("layer").orderBy("after_days"))
+    ranges = one.select(F.col("layer").alias("_layer"), F.col("after_days").alias("_from"), until.alias("_until"), "r.action", F.col("r.target").alias("target_tier"))
+    age = F.col("age_days")
+    out = objects.join(ranges, (F.col("layer") == F.col("_layer")) & (age >= F.col("_from")) & (F.col("_until").isNull() | (age < F.col("_until"))), "left")
+    return out.select(*objects.columns, F.coalesce("target_tier", F.lit("STANDARD")).alias("target_tier"), F.coalesce("action", F.lit("none")).alias("action"))
+
+
+def lifecycle_tier(objects: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """The tier each object is due for under the layer's rules."""
-    return objects.select(
-        "bucket", "key", "layer", "age_days",
-        _rule_case(rules, 3, "STANDARD").alias("target_tier"),
-        _rule_case(rules, 2, "none").alias("action"))
+    rules = lifecycle_rules(objects.sparkSession) if rules is None else rules
+    return due_rules(objects, rules).select("bucket", "key", "layer", "age_days", "target_tier", "action")
 
 
-def lifecycle_summary(objects: DataFrame, rules=LIFECYCLE_RULES) -> DataFrame:
-    """O18 rolled up: objects and bytes per layer and due tier."""
-    return objects.select(
-        "layer", "size", _rule_case(rules, 3, "STANDARD").alias("target_tier"),
-        _rule_case(rules, 2, "none").alias("action")).groupBy("layer", "target_tier", "action").agg(
-        F.count(F.lit(1)).alias("object_count"), F.sum("size").alias("total_size"))
+def lifecycle_summary(objects: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """O18 rolled up: objects and bytes per layer and due tier.
+
+    Objects are added up by layer and age before they meet the rules.
+    """
+    rules = lifecycle_rules(objects.sparkSession) if rules is None else rules
+    ages = objects.groupBy("layer", "age_days").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    return due_rules(ages, rules).groupBy("layer", "target_tier", "action").agg(
+        F.sum("n").alias("object_count"), F.sum("size").alias("total_size"))
 
 
 def age_in_days(modified: str, as_of) -> Column:

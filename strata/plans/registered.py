@@ -107,6 +107,12 @@ REPORT_QUERIES: dict[str, Query] = {
 }
 
 
+def _aged(spark, sf):
+    """Objects with the time they were modified, and their age at ``AS_OF``."""
+    o = AD.storage_objects(spark, sf)
+    return ST.with_age(o.withColumn("modified", F.date_sub(F.lit(AS_OF).cast("date"), F.col("age_days")).cast("timestamp_ntz")), AS_OF)
+
+
 _SERVICES = ["click", "error", "purchase", "signup", "view"]
 
 OPS_QUERIES: dict[str, Query] = {
@@ -132,8 +138,8 @@ OPS_QUERIES: dict[str, Query] = {
     "alarm_consecutive": lambda s, d: TL.alarm_consecutive(AD.service_metrics(s, d), "250", 4),
     "storage_by_class": lambda s, d: ST.storage_by_class(AD.storage_objects(s, d)),
     "version_counts": lambda s, d: ST.version_counts(AD.storage_objects(s, d)),
-    "lifecycle_tier": lambda s, d: ST.lifecycle_tier(AD.storage_objects(s, d)),
-    "lifecycle_summary": lambda s, d: ST.lifecycle_summary(AD.storage_objects(s, d)),
+    "lifecycle_tier": lambda s, d: ST.lifecycle_tier(_aged(s, d)),
+    "lifecycle_summary": lambda s, d: ST.lifecycle_summary(_aged(s, d)),
     "log_retention": lambda s, d: ST.log_retention(AD.storage_objects(s, d)),
     "log_sort": lambda s, d: R.newest(AD.audit_events(s, d).select(
         "eventTime", "eventName", "sourceIPAddress", "event_id"), "eventTime", 100, "event_id"),

@@ -16,9 +16,11 @@ from strata.operators import marts as M
 from strata.operators.audit import WATCHED_NAMES
 from strata.plans.pipeline import run_pipeline
 from strata.sources.publish import read_published
+from strata.session import materialized
 from strata.sources import adapters as AD
 from strata.sources import catalog as CAT
 from strata.sources import io as IO
+from strata.sources.crawler import crawl, crawl_update
 from strata.sources.adapters import Tables
 from strata.streaming import jobs as S
 from strata.streaming.alarms import alarm_stream
@@ -71,7 +73,31 @@ def crawl_schema(spark: SparkSession, sf: str):
     base = S.scratch(spark, "lake")
     IO.write_table(M.monthly_sales(C.clean_all(Tables(spark, sf), "a")), f"{base}/monthly_sales", partition_by=["order_year", "order_month"])
     AD.events(spark, sf).select("event_id", "event_type", "ts").write.parquet(f"{base}/events")
-    return CAT.crawl(spark, base)
+    return crawl(spark, base)
+
+
+def crawl_update_q(spark: SparkSession, sf: str):
+    """A lake of three formats, crawled into the catalog, grown by a column
+    and crawled again: what changed, and the rows that the tables give."""
+    base, nation = S.scratch(spark, "lake"), AD._read(spark, sf, "nation")
+    parts = AD._read(spark, sf, "region").select("r_regionkey", "r_name")
+    AD.events(spark, sf).select("event_id", "ts", "event_type").write.partitionBy("event_type").parquet(f"{base}/events")
+    parts.write.json(f"{base}/regions")
+    nation.select("n_nationkey", "n_name").write.option("header", "true").csv(f"{base}/nations")
+    tag = base.rsplit("-", 1)[-1] + "_"
+    crawl_update(spark, base, prefix=tag)
+    nation.select("n_nationkey", "n_name", "n_regionkey").write.mode("overwrite").option("header", "true").csv(f"{base}/nations")
+    AD.events(spark, sf).select("event_id", "ts", F.lit("copy").alias("event_type"), "user_id").write.mode("append").partitionBy("event_type").parquet(f"{base}/events")
+    report = crawl_update(spark, base, prefix=tag)
+    rows = None
+    for t, added in (("events", "user_id"), ("nations", "n_regionkey"), ("regions", "r_name")):
+        r = spark.table(f"strata.{tag}{t}").agg(F.count(F.lit(1)).alias("row_count"), F.count(added).alias("values_added")).withColumn("table_name", F.lit(t))
+        rows = rows.unionByName(r) if rows else r
+    out = report.select("table_name", "column_name", "is_partition", "change", "format", "applied").join(rows, "table_name")
+    out = materialized(out, "crawl-report")
+    for t in ("events", "nations", "regions"):
+        CAT.drop_table(spark, f"strata.{tag}{t}")
+    return out
 
 
 def read_csv(spark: SparkSession, sf: str):
@@ -97,6 +123,8 @@ def _items_csv(spark: SparkSession, sf: str):
     path = S.scratch(spark, "items-csv")
     items = Tables(spark, sf).order_items.select(*[c["name"] for c in ITEM_DECLARED])
     items = items.withColumn("quantity", F.when(F.col("order_id") % 50 == 0, "many").otherwise(F.col("quantity").cast("string")))
+    # Every seventh order's items have a line feed in their status.
+    items = items.withColumn("item_status", F.when(F.col("order_id") % 7 == 0, F.concat("item_status", F.lit("\nchecked"))).otherwise(F.col("item_status")))
     items.write.option("header", "true").csv(path)
     return IO.read_declared(spark, path, IO.schema_from_json(ITEM_DECLARED))
 
@@ -154,9 +182,11 @@ def _ingested(spark: SparkSession, sf: str):
     root = S.scratch(spark, "ingest")
     # Every 40th order arrives without its customer.
     lost = lambda df: df.withColumn("customer_id", F.when(F.col("order_id") % 40 != 0, F.col("customer_id")))
-    transform = lambda df: C.canonical_status(lost(AD.orders_from(df)), "order_status")
+    # Text in one case, columns in their declared types.
+    raw = AD.orders_from(AD._read(spark, sf, "orders")).schema
+    transform = lambda df: C.canonical_status(C.cast_to(C.standardize(lost(AD.orders_from(df)), {"currency": "upper"}), raw), "order_status")
     schema = transform(AD._read(spark, sf, "orders")).schema
-    S.stream_ingest(src, f"{root}/clean", f"{root}/checkpoint", C.default_rules("orders"), transform, f"{root}/rejected").awaitTermination()
+    S.stream_ingest(src, f"{root}/clean", f"{root}/checkpoint", C.default_rules("orders"), transform, f"{root}/rejected", key=["order_id"]).awaitTermination()
     return S.read_sink(spark, f"{root}/clean", schema), S.read_sink(spark, f"{root}/rejected", S.with_reasons(schema))
 
 
@@ -198,6 +228,7 @@ IO_QUERIES = {
     "partition_repair": partition_repair,
     "create_tables": create_tables_q,
     "crawl_schema": crawl_schema,
+    "crawl_update": crawl_update_q,
     "validate_input": lambda s, d: IO.validate_input(s, f"{d}/orders.parquet").select("has_rows"),
     "run_pipeline": pipeline_q,
     "run_pipeline_b": lambda s, d: pipeline_q(s, d, "b"),

@@ -1,11 +1,10 @@
-"""Catalog operations (S5-S8): external tables, partition discovery, listing,
-dropping, and schema crawling of a folder tree."""
+"""Catalog operations (S5-S7): external tables, partition discovery, listing
+and dropping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata.session import checkpoint_dir
 from strata.sources.io import schema_from_json
@@ -73,30 +72,3 @@ def list_tables(spark: SparkSession, database: str = "strata") -> DataFrame:
 def drop_table(spark: SparkSession, table: str) -> None:
     """Drop a table; a missing table is not an error."""
     spark.sql(f"DROP TABLE IF EXISTS {_q(table)}")
-
-
-def crawl(spark: SparkSession, base: str, known: dict[str, T.StructType] | T.StructType | None = None,
-          fmt: str = "parquet") -> DataFrame:
-    """One table per folder right under ``base`` (or ``base`` itself, if it
-    holds files or partition folders): its merged schema with its partition
-    columns, and the difference from a known schema (by table, or of the one
-    table): (table, column, type, is_partition, change) with change in new /
-    changed / vanished / same.  Vanished columns are only reported.
-
-    Only folder names and schemas come to the driver.
-    """
-    base = base.rstrip("/")
-    root = base.rsplit("/", 1)[-1]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
-    under = F.regexp_extract("path", f"/{root}/([^/=_][^/=]*)/", 1)
-    names = sorted(r[0] for r in files.select(under.alias("t")).where("t != ''").distinct().collect())
-    rows = []
-    for name, path in [(n, f"{base}/{n}") for n in names] or [(root, base)]:
-        r = spark.read.option("mergeSchema", "true").format(fmt)
-        now = {f.name: f.dataType.simpleString() for f in r.load(path).schema.fields}
-        stored = set(r.option("recursiveFileLookup", "true").load(path).columns)
-        past = known if isinstance(known, T.StructType) else (known or {}).get(name, T.StructType())
-        old = {f.name: f.dataType.simpleString() for f in past.fields}
-        rows += [(name, c, t, c not in stored, "new" if c not in old else "changed" if old[c] != t else "same") for c, t in now.items()]
-        rows += [(name, c, t, False, "vanished") for c, t in old.items() if c not in now]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, is_partition boolean, change string")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources.records import MAX_RECORD_LINES, header_error, records
+
 # Reader defaults per format (caller options win).
 READ_DEFAULTS = {
     "csv": {"header": "true", "inferSchema": "true"},
@@ -60,24 +62,29 @@ def schema_from_json(spec) -> T.StructType:
 
 
 def read_declared(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
-                  corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
+                  corrupt_col: str = "_corrupt_record", max_lines: int = MAX_RECORD_LINES, escape: str = "\\") -> tuple[DataFrame, DataFrame]:
     """S3: text with declared columns; rows that do not fit go to quarantine.
 
-    Returns (good rows, rejected rows: parsed fields plus the raw line).  A
-    line is read as text and parsed under the whole schema, so that the
-    verdict on it does not depend on which columns a query reads.  With
-    ``header`` the line of column names is left out wherever it stands (each
-    part file has its own).
+    Returns (good rows, rejected rows: parsed fields plus the raw text).  A
+    record may span lines inside quotes (see ``strata.sources.records``); what
+    is no whole record is a reject.  Quotes inside quotes stand after ``escape``
+    (``\"`` where they are doubled).  Each is parsed under the whole schema, so
+    that the verdict on it does not depend on which columns a query reads.
+    With ``header`` the line of column names is left out wherever it stands
+    (each part file has its own); one that names the columns in another order
+    is an error.
     """
+    names = [f.name for f in schema.fields]
     s = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    texts = records(spark, path, max_lines, escape).where(F.length(F.trim("value")) > 0)
     if header:
-        lines = lines.where(F.regexp_replace("value", '[" ]', "") != ",".join(f.name for f in schema.fields))
+        wrong_head = header_error(F.col("value"), names)
+        texts = texts.where(F.regexp_replace("value", '[" ]', "") != ",".join(names)).where(F.coalesce(wrong_head.cast("boolean"), F.lit(True)))
     # All fields are needed for the verdict: none may be pruned from the parse.
     row = F.from_csv("value", s.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
-                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col})
-    fields = lines.select(row.alias("r"), "value")
-    wrong = F.col(f"r.{corrupt_col}").isNotNull()
+                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col, "escape": escape})
+    fields = texts.select(row.alias("r"), "value", "whole")
+    wrong = F.col(f"r.{corrupt_col}").isNotNull() | ~F.col("whole")
     good = fields.where(~wrong).select(*[F.col(f"r.{f.name}") for f in schema.fields])
     return good, fields.where(wrong).select(*[F.col(f"r.{f.name}") for f in schema.fields], F.col("value").alias(corrupt_col))
 

@@ -41,15 +41,29 @@ def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
     return r.load(folder)
 
 
+def first_arrivals(stream: DataFrame, key: list[str], within: str) -> DataFrame:
+    """Of rows that come with the same key within a time, the first.
+
+    The state store keeps the keys for that time after their arrival, over
+    batches and restarts.  The time is that of arrival, not of the event: no
+    row is ever late, so none is lost.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return arrived.dropDuplicatesWithinWatermark(key).drop("_arrived")
+
+
 def stream_ingest(stream: DataFrame, sink: str, checkpoint: str, rules, transform=None,
-                  quarantine: str | None = None) -> StreamingQuery:
+                  quarantine: str | None = None, key: list[str] | None = None, within: str = "7 days") -> StreamingQuery:
     """New raw files -> clean Parquet; rows that break a rule go to the
     quarantine folder (by default beside the sink) with their violations.
 
     Each batch has a folder of its own, ``batch=<number>``, which a repeated
-    batch overwrites: no row is written twice.
+    batch overwrites: no row is written twice.  With ``key``, a row whose key
+    came before, ``within`` that time, is dropped.
     """
     df = transform(stream) if transform else stream
+    if key:
+        df = first_arrivals(df, key, within)
     rejected = quarantine or sink.rstrip("/") + "-rejected"
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -109,17 +123,23 @@ def event_log_rows(events: DataFrame) -> DataFrame:
 
 
 def append_to_parquet(df: DataFrame, sink: str, checkpoint: str, partition_by=None) -> StreamingQuery:
-    """Append to Parquet; with partition columns, a batch's rows are brought
-    together by value first, so that it writes few files."""
+    """Append to Parquet; with partition columns, a batch's rows are rebalanced
+    on them first, so that it writes few files and a value with very many rows
+    is split."""
     if partition_by:
-        df = df.repartition(*partition_by)
+        return _rebalanced(df, sink, checkpoint, list(partition_by))
     w = (df.writeStream.format("parquet").outputMode("append").option("path", sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    if partition_by:
-        w = w.partitionBy(*partition_by)
     return w.start()
 
 
+def _rebalanced(df: DataFrame, sink: str, checkpoint: str, partition_by: list[str]) -> StreamingQuery:
+    """Each batch has a folder of its own, which a repeated batch overwrites."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{sink}/batch={epoch}")
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_table(spark: SparkSession, build, name: str, partition_by=None) -> DataFrame:
     """Run a stream over everything available now and read its sink back."""
     root, df = scratch(spark, name), build()

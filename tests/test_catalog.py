@@ -6,6 +6,7 @@ from conftest import SF_SMALL
 from strata.plans import registered_io as RIO
 from strata.sources import catalog as CAT
 from strata.sources import io as IO
+from strata.sources.crawler import crawl
 from strata.streaming.jobs import scratch
 
 
@@ -25,7 +26,7 @@ def test_create_list_drop(spark):
 def test_crawl_reports_new_and_vanished(spark):
     path = RIO._monthly_written(spark, SF_SMALL)
     known = T.StructType([T.StructField("currency", T.StringType()), T.StructField("gone", T.IntegerType())])
-    rows = {r["column_name"]: r["change"] for r in CAT.crawl(spark, path, known).collect()}
+    rows = {r["column_name"]: r["change"] for r in crawl(spark, path, known).collect()}
     assert rows["currency"] == "same"
     assert rows["gone"] == "vanished"
     assert rows["total_revenue"] == "new"

@@ -154,6 +154,25 @@ def test_ingest_repeats_no_row_and_keeps_rejects(spark):
     assert {r["order_id"]: r["violations"] for r in bad} == {2: ["null_customer_id"], 3: ["non_positive_amount"]}
 
 
+def test_an_order_that_comes_twice_is_ingested_once(spark):
+    """The second copy comes in another file, after a restart."""
+    root, schema = S.scratch(spark, "twice"), "order_id int, customer_id int, total_amount decimal(12,2)"
+    want = spark.createDataFrame([], schema).schema
+    for part in ([(1, 1, D(5)), (1, 1, D(5)), (2, 1, D(6))], [(1, 1, D(5)), (3, 1, D(7))]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{root}/in")
+        S.stream_ingest(S.file_stream(spark, f"{root}/in", want), f"{root}/out", f"{root}/ckpt", C.default_rules("orders"), key=["order_id"]).awaitTermination()
+    assert sorted(r["order_id"] for r in S.read_sink(spark, f"{root}/out", want).collect()) == [1, 2, 3]
+
+
+def test_lifecycle_rules_are_a_table(spark):
+    o = spark.createDataFrame([("b", a, 10, "clean", a) for a in (0, 4, 5, 9, 10, 400)] + [("b", 7, 10, "raw", 3), ("b", 8, 10, None, None)], "bucket string, key int, size bigint, layer string, age_days int")
+    rules = ST.lifecycle_rules(spark, [("clean", 5, "transition", "COLD"), ("clean", 10, "expire", "EXPIRED")])
+    got = {r["key"]: (r["target_tier"], r["action"]) for r in ST.lifecycle_tier(o, rules).collect()}
+    none = ("STANDARD", "none")
+    assert got == {0: none, 4: none, 5: ("COLD", "transition"), 9: ("COLD", "transition"), 10: ("EXPIRED", "expire"), 400: ("EXPIRED", "expire"), 7: none, 8: none}
+    assert {(r["layer"], r["action"]): r["object_count"] for r in ST.lifecycle_summary(o, rules).collect()}["clean", "expire"] == 2
+
+
 def test_late_samples_stay_out_of_closed_windows(spark):
     root, at = S.scratch(spark, "late"), lambda m, s=0: dt.datetime(2024, 1, 1, 0, m, s)
     schema = "namespace string, name string, value decimal(12,2), unit string, dimensions map<string,string>, timestamp timestamp_ntz"
