@@ -212,3 +212,21 @@ FROM orders_raw WHERE order_id % 40 != 0 AND order_id IS NOT NULL AND customer_i
 STREAM_EVENT_LOG = """
 SELECT event_id, ts, event_type, user_id, value, 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service,
        strftime(ts, '%Y-%m-%d-%H') AS hour FROM events"""
+
+# Written from the events: an error's record has four lines below its first.
+READ_LOGS = """
+SELECT date_trunc('millisecond', ts) AS log_time, 'user-' || user_id AS logger, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+       'event ' || event_id AS message, 0 AS part, CASE WHEN event_type = 'error' THEN 5 ELSE 1 END AS n_lines,
+       md5(strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' - user-' || user_id || CASE WHEN event_type = 'error' THEN
+           ' - ERROR - event ' || event_id || chr(10) || 'Traceback (most recent call last):' || chr(10) || chr(10) || '  File "job.py", line ' || user_id || chr(10) || 'ValueError: ' || coalesce(props, '-')
+           ELSE ' - INFO - event ' || event_id END) AS text_md5
+FROM events"""
+
+ROLE_VIEWS = f"""
+SELECT 'engineer' AS role, 'customers_raw' AS table_name, customer_id, email, phone, sensitive_ssn, region FROM customers_raw
+UNION ALL SELECT 'engineer', t.table_name, customer_id, email, phone, sensitive_ssn, region FROM customers_a, (VALUES ('customers'), ('contacts')) t(table_name)
+UNION ALL SELECT 'analyst', t.table_name, customer_id, sha256(email), phone, {_MASK}, region FROM customers_a, (VALUES ('customers'), ('contacts')) t(table_name)
+UNION ALL SELECT 'analyst_europe', t.table_name, customer_id, sha256(email), phone, {_MASK}, region FROM customers_a, (VALUES ('customers'), ('contacts')) t(table_name) WHERE region = 'EUROPE'
+UNION ALL SELECT 'viewer', 'contacts', customer_id, NULL, NULL, NULL, region FROM customers_a"""
+
+DQ_PROFILE_MERGED = "SELECT column_name, total_rows, null_count, min_value, max_value, true AS distinct_within_error FROM (" + DQ_PROFILE + ") WHERE column_name <> 'order_period'"

@@ -145,6 +145,9 @@ CLEAN_SQL = {
     "read_declared_rejects": with_base(CS.READ_DECLARED_REJECTS),
     "read_csv": with_base(CS.READ_CSV),
     "read_json_logs": CS.READ_JSON,
+    "read_log_records": CS.READ_LOGS,
+    "role_views": with_base(CS.ROLE_VIEWS),
+    "dq_profile_merged": with_base(CS.DQ_PROFILE_MERGED),
     "create_tables": CS.CREATE_TABLES,
     "crawl_schema": CS.CRAWL,
     "crawl_update": CS.CRAWL_UPDATE,

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators import clean as C
+from strata.operators import governance as G
 from strata.operators import marts as M
+from strata.operators import profiles as PR
+from strata.operators import quality as Q
 from strata.operators.audit import WATCHED_NAMES
 from strata.plans.pipeline import run_pipeline
 from strata.sources.publish import read_published
@@ -21,6 +24,7 @@ from strata.sources import adapters as AD
 from strata.sources import catalog as CAT
 from strata.sources import io as IO
 from strata.sources.crawler import crawl, crawl_update
+from strata.sources.logs import log_records
 from strata.sources.adapters import Tables
 from strata.streaming import jobs as S
 from strata.streaming.alarms import alarm_stream
@@ -148,6 +152,57 @@ def read_json_logs(spark: SparkSession, sf: str):
     return IO.read_table(spark, path, "json", **exact, schema="event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
 
 
+def read_log_records(spark: SparkSession, sf: str):
+    """Events as a job logs them, errors with a stack trace below, read back
+    as records."""
+    path = S.scratch(spark, "events-log")
+    trace = F.concat(F.lit("\nTraceback (most recent call last):\n\n  File \"job.py\", line "), F.col("user_id").cast("string"), F.lit("\nValueError: "), F.coalesce("props", F.lit("-")))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - user-"), F.col("user_id").cast("string"),
+                    F.when(F.col("event_type") == "error", " - ERROR - ").otherwise(" - INFO - "), F.lit("event "), F.col("event_id").cast("string"),
+                    F.when(F.col("event_type") == "error", trace).otherwise(""))
+    AD.events(spark, sf).select(line.alias("value")).write.text(path)
+    return log_records(spark, path).select("log_time", "logger", "level", "message", "part", "n_lines", F.md5("text").alias("text_md5"))
+
+
+def role_views(spark: SparkSession, sf: str):
+    """Customers in three layers, and what each role's views show of them."""
+    t, base = Tables(spark, sf), S.scratch(spark, "governed")
+    clean = C.clean_all(t, "a")["customers"]
+    tag = base.rsplit("-", 1)[-1]
+    shown = ["customer_id", "email", "phone", "sensitive_ssn", "region"]
+    layers = {"customers_raw": ("raw", t.customers), "customers": ("clean", clean), "contacts": ("analytics", clean.select(*shown))}
+    for name, (_, df) in layers.items():
+        IO.write_table(df, f"{base}/{name}")
+    CAT.create_tables(spark, {name: {"location": f"{base}/{name}"} for name in layers}, f"governed_{tag}")
+    views = G.role_views(spark, {f"governed_{tag}.{name}": layer for name, (layer, _) in layers.items()}, f"governed_{tag}")
+    out = None
+    for role, name in [(r["role"], r["table_name"]) for r in views.where("reason IS NULL").collect()]:  # roles times tables
+        v = spark.sql(f"SELECT * FROM governed_{tag}_{role}.{name}")
+        v = v.select(F.lit(role).alias("role"), F.lit(name).alias("table_name"), *[c if c in v.columns else F.lit(None).cast("string").alias(c) for c in shown])
+        out = out.unionByName(v) if out else v
+    out = materialized(out, "role-views")
+    for db in [f"governed_{tag}_{role}" for role in G.DEFAULT_POLICY] + [f"governed_{tag}"]:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+    return out
+
+
+def dq_profile_merged(spark: SparkSession, sf: str):
+    """G1: orders profiled month by month and merged; whether the distinct values
+    are within four standard errors of the exact profile's."""
+    orders = C.clean_all(Tables(spark, sf), "a")["orders"]
+    path = S.scratch(spark, "profiles")
+    # The last day of each month is late: its months are profiled again.
+    PR.store_profiles(PR.partition_profiles(orders.where("order_date < last_day(order_date)"), "order_period"), path)
+    late = orders.where("order_date = last_day(order_date)").select("order_period").distinct()
+    PR.store_profiles(PR.partition_profiles(orders.join(late, "order_period", "left_semi"), "order_period"), path)
+    merged = PR.merged_profile(spark.read.parquet(path))
+    exact = Q.profile(orders.drop("order_period")).select("column_name", "distinct_count")
+    error = 4 * 1.04 / 2 ** (PR.LG_K / 2)
+    return merged.join(exact, "column_name").select(
+        "column_name", "total_rows", "null_count", "min_value", "max_value",
+        (F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.lit(error) * F.col("distinct_count") + F.lit(1)).alias("distinct_within_error"))
+
+
 def pipeline_q(spark: SparkSession, sf: str, job: str = "a"):
     """Run a job end to end; one row per metric."""
     res = run_pipeline(spark, sf, S.scratch(spark, "pipeline"), job)
@@ -234,6 +289,9 @@ IO_QUERIES = {
     "run_pipeline_b": lambda s, d: pipeline_q(s, d, "b"),
     "pipeline_summary": pipeline_summary,
     "read_json_logs": read_json_logs,
+    "read_log_records": read_log_records,
+    "role_views": role_views,
+    "dq_profile_merged": dq_profile_merged,
     "stream_ingest": stream_ingest,
     "stream_rejects": stream_rejects,
     "stream_metrics": stream_metrics,
