@@ -59,7 +59,7 @@ SHARD_TOKENS, MIN_COUNT, MAX_RULES, KEPT_PIECES = 1_000_000, 8, 12_000, 1_000_00
 
 SHARD_SCHEMA = ("part int, seq int, doc_ids array<bigint>, offsets binary, rules binary, lengths binary, "
                 "symbols binary, n_tokens bigint, base int, width int")
-_SAFE_SPACE, _UNSAFE_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s |^ | $")
+_SAFE_SPACE, _OTHER_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\S \n]")
 _PUNCTUATION = ".,!?;:|%&*$#()\""
 
 
@@ -84,7 +84,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.kept:
             self.clear()
-        ids = self[piece] = self.encoder.piece(self.lead + piece)
+        ids = self[piece] = self.encoder.piece(self.lead, piece)
         return ids
 
 
@@ -105,12 +105,17 @@ class Encoder:
         self.base = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.base + MAX_RULES < 2**16 - 1 else np.dtype("<u4")
         self.code, self.model, self.letters = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model, byte_letters()
+        self.space = self.letters[ord(" ")]
         self.line_feed = self.word("\n")
         self.first, self.later, self.marks = Pieces(self, "", kept // 4), Pieces(self, " ", kept), {}
 
     def word(self, text: str) -> bytes:
         """Ids of a text that is one pre-token."""
-        return array(self.code, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if text.isascii() and text[1:].isalpha():  # such letters stand for themselves
+            text = self.space + text[1:] if text[0] == " " else text
+        else:
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def mark(self, text: str) -> bytes:
         """Ids of a run of punctuation."""
@@ -118,17 +123,19 @@ class Encoder:
             self.marks[text] = self.word(text)
         return self.marks[text]
 
-    def piece(self, text: str) -> bytes:
+    def piece(self, lead: str, text: str) -> bytes:
+        if text.isalpha():
+            return self.word(lead + text)
         out = []
         for k, line in enumerate(text.split("\n")):
             stem = line.rstrip(_PUNCTUATION)
-            if not (stem[1:] if not k and stem[:1] == " " else stem).isalpha():
-                return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            if not stem.isalpha():
+                return array(self.code, self.tokenizer.encode(lead + text, add_special_tokens=False).ids).tobytes()
             if k:
                 out.append(self.line_feed)
             # A word that is known without what follows it is not encoded again.
-            known = self.later.get(stem[1:]) if stem[:1] == " " else self.first.get(stem)
-            out.append(known or self.word(stem))
+            known = (self.later if lead and not k else self.first).get(stem)
+            out.append(known or self.word(stem if k else lead + stem))
             if len(stem) < len(line):
                 out.append(self.mark(line[len(stem):]))
         return b"".join(out)
@@ -137,7 +144,9 @@ class Encoder:
         """The ids of each text, as bytes of ``dtype``."""
         out = []
         for t in texts:
-            pieces = _SAFE_SPACE.split(t) if _UNSAFE_SPACE.search(t) else t.split(" ")
+            # A space at an end of the text or beside white space.
+            odd = "  " in t or "\n " in t or " \n" in t or t[:1] == " " or t[-1:] == " " or _OTHER_SPACE.search(t)
+            pieces = _SAFE_SPACE.split(t) if odd else t.split(" ")
             out.append(self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])) if t else b"")
         return out
 
@@ -164,20 +173,24 @@ def re_pair(symbols: np.ndarray, base: int, end: int, min_count: int = MIN_COUNT
             equal = equal[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]
         order = np.sort(np.delete(key, equal) if len(equal) else key)
         starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        counts, found = np.diff(np.append(starts, len(order))), order[starts]
+        counts = np.diff(np.append(starts, len(order)))
+        often = np.flatnonzero(counts >= min_count)
+        counts, found = counts[often], order[starts[often]]
         low = (key.dtype.type(1) << half) - key.dtype.type(1)
-        frequent = np.flatnonzero((counts >= min_count) & (found >> half != end) & (found & low != end))
+        frequent = np.flatnonzero((found >> half != end) & (found & low != end))
         if not len(frequent):
             break
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")][:max(1, room // 2) if room > 64 else room]
         pairs = found[frequent]  # by falling count: the place is the rank
         # A small table finds the rank of a key; of keys that share a slot the most frequent stays.
-        last = np.int32(len(pairs))
-        table = np.full(1 << 18, last, np.int32)
-        slot = (lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46))
-        table[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        last = (np.int16 if len(pairs) < 2**15 else np.int32)(len(pairs))
+        table = np.full(1 << 18, last)
+        spread, down = (np.uint32(0x9E3779B1), np.uint32(14)) if key.itemsize == 4 else (np.uint64(0x9E3779B97F4A7C15), np.uint64(46))
+        slot = lambda k: k * spread >> down
+        table[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=table.dtype)[::-1]
         rank = table[slot(key)]
-        rank[np.append(pairs, key.dtype.type(0))[rank] != key] = last
+        met = np.flatnonzero(rank < last)
+        rank[met[pairs[rank[met]] != key[met]]] = last
         rank[equal] = last
         chosen = rank < last
         chosen[1:] &= rank[1:] < rank[:-1]
@@ -189,7 +202,7 @@ def re_pair(symbols: np.ndarray, base: int, end: int, min_count: int = MIN_COUNT
         seq[where] = ids[rank[where]]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq = seq[keep]
+        seq = np.compress(keep, seq)
         kept = pairs[used >= 2]
         rules = np.concatenate((rules, np.stack((kept >> half, kept & low), 1).astype(np.uint32)))
     return seq, rules
