@@ -11,14 +11,13 @@ ways.  A window that occurs earlier is repeated, and the lines of later
 repeated runs are deleted.  Earlier means a smaller id, or the same document
 and a smaller line number.  Lines without a word belong to no run and stay.
 
-So a line goes if and only if it lies in ``window`` or more consecutive lines
-that occur, as a sequence, at an earlier place.  That is the rule of the query
-and of its SQL; repeats that fill fewer lines are kept by it.
-
-With ``min_words`` given, two more matches count, which have less than
-``window`` lines: a run of lines that together have ``min_words`` words or more
-and occur, as a sequence, at an earlier place, and a whole document that is
-equal to an earlier whole document.  Such runs are their own fingerprints.
+So a line goes if it lies in ``window`` or more consecutive lines that occur, as
+a sequence, at an earlier place.  With ``min_words`` given, as in the query, two
+more matches count, which have less than ``window`` lines: a run of lines that
+together have ``min_words`` words or more and occur, as a sequence, at an
+earlier place, and a whole document that is equal to an earlier whole document.
+Such runs are their own fingerprints.  Repeats of one or two lines with fewer
+words are kept: a short line that many pages hold is no passage.
 
 Fingerprints and sequences are counted and reduced to their first place in
 each task before they meet; the joins that bring places back are left to the
@@ -33,13 +32,17 @@ by chance with probability 2^-64.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import SPACES, read, words, written
 
-#: Production parameter: lines in a window, the shortest run that is found.
-WINDOW = 3
+#: Production parameters: lines in a window, the shortest run that is found
+#: whatever its words; words of a shorter run.
+WINDOW, MIN_WORDS = 3, 50
 
 
 def _line_hashes(lines: Column, counted: bool = False) -> Column:
@@ -67,18 +70,24 @@ def winnowed(table: DataFrame, window: int) -> DataFrame:
 
 def short_runs(table: DataFrame, window: int, min_words: int) -> DataFrame:
     """(row_id, doc_id, first, size, run): the runs of less than ``window``
-    lines that have ``min_words`` words, and the whole rows of so few lines."""
+    lines that have ``min_words`` words, and the whole rows of so few lines.
+
+    A run whose lines all have ``min_words`` words by themselves is left out:
+    where it is repeated, so is each of them.
+    """
     line = lambda i: F.get("lines", i)
+    few = lambda i: line(i)["n"] < min_words
 
     def of(k: int) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size("lines") - k), lambda i: F.struct(
             i.alias("first"), F.lit(k).alias("size"), sum((line(i + j)["n"] for j in range(1, k)), line(i)["n"]).alias("n"),
+            (F.lit(k == 1) | functools.reduce(operator.or_, (few(i + j) for j in range(k)))).alias("needed"),
             F.xxhash64(F.lit(k), *[line(i + j)["h"] for j in range(k)]).alias("run")))
-        return F.when(F.size("lines") >= k, F.filter(runs, lambda x: x["n"] >= min_words))
-    whole = F.when(F.size("lines") < window, F.array(F.struct(
-        F.lit(0).alias("first"), F.size("lines").alias("size"), F.lit(0).alias("n"),
+        return F.when(F.size("lines") >= k, F.filter(runs, lambda x: (x["n"] >= min_words) & x["needed"]))
+    whole = F.when((F.size("lines") < window) & F.exists("lines", lambda x: x["n"] < min_words), F.array(F.struct(
+        F.lit(0).alias("first"), F.size("lines").alias("size"), F.lit(0).alias("n"), F.lit(True).alias("needed"),
         F.xxhash64(F.lit(0), F.transform("lines", lambda x: x["h"])).alias("run"))))
-    none = F.array().cast("array<struct<first:int,size:int,n:int,run:bigint>>")
+    none = F.array().cast("array<struct<first:int,size:int,n:int,needed:boolean,run:bigint>>")
     r = table.where(F.size("lines") > 0).select("row_id", "doc_id", F.explode(F.concat(*[F.coalesce(x, none) for x in (*map(of, range(1, window)), whole)])).alias("r"))
     return r.select("row_id", "doc_id", "r.first", "r.size", "r.run")
 
@@ -123,7 +132,7 @@ def dedupe_lines(docs: DataFrame, window: int = WINDOW, min_words: int | None =
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe_lines(read(spark, sf_dir, "documents")).select(
+    return dedupe_lines(read(spark, sf_dir, "documents"), min_words=MIN_WORDS).select(
         "doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -133,12 +142,19 @@ l AS (
   SELECT r, doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS word,
          trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
   FROM (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM d)),
-n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS p FROM l WHERE word),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS p, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE word),
 w AS (
   SELECT r, doc_id, p, [norm, {', '.join(f'lead(norm, {k}) OVER o' for k in range(1, WINDOW))}] AS run, lead(p, {WINDOW - 1}) OVER o IS NOT NULL AS whole
   FROM n WINDOW o AS (PARTITION BY r ORDER BY p)),
 o AS (SELECT r, p, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, r, p) AS k FROM w WHERE whole),
-gone AS (SELECT DISTINCT r, unnest(range(p, p + {WINDOW})) AS p FROM o WHERE k > 1),
+short AS (
+  SELECT r, doc_id, p, 1 AS size, 'run' AS kind, [norm] AS run FROM n WHERE words >= {MIN_WORDS}
+  UNION ALL SELECT r, doc_id, p, 2, 'run', [norm, norm2] FROM (
+    SELECT *, lead(norm) OVER q AS norm2, words + lead(words) OVER q AS together FROM n WINDOW q AS (PARTITION BY r ORDER BY p)) WHERE together >= {MIN_WORDS}
+  UNION ALL SELECT r, any_value(doc_id), 1, count(*), 'row', list(norm ORDER BY p) FROM n GROUP BY r HAVING count(*) < {WINDOW}),
+s AS (SELECT r, p, size, row_number() OVER (PARTITION BY kind, run ORDER BY doc_id NULLS LAST, r, p) AS k FROM short),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + {WINDOW})) AS p FROM o WHERE k > 1
+         UNION SELECT r, unnest(range(p, p + size)) FROM s WHERE k > 1),
 runs AS (SELECT r, count(*) AS n, count(*) FILTER (b IS NULL OR p - b > 1) AS k FROM (
   SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS b FROM gone) GROUP BY r),
 kept AS (
