@@ -8,8 +8,8 @@ document that keeps less than ``min_kept`` of its words is depleted and
 rejected.  Exact copies of a text count as one document, so that a page is
 not taken for boilerplate of itself.  The query returns counts and a verdict;
 ``remove_frequent_lines`` returns the documents without their boilerplate.
-With ``max_docs`` given, a line in more than so many documents is boilerplate
-whatever its share, for hosts with very many documents.
+With ``max_docs`` given, as in the query, a line in more than so many documents
+is boilerplate whatever its share, for hosts with very many documents.
 
 Beside that the fixed base rules of a document are measured.
 
@@ -36,7 +36,7 @@ from strata.llm.common import SPACES, read, words, written
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, r"[#*$%&|<>]"
 
 #: Production parameters of the method.
-MIN_DOCS, MAX_SHARE_PERCENT, MIN_KEPT_PERCENT = 25, 1, 30
+MIN_DOCS, MAX_SHARE_PERCENT, MIN_KEPT_PERCENT, MAX_DOCS = 25, 1, 30, 5_000
 
 _LINE = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))
 
@@ -131,7 +131,7 @@ def remove_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_p
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency_rules(read(spark, sf_dir, "documents")).drop("host")
+    return line_frequency_rules(read(spark, sf_dir, "documents"), max_docs=MAX_DOCS).drop("host")
 
 
 SQL = rf"""
@@ -156,7 +156,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 frequent AS (
   SELECT a.source, a.norm FROM (SELECT source, norm, count(DISTINCT text) AS docs FROM lines GROUP BY 1, 2) a
   JOIN (SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY 1) b ON a.source IS NOT DISTINCT FROM b.source
-  WHERE a.docs > {MIN_DOCS} AND a.docs * 100 > b.docs * {MAX_SHARE_PERCENT}),
+  WHERE (a.docs > {MIN_DOCS} AND a.docs * 100 > b.docs * {MAX_SHARE_PERCENT}) OR a.docs > {MAX_DOCS}),
 gone AS (
   SELECT r, sum(n) AS n, count(*) AS k FROM lines a
   JOIN frequent b ON a.norm = b.norm AND a.source IS NOT DISTINCT FROM b.source GROUP BY r),
