@@ -7,7 +7,8 @@ verified word by word.  A document word inside a verified window is hit.
 
 Only the benchmark side is broadcast, and only after its windows were
 counted: up to ``broadcast_windows`` of them (a few hundred bytes each).
-Beyond that the same join runs as a shuffle join with the same result.
+Beyond that places and hashes of the texts' windows are shuffled, without the
+words, and hits are verified against the words of the texts that have any.
 
 Defined results: null or empty texts have no words and no hits; a null
 ``doc_id`` is an id like any other; rows that repeat an id are answered with
@@ -34,6 +35,12 @@ def _hash_at(w: Column, i: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)])
 
 
+def _hash_of(w: Column, i: Column, lengths: list[int]) -> Column:
+    """Hash of the ``n`` words from ``i``, n being one of ``lengths``; never null."""
+    out = _hash_at(w, i, lengths[-1])
+    return reduce(lambda rest, n: F.when(F.col("n") == n, _hash_at(w, i, n)).otherwise(rest), lengths[:-1], out)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(h, n, gram, items): each distinct window once, with the items that
     hold it (as sorted strings; bounded by the benchmark's size)."""
@@ -47,20 +54,34 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str =
 
 def window_hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, n, items) of each verified occurrence of a window."""
+    """(doc_id, pos, n, items) of each verified occurrence of a window.
+
+    The texts are scanned once, whatever the lengths of the windows.  A window
+    set too large to broadcast meets places and hashes alone; only what it hits
+    is joined back to its text's words.
+    """
     sizes = windows.groupBy("n").agg(F.count("*").alias("c")).collect()  # at most ``window`` rows
-    small = sum(r["c"] for r in sizes) <= broadcast_windows
-    d = docs.select(F.col(doc_id).alias("doc_id"), alnum_words(F.col(text)).alias("w"))
-    w = F.col("w")
-    parts = []
-    for n in sorted(r["n"] for r in sizes) or [window]:
-        at = d.where(F.size(w) >= n).select("doc_id", "w", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.size(w) - n), lambda i: _hash_at(w, i, n))).alias("pos", "h"))
-        b = windows.where(F.col("n") == n).select(_hash_at(F.col("gram"), F.lit(0), n).alias("bh"), "gram", "items")
-        same = reduce(lambda x, y: x & y, (F.get("w", F.col("pos") + k) == F.get("gram", F.lit(k)) for k in range(n)))
-        parts.append(at.join(F.broadcast(b) if small else b, (F.col("h") == F.col("bh")) & same)
-                     .select("doc_id", "pos", F.lit(n).alias("n"), "items"))
-    return reduce(DataFrame.union, parts)
+    small, lengths = sum(r["c"] for r in sizes) <= broadcast_windows, sorted(r["n"] for r in sizes) or [window]
+    w, pos = F.col("w"), F.col("pos")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), alnum_words(F.col(text)).alias("w"))
+    # Positions are exploded, not hashes: hashing then is compiled code over the one array of words.
+    at = d.select("doc_id", "text_hash", "w", F.explode(F.when(
+        F.size(w) >= lengths[0], F.sequence(F.lit(0), F.size(w) - lengths[0]))).alias("pos"))
+    if len(lengths) > 1:
+        at = at.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(pos + F.col("n") <= F.size(w))
+    else:
+        at = at.withColumn("n", F.lit(lengths[0]))
+    at, b = at.withColumn("h", _hash_of(w, pos, lengths)), windows.select(
+        F.col("n").alias("bn"), _hash_of(F.col("gram"), F.lit(0), lengths).alias("bh"), "gram", "items")
+    # As an equality of both sides the words would be a join key, built for every position.
+    met, same = (F.col("h") == F.col("bh")) & (F.col("n") == F.col("bn")), F.array_contains(F.array("gram"), F.slice(w, pos + 1, F.col("n")))
+    if small:
+        hits = at.join(F.broadcast(b), met & same)
+    else:
+        asked = at.select("doc_id", "text_hash", "pos", "n", "h").join(b, met)
+        texts = d.select("text_hash", "w").join(asked.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+        hits = asked.join(texts, "text_hash").where(same)
+    return hits.select("doc_id", "pos", "n", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
