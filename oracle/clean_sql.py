@@ -50,10 +50,12 @@ FROM customers_raw"""
 
 QUARANTINE_ORDERS = """
 SELECT count(*) AS total_rows,
-       count(CASE WHEN order_id IS NOT NULL AND customer_id IS NOT NULL AND coalesce(total_amount > 0, false) THEN 1 END) AS valid_rows,
+       count(CASE WHEN order_id IS NOT NULL AND customer_id IS NOT NULL AND coalesce(total_amount > 0, false)
+                       AND order_date IS NOT NULL THEN 1 END) AS valid_rows,
        count(CASE WHEN order_id IS NULL THEN 1 END) AS null_order_id,
        count(CASE WHEN customer_id IS NULL THEN 1 END) AS null_customer_id,
-       count(CASE WHEN NOT coalesce(total_amount > 0, false) THEN 1 END) AS non_positive_amount
+       count(CASE WHEN NOT coalesce(total_amount > 0, false) THEN 1 END) AS non_positive_amount,
+       count(CASE WHEN order_date IS NULL THEN 1 END) AS bad_order_date
 FROM orders_raw"""
 
 QUARANTINE_ROWS = """

@@ -30,6 +30,13 @@ def parse_dates(df: DataFrame, col: str, formats=DATE_FORMATS,
     return df.withColumn(out or col, parsed.cast("timestamp_ntz"))
 
 
+def known_date(c: Column, formats=DATE_FORMATS) -> Column:
+    """Whether there is a date; for text, one that :func:`parse_dates` reads."""
+    text = F.trim(c.cast("string"))
+    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.when(F.typeof(c) == "string", parsed.isNotNull()).otherwise(c.isNotNull())
+
+
 def add_date_parts(df: DataFrame, col: str, prefix: str = "order_") -> DataFrame:
     """Year, month, day and the ``yyyy-MM`` period of a date column."""
     c = F.col(col)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.dates import add_date_parts, parse_dates
+from strata.functions.dates import add_date_parts, known_date, parse_dates
 from strata.functions.text import canonical_status, standardize
 
 # ---------------------------------------------------------------- C1-C4
@@ -46,18 +46,22 @@ def not_null(*names: str) -> Column:
     return cond
 
 
-def dedupe(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def dedupe(df: DataFrame, keys: list[str] | None = None, near: str | None = None) -> DataFrame:
     """C4: drop exact duplicate rows (or duplicates on ``keys``).
 
     One shuffle on the row (or key) hash with map-side partial dedupe, so a
-    heavily duplicated row collapses before it is shuffled.
+    heavily duplicated row collapses before it is shuffled.  With ``near``, a
+    key that few different rows share, rows are shuffled by it instead: equal
+    rows meet as well, and a join on the key needs no shuffle of its own.
     """
+    if near:
+        df = df.repartition(near)
     return df.dropDuplicates(keys) if keys else df.dropDuplicates()
 
 
 def clean_customers(df: DataFrame, profile: str = "a", segment_case: str = "upper") -> DataFrame:
     if profile == "b":
-        df = dedupe(df)
+        df = dedupe(df.where(not_null("customer_id")), near="customer_id")
         df = standardize(df, {"customer_name": "upper", "email": "lower", "phone": "trim",
                               "address": "trim", "city": "trim", "state": "trim",
                               "country": "trim", "customer_segment": "trim"})
@@ -68,11 +72,10 @@ def clean_customers(df: DataFrame, profile: str = "a", segment_case: str = "uppe
 
 def clean_orders(df: DataFrame, profile: str = "a") -> DataFrame:
     if profile == "b":
-        df = dedupe(df)
+        df = dedupe(df.where(not_null("order_id", "customer_id") & (F.col("total_amount") > 0)), near="order_id")
         if dict(df.dtypes)["order_date"] == "string":
             df = parse_dates(df, "order_date")
-        df = canonical_status(df, "order_status")
-        return df.where(not_null("order_id", "customer_id") & (F.col("total_amount") > 0))
+        return canonical_status(df, "order_status")
     df = canonical_status(df, "order_status")
     df = standardize(df, {"payment_method": "lower", "currency": "upper"})
     df = df.where(not_null("order_id", "customer_id"))
@@ -99,10 +102,10 @@ def clean_order_items(df: DataFrame, profile: str = "a") -> DataFrame:
 
 def clean_products(df: DataFrame, profile: str = "a") -> DataFrame:
     if profile == "b":
-        df = dedupe(df)
+        df = dedupe(df.where(not_null("product_id") & (F.col("price") > 0)), near="product_id")
         df = standardize(df, {"product_name": "trim", "category": "trim", "subcategory": "trim",
                               "supplier": "trim"})
-        return df.where(not_null("product_id") & (F.col("price") > 0))
+        return df
     df = standardize(df, {"category": "trim", "subcategory": "trim", "brand": "trim"})
     return df.where(not_null("product_id"))
 
@@ -173,6 +176,12 @@ def email_rule(col: str = "email") -> tuple[str, Column]:
     return ("bad_email", F.coalesce(F.col(col).rlike(EMAIL_PATTERN), F.lit(False)))
 
 
+def date_rule(col: str = "order_date") -> tuple[str, Column]:
+    """Rule that a date is there and, as text, has a known format: what
+    ``parse_dates`` would turn into NULL is rejected by name."""
+    return (f"bad_{col}", known_date(F.col(col)))
+
+
 def default_rules(table: str) -> list[tuple[str, Column]]:
     """Row rules per table: the clean filters, named, plus the e-mail shape."""
     if table == "customers":

@@ -202,7 +202,7 @@ CLEAN_QUERIES: dict[str, Query] = {
     "canonical_status": lambda s, d: tables_a(s, d)["orders"].groupBy("order_status").agg(
         F.count(F.lit(1)).alias("orders")),
     "quarantine": lambda s, d: C.quarantine_summary(Tables(s, d).customers, C.default_rules("customers")),
-    "quarantine_orders": lambda s, d: C.quarantine_summary(Tables(s, d).orders, C.default_rules("orders")),
+    "quarantine_orders": lambda s, d: C.quarantine_summary(Tables(s, d).orders, [*C.default_rules("orders"), C.date_rule()]),
     "email_rule": lambda s, d: Tables(s, d).customers.select(
         "customer_id", "email", C.email_rule("email")[1].alias("email_ok")),
     "quarantine_rows": lambda s, d: C.split_by_rules(Tables(s, d).customers.withColumn(

@@ -241,7 +241,7 @@ def _ingested(spark: SparkSession, sf: str):
     raw = AD.orders_from(AD._read(spark, sf, "orders")).schema
     transform = lambda df: C.canonical_status(C.cast_to(C.standardize(lost(AD.orders_from(df)), {"currency": "upper"}), raw), "order_status")
     schema = transform(AD._read(spark, sf, "orders")).schema
-    S.stream_ingest(src, f"{root}/clean", f"{root}/checkpoint", C.default_rules("orders"), transform, f"{root}/rejected", key=["order_id"]).awaitTermination()
+    S.stream_ingest(src, f"{root}/clean", f"{root}/checkpoint", [*C.default_rules("orders"), C.date_rule()], transform, f"{root}/rejected", key=["order_id"]).awaitTermination()
     return S.read_sink(spark, f"{root}/clean", schema), S.read_sink(spark, f"{root}/rejected", S.with_reasons(schema))
 
 

@@ -208,3 +208,34 @@ def test_raw_files_to_marts(spark):
     months = {(r["order_year"], r["order_month"], r["currency"]): r["total_revenue"] for r in read_published(spark, out, "monthly_sales").collect()}
     assert months == {(2024, 1, "JPY"): D("100.50"), (2024, 1, "USD"): D("50.00")}
     assert run_pipeline(spark, base, S.scratch(spark, "marts-b"), "b", tables=t).success
+
+
+def test_dates_of_no_known_format_are_rejected_by_name(spark):
+    rows = [(1, "2024-01-05 10:00:00"), (2, "01/05/2024 10:00"), (3, "Jan 5 2024 10:00"), (4, "5. Januar"), (5, None), (6, ""), (7, "2024-01-05")]
+    df = spark.createDataFrame(rows, "order_id int, order_date string")
+    valid, rejected = C.split_by_rules(df, [C.date_rule()])
+    assert sorted(r["order_id"] for r in valid.collect()) == [1, 2, 3]
+    assert {r["order_id"]: r["violations"] for r in rejected.collect()} == {i: ["bad_order_date"] for i in (4, 5, 6, 7)}
+    kept = C.parse_dates(df, "order_date")
+    assert sorted(r["order_id"] for r in kept.where("order_date IS NOT NULL").collect()) == [1, 2, 3]
+    typed = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (2, None)], "order_id int, order_date date")
+    assert [r["order_id"] for r in C.split_by_rules(typed, [C.date_rule()])[0].collect()] == [1]
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum(" Exchange " in line for line in plan.splitlines())
+
+
+def test_clean_orders_are_shuffled_once_for_a_join(spark):
+    """Copies fall away in the partitioning that the join on the key needs."""
+    rows = [(1, 5, "completed", D("2.00"))] * 3 + [(2, 5, "x", D("0.00")), (None, 6, "x", D("1.00")), (3, 6, "pending", D("1.00")), (3, 7, "pending", D("1.00"))]
+    o = spark.createDataFrame(rows, "order_id int, customer_id int, order_status string, total_amount decimal(12,2)").withColumn(
+        "order_date", F.lit("2024-01-05 10:00:00"))
+    i = spark.createDataFrame([(1, 4), (1, 9), (3, 1), (8, 1)], "order_id int, q int")
+    clean = C.clean_orders(o, "b")
+    assert sorted((r["order_id"], r["customer_id"]) for r in clean.collect()) == [(1, 5), (3, 6), (3, 7)]
+    joined = i.hint("merge").join(clean, "order_id").select("order_id", "customer_id", "q")
+    assert exchanges(joined) == 2
+    assert sorted(map(tuple, joined.collect())) == [(1, 5, 4), (1, 5, 9), (3, 6, 1), (3, 7, 1)]
