@@ -4,8 +4,9 @@ A quoted field may hold line feeds, so a record can be several lines.  Files
 are still read line by line, by as many tasks as they have splits.  Lines with
 an odd number of quotes open or close such a record, in turn; pairs of them
 that lie no more than ``max_lines`` lines apart are put together with what lies
-between.  Only the splits that hold such lines are sorted and numbered; all
-others pass through.
+between.  Lines are numbered where they are read, by a small table of the
+splits; the pairs are found on the numbers of odd lines alone, and the text is
+shuffled once, to meet the numbers of the lines that pairs hold.
 
 What is put together has to be a whole record; if not (a torn quote met
 another quote by chance), its lines are judged one by one.  A line that is no
@@ -37,37 +38,31 @@ def records(spark: SparkSession, path: str, max_lines: int = MAX_RECORD_LINES, e
     bare = F.col("value") if escape == '"' else F.regexp_replace("value", r"\\.", "")
     quotes = F.length(F.regexp_replace(bare, '[^"]', ""))
     # The number of a line in its file: the lines of the splits before, and its place in its own.
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("file")
+    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n"))
-    splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).select("file", "block", "offset")
-    odd = lines.where((quotes % 2) == 1).select("file", "block", "id").join(splits, ["file", "block"]).withColumn("line", F.col("id") + F.col("offset"))
-    at = Window.partitionBy("file").orderBy("line")
+    # A file is known by its first line's id from here, which is shorter than its path.
+    splits = splits.select("file", "block", F.min("lo").over(of_file).alias("f"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).alias("offset"))
+    # One row per split of the text: small beside any task's share of it.
+    placed = lines.join(F.broadcast(splits), ["file", "block"]).select("f", (F.col("id") + F.col("offset")).alias("line"), "value").where("f IS NOT NULL AND line IS NOT NULL")
+    odd = placed.where(F.col("value").contains('"') & ((quotes % 2) == 1)).select("f", "line")
+    at = Window.partitionBy("f").orderBy("line")
     near = F.col("line") - F.lag("line").over(at) <= max_lines
     runs = odd.withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(at))
-    run = Window.partitionBy("file", "run").orderBy("line")
-    placed = runs.withColumn("turn", F.row_number().over(run) % 2).withColumn("next_block", F.lead("block").over(run)).withColumn("next_id", F.lead("id").over(run))
-    pairs = placed.where("turn = 1 AND next_id IS NOT NULL").select("file", F.col("id").alias("rec"), "block", "id", "next_block", "next_id")
-    # Splits that a pair lies in, or reaches over.
-    spans = pairs.groupBy("file", F.col("block").alias("b1"), F.col("next_block").alias("b2")).agg(F.max(F.when(F.col("next_block") > F.col("block"), F.col("rec"))).alias("rec"))
-    touched = splits.join(spans, "file").where("b1 <= block AND block <= b2").groupBy("file", "block").agg(
-        F.max(F.when(F.col("block") > F.col("b1"), F.col("rec"))).alias("carried"))
-    inside = lines.join(touched, ["file", "block"])
-    outside = lines.join(touched.select("file", "block"), ["file", "block"], "left_anti").select("value")
-    ends = pairs.select("file", F.explode(F.array(F.struct("block", "id", "rec", F.lit(True).alias("opens")),
-                                                  F.struct(F.col("next_block").alias("block"), F.col("next_id").alias("id"), "rec", F.lit(False).alias("opens")))).alias("e")).select("file", "e.*")
-    marked = inside.join(ends, ["file", "block", "id"], "left")
-    upto = Window.partitionBy("file", "block").orderBy("id")
-    last = F.last(F.when(F.col("opens").isNotNull(), F.struct("rec", "opens")), ignorenulls=True).over(upto)
-    marked = marked.withColumn("last", last)
-    of = F.when(F.col("rec").isNotNull(), F.col("rec")).when(F.col("last").isNull(), F.col("carried")).when(F.col("last.opens"), F.col("last.rec"))
-    marked = marked.withColumn("of", of)
-    alone = marked.where("of IS NULL").select("value")
-    # No more than max_lines lines.
-    joined = marked.where("of IS NOT NULL").groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("lines"))
-    joined = joined.select(F.transform("lines", lambda x: x["value"]).alias("lines")).withColumn("value", F.array_join("lines", "\n"))
-    good = joined.where(is_record(F.col("value"), escape)).select("value", F.lit(True).alias("whole"))
-    single = outside.unionByName(alone).unionByName(joined.where(~is_record(F.col("value"), escape)).select(F.explode("lines").alias("value")))
-    return good.unionByName(single.select("value", is_record(F.col("value"), escape).alias("whole")))
+    run = Window.partitionBy("f", "run").orderBy("line")
+    turns = runs.withColumn("turn", F.row_number().over(run) % 2).withColumn("next", F.lead("line").over(run))
+    pairs = turns.where("turn = 1 AND next IS NOT NULL")
+    # The lines of a pair, max_lines + 1 at most.
+    held = pairs.select("f", F.col("line").alias("of"), F.explode(F.sequence("line", "next")).alias("line"))
+    marked = placed.join(held, ["f", "line"], "left")
+    joined = marked.where("of IS NOT NULL").groupBy("f", "of").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("lines"))
+    texts = marked.where("of IS NULL").select(F.array("value").alias("lines")).unionByName(joined.select(F.transform("lines", lambda x: x["value"]).alias("lines")))
+    texts = texts.withColumn("text", F.array_join("lines", "\n"))
+    texts = texts.withColumn("whole", is_record(F.col("text"), escape))
+    # What is no whole record together is judged line by line.  Filters of a
+    # caller stay above the explode, so that both branches read one shuffle.
+    parts = texts.select("whole", F.explode(F.when(F.col("whole"), F.array("text")).otherwise(F.col("lines"))).alias("value"))
+    return parts.select("value", (F.col("whole") | is_record(F.col("value"), escape)).alias("whole"))
 
 
 def header_error(value: Column, names: list[str]) -> Column:

@@ -239,3 +239,22 @@ def test_clean_orders_are_shuffled_once_for_a_join(spark):
     joined = i.hint("merge").join(clean, "order_id").select("order_id", "customer_id", "q")
     assert exchanges(joined) == 2
     assert sorted(map(tuple, joined.collect())) == [(1, 5, 4), (1, 5, 9), (3, 6, 1), (3, 7, 1)]
+
+
+def test_records_shuffle_the_text_once(spark, tmp_path):
+    """The text of all lines is dealt out once, whatever the records look like."""
+    from strata.sources.records import records
+    path = str(tmp_path / "r.csv")
+    with open(path, "w") as f:
+        f.write('a,"x\ny",1\nb,z,2\nc,"torn\nd,w,3\n' + 'e,"p\n\nq",4\n')
+    df = records(spark, path, max_lines=3)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.where("value != 'a'")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    # Splits, odd lines, text and held lines' records: eight before, three of them with the text.
+    assert sum(" Exchange " in line for line in plan.splitlines()) <= 4, plan
+    assert sorted((r["value"], r["whole"]) for r in df.collect()) == sorted(
+        [('a,"x\ny",1', True), ("b,z,2", True), ('c,"torn', False), ("d,w,3", True), ('e,"p', False), ("", True), ('q",4', True)])
