@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.joins import basket, pairs_of
+from strata.operators.joins import basket, dealt, pair_tasks, pairs_of, tasks_for
 from strata.functions.numeric import avg_exact, div_round, money
 from strata.operators.clean import fill_measures
 
@@ -92,11 +92,16 @@ def product_analytics(T: dict, grain: str = "order") -> DataFrame:
     live = _not_cancelled(o).select("order_id", "customer_id")
     if grain == "order":
         # The join on the order brings an order's lines together: the lines of
-        # a product in it are added up without another shuffle.
-        per_po = i.join(live, "order_id").groupBy("order_id", "product_id", "customer_id").agg(
+        # a product in it are added up without another shuffle.  Both shuffles
+        # go to tasks in proportion to the lines (counted before), so that a
+        # task's sorts and hash tables stay the same when there are more.
+        lines = i.select("order_id", "product_id", "quantity", "total_price", "discount_applied")
+        n = tasks_for(lines.sparkSession, lines.count())
+        per_po = dealt(lines, n, "order_id").join(dealt(live, n, "order_id"), "order_id").groupBy(
+            "order_id", "product_id", "customer_id").agg(
             F.sum("quantity").alias("q"), F.sum("total_price").alias("rev"),
             F.sum("discount_applied").alias("disc"))
-        per_pc = per_po.groupBy("product_id", "customer_id").agg(
+        per_pc = dealt(per_po, n, "product_id", "customer_id").groupBy("product_id", "customer_id").agg(
             F.sum("q").alias("q"), F.sum("rev").alias("rev"), F.sum("disc").alias("disc"),
             F.count(F.lit(1)).alias("n_orders"))
         per_p = per_pc.groupBy("product_id").agg(
@@ -309,17 +314,20 @@ def cross_sell(T: dict, min_count: int = 1) -> DataFrame:
     pair_count = orders holding both; support = pair_count / orders;
     confidence = pair_count / orders holding a; lift = support / (s_a * s_b).
     The basket is built once per use; its shuffle on the order serves the
-    pairs, and the global order count is a scalar subquery, not a join.
+    pairs, which meet the counts in as many tasks as they are built by, and the global order count is a scalar subquery, not a join.
     """
     b = basket(T["order_items"])
+    tasks = pair_tasks(b)
     n_orders = b.select(F.countDistinct("order_id")).scalar()
     cnt = b.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs_of(b)
+    pairs = pairs_of(b, tasks=tasks)
     if min_count > 1:
         pairs = pairs.where(F.col("pair_count") >= min_count)
     ca = cnt.select(F.col("product_id").alias("product_a"), F.col("n").alias("orders_a"))
     cb = cnt.select(F.col("product_id").alias("product_b"), F.col("n").alias("orders_b"))
-    out = pairs.join(ca, "product_a").join(cb, "product_b")
+    # A product has one row per product that it meets: no task gets many more.
+    near = lambda df, key: dealt(df, tasks, key)
+    out = near(near(pairs, "product_a").join(near(ca, "product_a"), "product_a"), "product_b").join(near(cb, "product_b"), "product_b")
     wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  a product of two counts is beyond BIGINT
     lift = (wide(F.col("pair_count")) * wide(n_orders)) / F.nullif(wide(F.col("orders_a")) * wide(F.col("orders_b")), F.lit(0))
     return out.select(

@@ -71,3 +71,39 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.queries()) >= set(E.oracle_sql())
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """Pairs and the product mart: more rows get more tasks, and the same results."""
+    from datetime import date
+    from decimal import Decimal
+
+    from strata.operators import joins as J
+    from strata.operators import marts as M
+
+    rows = [(o, (o * 7 + k * k) % 23, k + 1, Decimal(o + k), Decimal(k)) for o in range(90) for k in range(1 + o % 6)]
+    rows += rows[:20] + [(None, 1, 1, Decimal(1), Decimal(0)), (5, None, 1, Decimal(1), Decimal(0))]
+    items = spark.createDataFrame(rows, "order_id long, product_id long, quantity long, total_price decimal(12,2), discount_applied decimal(18,6)")
+    orders = spark.createDataFrame([(o, o % 11, "cancelled" if o % 9 == 0 else "completed", date(2024, 1, 1)) for o in range(85)],
+                                   "order_id long, customer_id long, order_status string, order_date date")
+    products = spark.createDataFrame([(p, f"n{p}", "c", "s", "b", Decimal(p)) for p in range(22)],
+                                     "product_id long, product_name string, category string, subcategory string, brand string, price decimal(10,2)")
+    T = {"order_items": items.where("order_id IS NOT NULL AND product_id IS NOT NULL"), "orders": orders, "products": products}
+    few = [sorted(map(tuple, f().collect())) for f in (lambda: J.basket_pairs(T["order_items"]), lambda: M.cross_sell(T), lambda: M.product_analytics(T))]
+    monkeypatch.setattr(J, "ROWS_PER_TASK", 10)
+    many = [sorted(map(tuple, f().collect())) for f in (lambda: J.basket_pairs(T["order_items"]), lambda: M.cross_sell(T), lambda: M.product_analytics(T))]
+    assert few == many
+    baskets = {}
+    for o, p, *_ in rows:
+        if o is not None and p is not None:
+            baskets.setdefault(o, set()).add(p)
+    want = {}
+    for b in baskets.values():
+        for x in b:
+            for y in b:
+                if x < y:
+                    want[x, y] = want.get((x, y), 0) + 1
+    assert {(a, b): n for a, b, n in many[0]} == want
+    n_pairs = sum(len(b) * (len(b) + 1) // 2 for b in baskets.values())
+    assert J.basket_pairs(T["order_items"]).rdd.getNumPartitions() == -(-n_pairs // 10)
+    assert J.basket(T["order_items"]).rdd.getNumPartitions() == -(-(len(rows) - 2) // 10)
