@@ -9,7 +9,9 @@ with different rules:
   ``price > 0``, ``total_amount > 0``, ``unit_price > 0`` and derive
   ``line_total``.
 
-All are narrow transformations (no shuffle) except ``dedupe``.
+All are narrow transformations (no shuffle) except ``dedupe``.  With
+``order_tasks`` orders and their lines lose their copies in that many parts by
+order, so that they can be written in these parts and joined without a shuffle.
 """
 
 from __future__ import annotations
@@ -46,16 +48,17 @@ def not_null(*names: str) -> Column:
     return cond
 
 
-def dedupe(df: DataFrame, keys: list[str] | None = None, near: str | None = None) -> DataFrame:
+def dedupe(df: DataFrame, keys: list[str] | None = None, near: str | None = None, tasks: int | None = None) -> DataFrame:
     """C4: drop exact duplicate rows (or duplicates on ``keys``).
 
     One shuffle on the row (or key) hash with map-side partial dedupe, so a
     heavily duplicated row collapses before it is shuffled.  With ``near``, a
     key that few different rows share, rows are shuffled by it instead: equal
-    rows meet as well, and a join on the key needs no shuffle of its own.
+    rows meet as well, and a join on the key needs no shuffle of its own; to
+    ``tasks`` parts, where their number must be known.
     """
     if near:
-        df = df.repartition(near)
+        df = df.repartition(tasks, near) if tasks else df.repartition(near)
     return df.dropDuplicates(keys) if keys else df.dropDuplicates()
 
 
@@ -70,9 +73,9 @@ def clean_customers(df: DataFrame, profile: str = "a", segment_case: str = "uppe
     return df.where(not_null("customer_id"))
 
 
-def clean_orders(df: DataFrame, profile: str = "a") -> DataFrame:
+def clean_orders(df: DataFrame, profile: str = "a", order_tasks: int | None = None) -> DataFrame:
     if profile == "b":
-        df = dedupe(df.where(not_null("order_id", "customer_id") & (F.col("total_amount") > 0)), near="order_id")
+        df = dedupe(df.where(not_null("order_id", "customer_id") & (F.col("total_amount") > 0)), near="order_id", tasks=order_tasks)
         if dict(df.dtypes)["order_date"] == "string":
             df = parse_dates(df, "order_date")
         return canonical_status(df, "order_status")
@@ -90,11 +93,10 @@ def line_total(df: DataFrame) -> DataFrame:
     return df.withColumn("line_total", lt.cast("decimal(38,6)"))
 
 
-def clean_order_items(df: DataFrame, profile: str = "a") -> DataFrame:
+def clean_order_items(df: DataFrame, profile: str = "a", order_tasks: int | None = None) -> DataFrame:
     if profile == "b":
-        df = dedupe(df)
-        df = df.where(not_null("order_id", "product_id") & (F.col("quantity") > 0)
-                      & (F.col("unit_price") > 0))
+        valid = not_null("order_id", "product_id") & (F.col("quantity") > 0) & (F.col("unit_price") > 0)
+        df = dedupe(df.where(valid), near="order_id", tasks=order_tasks) if order_tasks else dedupe(df).where(valid)
         return line_total(df)
     df = canonical_status(df, "item_status")
     return df.where(not_null("order_id", "product_id") & (F.col("quantity") > 0))
@@ -116,8 +118,8 @@ class CleanTables(Mapping):
 
     _NAMES = ("customers", "orders", "order_items", "products")
 
-    def __init__(self, t, profile: str = "a"):
-        self._t, self._profile, self._memo = t, profile, {}
+    def __init__(self, t, profile: str = "a", order_tasks: int | None = None):
+        self._t, self._profile, self._order_tasks, self._memo = t, profile, order_tasks, {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._memo:
@@ -125,9 +127,9 @@ class CleanTables(Mapping):
             if name == "customers":
                 df = clean_customers(t.customers, p)
             elif name == "orders":
-                df = clean_orders(t.orders, p)
+                df = clean_orders(t.orders, p, self._order_tasks)
             elif name == "order_items":
-                df = clean_order_items(t.priced_items if p == "b" else t.order_items, p)
+                df = clean_order_items(t.priced_items if p == "b" else t.order_items, p, self._order_tasks)
             elif name == "products":
                 df = clean_products(t.products, p)
             else:
@@ -142,9 +144,9 @@ class CleanTables(Mapping):
         return len(self._NAMES)
 
 
-def clean_all(t, profile: str = "a") -> CleanTables:
+def clean_all(t, profile: str = "a", order_tasks: int | None = None) -> CleanTables:
     """Clean the four commerce tables of a :class:`~strata.sources.adapters.Tables`."""
-    return CleanTables(t, profile)
+    return CleanTables(t, profile, order_tasks)
 
 
 # ---------------------------------------------------------------- C8

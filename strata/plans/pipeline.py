@@ -2,7 +2,9 @@
 
 The raw tables are checked first (they have rows and the columns that the
 clean layer needs).  The clean layer is written once, the marts are built from
-what was written, and the summary of job b from the written marts.  All of it
+what was written, and the summary of job b from the written marts.  Job b
+drops copies of orders and lines in parts by order and writes them in these
+parts (buckets): its marts join them without shuffling the lines.  All of it
 goes into the run's own folder; only when every table has passed its checks do
 they become visible, together (see ``strata.sources.publish``).  A failure
 leaves what an earlier run published.  Errors are returned in the result, and
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators import clean as C
 from strata.operators import marts as M
+from strata.operators.joins import tasks_for
 from strata.plans.registry import register
 from strata.session import checkpoint_dir
 from strata.sources.adapters import Tables
@@ -75,9 +78,11 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, job: str = "a",
     step = "raw input"
     try:
         check_raw(raw)
-        for name, df in C.clean_all(raw, job).items():
+        # Buckets in proportion to the lines, counted before.
+        buckets = (tasks_for(spark, raw.order_items.count()) or spark.sparkContext.defaultParallelism) if job != "a" else None
+        for name, df in C.clean_all(raw, job, buckets).items():
             step = name
-            T[name] = run.write(f"clean/{name}", df)
+            T[name] = run.write(f"clean/{name}", df, buckets=(buckets, "order_id") if buckets and "order" in name else None)
         res.metrics["tables_processed"] = len(T)
         written: dict[str, DataFrame] = {}
         for name, (build, parts, key) in marts.items():
@@ -94,6 +99,8 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, job: str = "a",
         res.errors.append(f"{step}: {e}")
         if raise_errors:
             raise
+    finally:
+        run.close()
     res.metrics["processing_time_seconds"] = round(time.time() - t0, 3)
     return res
 

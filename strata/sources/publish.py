@@ -72,21 +72,29 @@ class Run:
     """One run: tables are written aside, checked, and published together."""
 
     def __init__(self, spark: SparkSession, out: str):
-        self.spark, self.out, self.run_id, self.rows = spark, out.rstrip("/"), uuid.uuid4().hex[:12], {}
+        self.spark, self.out, self.run_id, self.rows, self.named = spark, out.rstrip("/"), uuid.uuid4().hex[:12], {}, []
 
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, key: list[str] | None = None,
+              buckets: tuple[int, str] | None = None) -> DataFrame:
         """Write a table of the run, check it, and read it back.
 
         A table needs rows, the columns it was written with, and, where
         ``key`` names its key, no null and no repeated one.  Rows are counted
-        while they are written.
+        while they are written.  ``buckets`` (number, column): the table is
+        written in so many buckets; until ``close`` the catalog names them, so
+        that tables in equal buckets are joined on the column without a shuffle.
         """
         location, seen = f"{self.out}/runs/{self.run_id}/{name}", Observation()
-        write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), location, partition_by=partition_by)
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        if buckets:
+            self.named.append(f"strata_run_{self.run_id}_{name.replace('/', '_')}")
+            counted.write.format("parquet").option("compression", "snappy").bucketBy(*buckets).option("path", location).saveAsTable(self.named[-1])
+        else:
+            write_table(counted, location, partition_by=partition_by)
         rows = seen.get["rows"]
         if not rows:
             raise ValidationError(f"{name}: no rows")
-        back = read_table(self.spark, location)
+        back = self.spark.table(self.named[-1]) if buckets else read_table(self.spark, location)
         if sorted(back.columns) != sorted(df.columns):
             raise ValidationError(f"{name}: columns {back.columns}, expected {df.columns}")
         if key:
@@ -96,6 +104,11 @@ class Run:
         self.rows[name] = (name, location, rows, self.run_id)
         return back
 
+    def close(self) -> None:
+        """Take the run's names out of the catalog; the files stay."""
+        while self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{self.named.pop()}`")
+
     def publish(self, state: str = "") -> int:
         """Make the tables of the run visible; returns the version."""
         past = manifests(self.spark, self.out).agg(F.max("version")).first()[0]

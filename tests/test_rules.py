@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conftest import SF_SMALL
+
 from strata.functions.numeric import money
 from strata.operators import clean as C
 from strata.operators import costs as CO
@@ -228,6 +230,33 @@ def exchanges(df):
     return sum(" Exchange " in line for line in plan.splitlines())
 
 
+def test_lines_of_job_b_meet_their_orders_without_a_shuffle(spark):
+    """Clean orders and lines lie in the same buckets, each line once."""
+    from strata.plans import pipeline as P
+
+    class Twice:
+        def __init__(self, t):
+            self.t, self.orders, self.priced_items = t, t.orders.unionByName(t.orders), t.priced_items.unionByName(t.priced_items)
+
+        def __getattr__(self, name):
+            return getattr(self.t, name)
+
+    t, out, found = P.Tables(spark, SF_SMALL), S.scratch(spark, "buckets"), []
+
+    def build(T):
+        found.append(exchanges(T["order_items"].hint("merge").join(T["orders"], "order_id").select("order_id", "customer_id", "quantity")))
+        return M.customer_profile(T)
+    res = P.run_pipeline(spark, SF_SMALL, out, "b", tables=Twice(t), marts={**P.MARTS_B, "customer_analytics": (build, *P.MARTS_B["customer_analytics"][1:])})
+    assert res.success and found == [0]
+    plain = C.clean_all(t, "b")
+    for name, mart in (("clean/order_items", plain["order_items"]), ("clean/orders", plain["orders"]), ("monthly_sales", M.monthly_category_sales(plain)),
+                       ("customer_analytics", M.customer_profile(plain)), ("product_analytics", M.product_profile(plain))):
+        rows = lambda df: sorted(map(str, df.select(*mart.columns).collect()))  # noqa: B023, E731
+        got = read_published(spark, out, name)
+        assert rows(got.select(*[F.col(c).cast(k) for c, k in mart.dtypes])) == rows(mart), name
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("strata_run_")]
+
+
 def test_clean_orders_are_shuffled_once_for_a_join(spark):
     """Copies fall away in the partitioning that the join on the key needs."""
     rows = [(1, 5, "completed", D("2.00"))] * 3 + [(2, 5, "x", D("0.00")), (None, 6, "x", D("1.00")), (3, 6, "pending", D("1.00")), (3, 7, "pending", D("1.00"))]
