@@ -24,6 +24,9 @@ from strata.llm.mixing import mixed_documents
 from strata.llm.token_files import token_digests, tokenizer_path, write_token_files
 from strata.llm.toxicity import drop_toxic
 
+#: Fixed value: pieces that a Python worker of the last stage keeps (about 30 MB).
+KEPT_PIECES = 200_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the model rejects go."""
@@ -49,8 +52,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token files; what they hold of each document."""
-    return token_digests(write_token_files(docs, tokenizer_path()))
+    """Operator 4: token files; what they hold of each document.
+
+    The executors' heaps are grown by the stages before, so that the tables of
+    known pieces are smaller here than where the operator runs alone.
+    """
+    return token_digests(write_token_files(docs, tokenizer_path(), kept=KEPT_PIECES))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -24,7 +24,9 @@ base, width ids below ``base`` are tokens; bytes per symbol (2 or 4)
 Encoding: a text is cut at single spaces between two characters that are no
 white space; the vocabulary's pre-tokenizer always starts a token there, so
 the pieces' ids put together are the text's ids.  Pieces are encoded by the
-tokenizer once and kept in a table of bounded size per Python worker.  The
+tokenizer once and kept in a table per Python worker, of ``kept`` pieces at
+most (some 160 bytes each); its size changes no id, only how often a piece is
+encoded again.  The
 string of a special token in a text becomes its id, as the tokenizer's file
 has it.
 
@@ -151,12 +153,13 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file: it outlives the task."""
-    kept = sys.modules.setdefault("strata_encoders", ModuleType("strata_encoders")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
+    """One encoder per Python worker and file: it outlives the task.  One with a
+    table of another size takes its place."""
+    known = sys.modules.setdefault("strata_encoders", ModuleType("strata_encoders")).__dict__
+    if path not in known or known[path].later.kept != kept:
+        known[path] = Encoder(path, kept)
+    return known[path]
 
 
 def re_pair(symbols: np.ndarray, base: int, end: int, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray]:
@@ -254,10 +257,10 @@ _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.li
                     ("base", pa.int32()), ("width", pa.int32())])
 
 
-def encode_shards(path: str, shard_tokens: int = SHARD_TOKENS, **how) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encode_shards(path: str, shard_tokens: int = SHARD_TOKENS, kept: int = KEPT_PIECES, **how) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted (doc_id, text) batches of one partition to its shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq, ids, docs, size = encoder(path), TaskContext.get().partitionId(), 0, [], [], 0
+        enc, part, seq, ids, docs, size = encoder(path, kept), TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 b = batch.slice(i, 200)
@@ -268,6 +271,7 @@ def encode_shards(path: str, shard_tokens: int = SHARD_TOKENS, **how) -> Callabl
                 if size >= shard_tokens:
                     yield pa.RecordBatch.from_pylist([_shard(part, seq, ids, docs, enc, how)], _ARROW)
                     seq, ids, docs, size = seq + 1, [], [], 0
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(part, seq, ids, docs, enc, how)], _ARROW)
     return run
@@ -306,7 +310,8 @@ def _digests(end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
-    """Encode ``docs`` and write the shards; the written table."""
+    """Encode ``docs`` and write the shards; the written table.  ``how``: what
+    ``encode_shards`` and ``re_pair`` take."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)

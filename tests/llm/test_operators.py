@@ -225,6 +225,18 @@ def test_token_files_round_trip(spark):
         start += len(ids)
 
 
+def test_the_table_of_known_pieces_is_as_large_as_asked(spark):
+    """The ids don't depend on it; one table per worker and file."""
+    path, text = token_files.tokenizer_path(), prose(3, 400) + " " + " ".join(f"w{i}x" for i in range(300))
+    enc = token_files.encoder(path, 50)
+    assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(enc.later) <= 50 and token_files.encoder(path, 50) is enc and token_files.encoder(path) is not enc
+    assert corpus_pipeline.KEPT_PIECES < token_files.encoder(path).later.kept == token_files.KEPT_PIECES
+    docs = table(spark, AWKWARD + [(100 + i, text, "a") for i in range(3)])
+    digests = lambda **how: sorted(token_files.token_digests(token_files.write_token_files(docs, path, **how)).collect(), key=lambda r: r["start"])
+    assert digests(kept=50) == digests()
+
+
 def test_secrets(spark):
     r = random.Random(1)
     rand = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
