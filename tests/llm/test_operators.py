@@ -1,11 +1,13 @@
 """Training-data operators against brute force, and on awkward tables."""
 
+import collections
 import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import SF_SMALL
@@ -182,6 +184,50 @@ def test_encoder_equals_library_as_loaded():
     assert np.frombuffer(enc.encode(texts[:1])[0], enc.dtype).tolist() == [397, 220, 50256, 22927]
 
 
+def test_encoder_equals_library_beside_every_kind_of_sign():
+    """Any neighbours: the cuts are the pre-tokenizer's, or there are none."""
+    from tokenizers import Tokenizer
+
+    path, rng = token_files.tokenizer_path(), random.Random(5)
+    enc, fresh = token_files.Encoder(path), Tokenizer.from_file(path)
+    signs = ["a", "don", "s", "ll", "'", "'s", "'re", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2009", "\u2028", "\u3000", "\u200b",
+             "é", "É", "×", "÷", "ñandú", "e\u0301", "\u024f", "ª", "²", "½", "д", "日本", "。", "\U0001f600", "1", "23", "_", "-", ".", ",", "!", "<|endoftext|>", "<|", "|>", "endoftext", "(", "\x00"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(6000)] + ["x <|endof", "text|> y", "", None]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, enc.dtype).tolist() == fresh.encode(text or "", add_special_tokens=False).ids, text
+    assert enc.encode(texts[::-1]) == enc.encode(texts)[::-1] and enc.encode([]) == []
+
+
+def test_encoder_encodes_a_word_once_whatever_stands_beside_it():
+    enc, spelt = token_files.Encoder(token_files.tokenizer_path()), []
+    model, whole = enc.model, enc.tokenizer
+    enc.model = type("Model", (), {"tokenize": staticmethod(lambda word: spelt.append(word) or model.tokenize(word))})
+    text = "see varnoleth, varnoleth. varnoleth! varnoleth; varnoleth:\nand varnoleth? varnoleth\u00e9, varnoleth\u00e9."
+    ids = enc.encode([text, text])
+    assert all(np.frombuffer(x, enc.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids for x in ids)
+    assert len([x for x in spelt if "varnoleth" in x]) == 2 and len(spelt) == len(set(spelt))
+
+
+def test_chunks_hold_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 10)
+    chunks = list(token_files._chunks(pa.array(["abcd", None, "efgh", "i" * 35, "", "jk", "lmnopqr", "s"])))
+    assert chunks == [(0, 3), (3, 3), (6, 2)] and list(token_files._chunks(pa.array([], pa.string()))) == []
+
+
+def test_re_pair_counts_rare_pairs_once(monkeypatch):
+    """Later rounds count frequent pairs and new symbols alone."""
+    rng, end, sorted_keys, sort = np.random.default_rng(3), 2**16 - 1, [], np.sort
+    words = [rng.integers(0, 300, rng.integers(2, 9)) for _ in range(3000)]
+    sym = np.concatenate([words[k] for k in np.minimum(rng.zipf(1.3, 20_000) - 1, 2999)] + [[end]]).astype(np.uint32)
+    monkeypatch.setattr(np, "sort", lambda x: sorted_keys.append(len(x)) or sort(x))
+    packed, rules = token_files.re_pair(sym, 300, end)
+    left = [(a, b) for a, b in itertools.pairwise(packed.tolist()) if end not in (a, b)]
+    assert max(collections.Counter(p for p in left if p[0] != p[1]).values()) < token_files.MIN_COUNT
+    back, _ = token_files.expand(packed, rules, 300, end, 2)
+    assert back.tolist() == np.where(sym == end, 2, sym).tolist()
+    assert len(sorted_keys) > 4 and sorted_keys[-1] < len(packed) / 4
+
+
 @pytest.mark.parametrize("base,max_rules", [(300, 500), (70_000, 500)])
 def test_re_pair_round_trip(base, max_rules):
     rng = np.random.default_rng(1)
